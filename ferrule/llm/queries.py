@@ -62,7 +62,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     folder = f"{blocks.shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
-    token_output.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    token_output.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
     return token_output.digests(token_output.read(spark, folder))
 
 

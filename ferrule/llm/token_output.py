@@ -15,6 +15,7 @@ comes first. Empty tables write an empty manifest. Other columns are not read.
 from __future__ import annotations
 
 import json
+import os
 import uuid
 import zlib
 
@@ -25,72 +26,175 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocks
+from . import blocks, words
 
 MAGIC = b"FRTK0001"
-CACHE_PIECES = 300_000
+CACHE_PIECES = 1_000_000
 _LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.uint8)
 
 
+class Splitter:
+    """The tokenizer's split of texts into pieces, for whole batches at once.
+
+    It is the pattern 's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+ as rules on runs of
+    letters, numbers, others and spaces: a run begins a piece; one space before it joins it; of longer white
+    space all but the last character is a piece of its own; a lone apostrophe takes these endings along.
+    """
+
+    ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")  # fixed values of the pattern
+
+    def __init__(self):
+        import regex
+
+        self.kind = np.zeros(0x110000, dtype=np.uint8)
+        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        at = lambda i: i if i < 0xD800 else i + 0x800
+        for k, p in ((1, r"\p{L}+"), (2, r"\p{N}+"), (3, r"\s+")):
+            for m in regex.finditer(p, every):
+                lo, hi = m.span()
+                self.kind[at(lo) : at(hi - 1) + 1] = k
+
+    def starts(self, chars: np.ndarray, texts: np.ndarray) -> np.ndarray:
+        """Where pieces begin in chars (code points); texts: where texts begin, in order, without empty ones."""
+        n = len(chars)
+        kind = self.kind[chars]
+        head = np.empty(n, dtype=bool)
+        head[0] = True
+        np.not_equal(kind[1:], kind[:-1], out=head[1:])
+        head[texts] = True
+        run = np.flatnonzero(head)
+        size = np.diff(np.append(run, n))
+        first = np.zeros(n + 1, dtype=bool)
+        first[texts] = True
+        first[n] = True
+        begin = head.copy()
+        space = kind[run] == 3
+        after = run + size
+        followed = space & ~first[after]
+        last = after[followed] - 1  # the last white space before something else, in one text
+        begin[last] = True
+        joins = last[chars[last] == 32]
+        begin[joins + 1] = False
+        lone = run[(size == 1) & (chars[run] == 39) & ~first[run + 1]]
+        lone = lone[begin[lone]]
+        if len(lone):
+            first_ = first
+            for p in lone.tolist():
+                two = "".join(map(chr, chars[p + 1 : p + 3].tolist())) if not first_[p + 2 if p + 2 <= n else n] else chr(chars[p + 1])
+                e = next((x for x in self.ENDINGS if two.startswith(x)), None)
+                if e:
+                    begin[p + 1] = False
+                    stop = p + 1 + len(e)
+                    if stop < n and not first_[stop] and not begin[stop]:
+                        begin[stop] = True
+        return np.flatnonzero(begin)
+
+
 class Encoder:
-    """Ids of whole texts. The tokenizer's own split never joins across pieces, so a piece is encoded once and looked up later."""
+    """Ids of whole texts. The tokenizer never joins across pieces, so the library encodes each distinct piece once.
+
+    Pieces are known by a 64-bit hash, in an open-addressing table that numpy probes for a batch at once.
+    """
 
     _one: dict[str, Encoder] = {}
+    BITS = 22
 
-    def __init__(self, path: str, pattern: str):
-        import regex
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.find = regex.compile(pattern).findall
+        self.split = Splitter()
         self.clear()
 
     @classmethod
-    def of(cls, path: str, pattern: str) -> Encoder:
+    def of(cls, path: str) -> Encoder:
         if path not in cls._one:
-            cls._one[path] = cls(path, pattern)
+            cls._one[path] = cls(path)
         return cls._one[path]
 
     def clear(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, dtype=np.uint32)
-        self.at = np.zeros(1 << 16, dtype=np.int64)
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        self.key = np.zeros(1 << self.BITS, dtype=np.uint64)
+        self.slot = np.zeros(1 << self.BITS, dtype=np.int32)
+        self.n = 0
+        self.ids = np.zeros(1 << 20, dtype=np.uint32)
+        self.at = np.zeros(CACHE_PIECES * 2, dtype=np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Slots of hashes, -1 where unknown."""
+        out = np.full(len(h), -1, dtype=np.int32)
+        mask = np.uint64((1 << self.BITS) - 1)
+        at = (h & mask).astype(np.int64)
+        left = np.arange(len(h))
+        while len(left):
+            k = self.key[at]
+            hit = k == h[left]
+            out[left[hit]] = self.slot[at[hit]]
+            on = ~hit & (k != 0)
+            left, at = left[on], (at[on] + 1) & int(mask)
+        return out
+
+    def add(self, h: np.ndarray) -> None:
+        """New distinct hashes get the next slots, in order."""
+        at = (h & np.uint64((1 << self.BITS) - 1)).astype(np.int64)
+        left = np.arange(len(h))
+        while len(left):
+            free = self.key[at] == 0
+            cand, where = left[free], at[free]
+            _, one = np.unique(where, return_index=True)
+            self.key[where[one]] = h[cand[one]]
+            self.slot[where[one]] = self.n + cand[one]
+            done = np.zeros(len(h), dtype=bool)
+            done[cand[one]] = True
+            on = ~done[left]
+            left, at = left[on], (at[on] + 1) & ((1 << self.BITS) - 1)
+        self.n += len(h)
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and each text's number of ids."""
-        if len(self.slot) > CACHE_PIECES:
-            self.clear()
-        slot, pieces, counts = self.slot, [], []
-        old = len(slot)
-        for t in texts:
-            p = self.find(t) if t else []
-            counts.append(len(p))
-            pieces += [slot.setdefault(x, len(slot)) for x in p]
-        if len(slot) > old:
-            new = list(slot)[old:]
-            codes = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            ends = self.at[old] + np.cumsum([len(c) for c in codes])
-            if len(slot) + 1 > len(self.at):
-                self.at = np.concatenate([self.at, np.zeros(len(slot) + 1, np.int64)])
-            self.at[old + 1 : len(slot) + 1] = ends
-            if ends[-1] > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(int(ends[-1]), np.uint32)])
-            self.ids[self.at[old] : ends[-1]] = np.concatenate([np.array(c, np.uint32) for c in codes])
-        which = np.array(pieces, dtype=np.int64)
+        buf, offsets = words.buffers(column)
+        if not len(buf):
+            return np.zeros(0, np.uint32), np.zeros(len(column), np.int64)
+        text = buf.tobytes().decode()
+        chars = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+        at = offsets if len(chars) == len(buf) else np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])[offsets]
+        begin = self.split.starts(chars, at[:-1][np.diff(at) > 0])
+        end = np.append(begin[1:], len(chars))
+        h = words.span_hash(words.prefix_hash(chars), begin, end)
+        h[h == 0] = 1
+        which = self.find(h)
+        unknown = np.flatnonzero(which < 0)
+        if len(unknown):
+            new, first = np.unique(h[unknown], return_index=True)
+            if self.n + len(new) > CACHE_PIECES and self.n:
+                self.clear()
+                return self.encode(column)
+            first = unknown[first]
+            if self.n + len(new) + 1 > len(self.at):
+                self.at = np.concatenate([self.at, np.zeros(self.n + len(new) + 1, np.int64)])
+            codes = [e.ids for e in self.tokenizer.encode_batch_fast([text[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)], add_special_tokens=False)]
+            stops = self.at[self.n] + np.cumsum([len(c) for c in codes])
+            if stops[-1] > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), int(stops[-1])), np.uint32)])
+            self.ids[self.at[self.n] : stops[-1]] = np.concatenate([np.array(c, np.uint32) for c in codes])
+            self.at[self.n + 1 : self.n + len(new) + 1] = stops
+            self.add(new)
+            which[unknown] = self.find(h[unknown])
         n = self.at[which + 1] - self.at[which]
         total = np.concatenate([[0], np.cumsum(n)])
         flat = self.ids[np.repeat(self.at[which] - total[:-1], n) + np.arange(total[-1])]
-        return flat, np.diff(total[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)])
+        return flat, np.diff(total[np.searchsorted(begin, at)])
 
 
 def pack(ids: np.ndarray) -> dict[str, np.ndarray]:
     """rank: the distinct ids by falling frequency, ties by id; control and data bytes of all ids."""
-    distinct, place, count = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((distinct, -count))
-    rank = np.empty(len(order), dtype=np.uint32)
-    rank[order] = np.arange(len(order), dtype=np.uint32)
-    codes = rank[place]
+    count = np.bincount(ids)
+    distinct = np.flatnonzero(count)
+    order = np.argsort(-count[distinct], kind="stable")
+    rank = np.zeros(len(count), dtype=np.uint32)
+    rank[distinct[order]] = np.arange(len(order), dtype=np.uint32)
+    codes = rank[ids]
     length = 1 + (codes > 0xFF).astype(np.uint8) + (codes > 0xFFFF) + (codes > 0xFFFFFF)
     two = np.zeros(-(-len(codes) // 4) * 4, dtype=np.uint8)
     two[: len(codes)] = length - 1
@@ -124,7 +228,7 @@ def from_bytes(data: bytes) -> dict[str, np.ndarray]:
     return out
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> str:
+def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> str:
     """Shards and manifest.json of docs in folder, a URI that driver and executors share; returns the manifest's URI."""
     spark = docs.sparkSession
     blocks.prepare(spark)
@@ -132,11 +236,12 @@ def write(docs: DataFrame, folder: str, tokenizer: str, pattern: str, id_col: st
     ranged = picked.repartitionByRange(blocks.buckets(picked), "id").sortWithinPartitions("id", "t")
 
     def run(batches):
-        encoder, ids, n, names = Encoder.of(tokenizer, pattern), [], [], []
+        encoder, ids, n, names = Encoder.of(tokenizer), [], [], []
         for batch in batches:
-            for k in range(0, batch.num_rows, 200):
-                part = batch.slice(k, 200)
-                got, count = encoder.encode(part.column(1).to_pylist())
+            _, offsets = words.buffers(batch.column(1))
+            for lo, hi in words.runs(offsets):
+                part = batch.slice(lo, hi - lo)
+                got, count = encoder.encode(part.column(1))
                 ends = np.cumsum(count)
                 ids.append(np.insert(got, ends, np.uint32(end_id)))
                 n.append(count + 1)
