@@ -18,8 +18,15 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import words
 
 BLOCK_BYTES = 16 << 20
+#: The kind of a row that holds documents.
+DOCS = 0
+#: Stands for a null document id.
+NULL_ID = np.iinfo(np.int64).min
 SCHEMA = "bucket int, kind int, data binary"
 _ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
 
@@ -100,6 +107,59 @@ def texts_by_bucket(doc_ids: np.ndarray, buf: np.ndarray, offsets: np.ndarray, b
         yield b, {"id": doc_ids[rows_], "len": (offsets[rows_ + 1] - offsets[rows_]).astype(np.int64), "text": data} | {k: v[rows_] for k, v in (extra or {}).items()}
 
 
+def bucket_of(ids: np.ndarray, n: int) -> np.ndarray:
+    return (words.mix(ids.astype(np.uint64)) % np.uint64(n)).astype(np.int32)
+
+
+def packed(docs: DataFrame, n: int, id_col: str, text_col: str, rest: list[str] | None = None) -> DataFrame:
+    """docs as SCHEMA rows by bucket of id: ids and texts, and the columns `rest` as an Arrow stream."""
+    rest = rest or []
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0).cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+            buf, at = words.buffers(batch.column(1))
+            out = []
+            for b, x in texts_by_bucket(ids, buf, at, bucket_of(ids, n), {"row": np.arange(len(ids))}):
+                row = x.pop("row")
+                if rest:
+                    sink = pa.BufferOutputStream()
+                    part = pa.Table.from_batches([batch]).select(list(range(2, batch.num_columns))).take(pa.array(row))
+                    with pa.ipc.new_stream(sink, part.schema) as w:
+                        w.write_table(part)
+                    x["rest"] = sink.getvalue().to_pybytes()
+                out.append((b, DOCS, x))
+            if out:
+                yield rows(out)
+
+    picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *rest)
+    return spread(picked.mapInArrow(run, SCHEMA), n)
+
+
+def first_rows(df: DataFrame, rows_: int, partitions: int) -> DataFrame:
+    """A sample: the first rows of at most so many partitions, spread evenly."""
+    step = max(1, -(-df.rdd.getNumPartitions() // partitions))
+    place = F.monotonically_increasing_id()  # the partition, and below 2**33 the row in it
+    return df.where((F.shiftright(place, 33) % step == 0) & (place.bitwiseAND(F.lit((1 << 33) - 1)) < rows_))
+
+
+def by_kind(table: pa.Table) -> dict[int, list[dict]]:
+    """The unpacked rows of a group, by kind."""
+    out: dict[int, list[dict]] = {}
+    for kind, data in zip(table.column("kind").to_pylist(), table.column("data"), strict=True):
+        out.setdefault(kind, []).append(load(data.as_buffer()))
+    return out
+
+
+def joined(parts: list[dict]) -> dict | None:
+    """Equally named arrays of all parts, end to end."""
+    return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]} if parts else None
+
+
+def send(kind: int, bucket: np.ndarray, columns: dict) -> list:
+    return [(b, kind, x) for b, x in split(bucket, columns)]
+
+
 def gather(parts: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict]:
     """What texts_by_bucket sent, together again: ids, buffer, offsets and the other columns."""
     if not parts:

@@ -36,9 +36,9 @@ from . import blocks, words
 
 K = 32
 DOCS, RUNS, MARKS, NEEDED, SEGMENTS = range(5)
+assert DOCS == blocks.DOCS
 #: Rows that each of at most SAMPLE_PARTS partitions gives to the sample that finds hot anchors.
 SAMPLE_ROWS, SAMPLE_PARTS, HOT_SHARE, HOT_MOST = 100, 64, 0.01, 4096
-_NULL = np.iinfo(np.int64).min
 
 
 def segments(buf: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -188,38 +188,9 @@ def _block(tables: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return ids, np.arange(len(ids)) - first, moved, new, order, rest
 
 
-def _bucket_of(ids: np.ndarray, n: int) -> np.ndarray:
-    return (words.mix(ids.astype(np.uint64)) % np.uint64(n)).astype(np.int32)
-
-
-def packed(docs: DataFrame, n: int, id_col: str, text_col: str, rest: list[str]) -> DataFrame:
-    """docs as blocks.SCHEMA rows by bucket of id: ids and texts, and the columns `rest` as an Arrow stream."""
-
-    def run(batches):
-        for batch in batches:
-            ids = batch.column(0).cast(pa.int64()).fill_null(_NULL).to_numpy(zero_copy_only=False)
-            buf, at = words.buffers(batch.column(1))
-            out = []
-            for b, x in blocks.texts_by_bucket(ids, buf, at, _bucket_of(ids, n), {"row": np.arange(len(ids))}):
-                row = x.pop("row")
-                if rest:
-                    sink = pa.BufferOutputStream()
-                    part = pa.Table.from_batches([batch]).select(rest).take(pa.array(row))
-                    with pa.ipc.new_stream(sink, part.schema) as w:
-                        w.write_table(part)
-                    x["rest"] = sink.getvalue().to_pybytes()
-                out.append((b, DOCS, x))
-            if out:
-                yield blocks.rows(out)
-
-    picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *rest)
-    return blocks.spread(picked.mapInArrow(run, blocks.SCHEMA), n)
-
-
 def hot_anchors(docs: DataFrame, text_col: str, length: int) -> np.ndarray:
     """Anchors that many sampled documents show with different segments: at most HOT_MOST."""
-    parts = docs.select(text_col).rdd.getNumPartitions() if not docs.isStreaming else 1
-    step = max(1, -(-parts // SAMPLE_PARTS))
+    parts = docs.select(text_col).rdd.getNumPartitions()
 
     def run(batches):
         for batch in batches:
@@ -229,8 +200,7 @@ def hot_anchors(docs: DataFrame, text_col: str, length: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].astype(np.int64)), pa.array(pair[:, 1].astype(np.int64))], names=["anchor", "segment"])
 
     least = max(8, int(HOT_SHARE * SAMPLE_ROWS * min(parts, SAMPLE_PARTS)))
-    place = F.monotonically_increasing_id()  # the partition, and below 2**33 the row in it
-    few = docs.select(text_col).where((F.shiftright(place, 33) % step == 0) & (place.bitwiseAND(F.lit((1 << 33) - 1)) < SAMPLE_ROWS))
+    few = blocks.first_rows(docs.select(text_col), SAMPLE_ROWS, SAMPLE_PARTS)
     seen = few.mapInArrow(run, "anchor long, segment long").distinct().groupBy("anchor").count().where(F.col("count") >= least)
     return np.array(sorted(r[0] for r in seen.orderBy(F.desc("count"), "anchor").limit(HOT_MOST).collect()), dtype=np.int64).astype(np.uint64)
 
@@ -239,27 +209,12 @@ def _runs_to_marks(doc: np.ndarray, tie: np.ndarray, s: np.ndarray, e: np.ndarra
     return {"doc": doc, "tie": tie.astype(np.int32), "s": s.astype(np.int32), "e": e.astype(np.int32)}
 
 
-def _send(kind: int, bucket: np.ndarray, columns: dict) -> list:
-    return [(b, kind, x) for b, x in blocks.split(bucket, columns)]
-
-
-def _joined(parts: list[dict]) -> dict | None:
-    return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]} if parts else None
-
-
-def _by_kind(table: pa.Table) -> dict[int, list[dict]]:
-    out: dict[int, list[dict]] = {}
-    for kind, data in zip(table.column("kind").to_pylist(), table.column("data"), strict=True):
-        out.setdefault(kind, []).append(blocks.load(data.as_buffer()))
-    return out
-
-
 def _find(docs: DataFrame, n: int, hot: np.ndarray, length: int) -> DataFrame:
     """Rows of kind MARKS by the bucket of their document: the byte ranges to remove."""
     hot = np.sort(hot)
 
     def local(table: pa.Table) -> pa.Table:  # segments of a block; all but the first of equal ones are marked here
-        ids, tie, buf, at, _, _ = _block(_by_kind(table)[DOCS])
+        ids, tie, buf, at, _, _ = _block(blocks.by_kind(table)[DOCS])
         own = table.column("bucket")[0].as_py()
         found = []
         for lo, hi in words.runs(at):
@@ -287,14 +242,14 @@ def _find(docs: DataFrame, n: int, hot: np.ndarray, length: int) -> DataFrame:
                 s, e, d = merged(doc[old], a[old], a[old] + m[old] - 1 + length)
                 out.append((own, MARKS, _runs_to_marks(ids[d], tie[d], s, e)))
             d = doc[new]
-            out += _send(RUNS, (anchor[new] % np.uint64(n)).astype(np.int32), {"anchor": anchor[new], "segment": segment[new], "doc": ids[d], "tie": tie[d].astype(np.int32), "a": a[new].astype(np.int32), "m": m[new].astype(np.uint8)})
+            out += blocks.send(RUNS, (anchor[new] % np.uint64(n)).astype(np.int32), {"anchor": anchor[new], "segment": segment[new], "doc": ids[d], "tie": tie[d].astype(np.int32), "a": a[new].astype(np.int32), "m": m[new].astype(np.uint8)})
         return pa.Table.from_batches([blocks.rows(out)])
 
     def overall(table: pa.Table) -> pa.Table:  # first of equal segments over all blocks; anchors with several
-        kinds = _by_kind(table)
+        kinds = blocks.by_kind(table)
         own = table.column("bucket")[0].as_py()
         out = [(own, MARKS, x) for x in kinds.get(MARKS, [])]
-        if x := _joined(kinds.get(RUNS, [])):
+        if x := blocks.joined(kinds.get(RUNS, [])):
             order = np.lexsort((x["a"], x["tie"], x["doc"], x["segment"], x["anchor"]))
             x = {k: v[order] for k, v in x.items()}
             other = np.ones(len(order), dtype=bool)
@@ -303,20 +258,20 @@ def _find(docs: DataFrame, n: int, hot: np.ndarray, length: int) -> DataFrame:
             new[1:] |= x["segment"][1:] != x["segment"][:-1]
             old = {k: v[~new] for k, v in x.items()}
             end = old["a"].astype(np.int64) + old["m"] - 1 + length
-            out += _send(MARKS, _bucket_of(old["doc"], n), _runs_to_marks(old["doc"], old["tie"], old["a"], end))
+            out += blocks.send(MARKS, blocks.bucket_of(old["doc"], n), _runs_to_marks(old["doc"], old["tie"], old["a"], end))
             which = np.cumsum(other) - 1
             several = new & (np.bincount(which, weights=new)[which] > 1)
             need = {k: x[k][several] for k in ("anchor", "doc", "tie", "a", "m")}
-            out += _send(NEEDED, _bucket_of(need["doc"], n), need)
+            out += blocks.send(NEEDED, blocks.bucket_of(need["doc"], n), need)
         return pa.Table.from_batches([blocks.rows(out)])
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:  # text of the segments that have to be sorted
-        kinds = _by_kind(right)
+        kinds = blocks.by_kind(right)
         bucket = (right if right.num_rows else left).column("bucket")[0].as_py()
         out = [(bucket, MARKS, x) for x in kinds.get(MARKS, [])]
-        need = _joined(kinds.get(NEEDED, []))
+        need = blocks.joined(kinds.get(NEEDED, []))
         if need and left.num_rows:
-            ids, tie, buf, at, _, _ = _block(_by_kind(left)[DOCS])
+            ids, tie, buf, at, _, _ = _block(blocks.by_kind(left)[DOCS])
             row = np.searchsorted(ids, need["doc"]) + need["tie"]
             to = (need["anchor"] % np.uint64(n)).astype(np.int32)
             order = np.argsort(to, kind="stable")
@@ -332,10 +287,10 @@ def _find(docs: DataFrame, n: int, hot: np.ndarray, length: int) -> DataFrame:
         return pa.Table.from_batches([blocks.rows(out)])
 
     def sort(table: pa.Table) -> pa.Table:  # the suffix array of a bucket
-        kinds = _by_kind(table)
+        kinds = blocks.by_kind(table)
         own = table.column("bucket")[0].as_py()
         out = [(own, MARKS, x) for x in kinds.get(MARKS, [])]
-        if x := _joined(kinds.get(SEGMENTS, [])):
+        if x := blocks.joined(kinds.get(SEGMENTS, [])):
             size = x["m"].astype(np.int64) - 1 + length
             start = np.cumsum(size) - size
             order = np.lexsort((x["a"], x["tie"], x["doc"]))
@@ -351,7 +306,7 @@ def _find(docs: DataFrame, n: int, hot: np.ndarray, length: int) -> DataFrame:
             seg = np.searchsorted(begin, s, side="right") - 1
             r = order[seg]
             low = x["a"][r] + (s - begin[seg])
-            out += _send(MARKS, _bucket_of(x["doc"][r], n), _runs_to_marks(x["doc"][r], x["tie"][r], low, low + (e - s) - 1 + length))
+            out += blocks.send(MARKS, blocks.bucket_of(x["doc"][r], n), _runs_to_marks(x["doc"][r], x["tie"][r], low, low + (e - s) - 1 + length))
         return pa.Table.from_batches([blocks.rows(out)])
 
     grouped = lambda df: blocks.spread(df, n).groupBy("bucket")
@@ -374,7 +329,7 @@ def merged(doc: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, n
 def _removed(tables: list[dict], marks: list[dict]):
     ids, tie, buf, at, _, rest = _block(tables)
     edge = np.zeros(len(buf) + 1, dtype=np.int32)
-    if x := _joined(marks):
+    if x := blocks.joined(marks):
         row = np.searchsorted(ids, x["doc"]) + x["tie"]
         np.add.at(edge, at[row] + x["s"], 1)
         np.add.at(edge, at[row] + x["e"], -1)
@@ -391,18 +346,18 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     """(id_col, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
     blocks.prepare(docs.sparkSession)
     n = blocks.buckets(docs.select(id_col, text_col))
-    base = packed(docs, n, id_col, text_col, [])
+    base = blocks.packed(docs, n, id_col, text_col, [])
     marks = _find(base, n, hot_anchors(docs, text_col, length), length)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, buf, at, gone, _ = _removed(_by_kind(left).get(DOCS, []), _by_kind(right).get(MARKS, []))
+        ids, buf, at, gone, _ = _removed(blocks.by_kind(left).get(DOCS, []), blocks.by_kind(right).get(MARKS, []))
         begin = gone.copy()
         begin[1:] &= ~gone[:-1]
         inner = at[:-1][at[:-1] < len(buf)]
         begin[inner] = gone[inner]
         total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[at])
         digest = [hashlib.sha256(x).hexdigest() for x in _kept(buf, at, gone)]
-        return pa.table({"id": pa.array(ids, mask=ids == _NULL), "n_bytes": np.diff(at), "n_removed": total(gone).astype(np.int64), "n_spans": total(begin).astype(np.int64), "kept_sha256": pa.array(digest, pa.string())}).rename_columns([id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        return pa.table({"id": pa.array(ids, mask=ids == blocks.NULL_ID), "n_bytes": np.diff(at), "n_removed": total(gone).astype(np.int64), "n_spans": total(begin).astype(np.int64), "kept_sha256": pa.array(digest, pa.string())}).rename_columns([id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return base.groupBy("bucket").cogroup(blocks.spread(marks, n).groupBy("bucket")).applyInArrow(finish, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
@@ -412,12 +367,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     blocks.prepare(docs.sparkSession)
     n = blocks.buckets(docs)
     rest = [c for c in docs.columns if c != text_col]
-    base = packed(docs, n, id_col, text_col, rest)
+    base = blocks.packed(docs, n, id_col, text_col, rest)
     marks = _find(base, n, hot_anchors(docs, text_col, length), length)
     schema, names = docs.schema, docs.columns
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        _, buf, at, gone, other = _removed(_by_kind(left).get(DOCS, []), _by_kind(right).get(MARKS, []))
+        _, buf, at, gone, other = _removed(blocks.by_kind(left).get(DOCS, []), blocks.by_kind(right).get(MARKS, []))
         text = pa.array([x.decode("utf-8", "ignore") for x in _kept(buf, at, gone)], pa.string())
         return pa.table([text if c == text_col else other.column(c) for c in names], names=names)
 
