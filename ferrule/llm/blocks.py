@@ -186,3 +186,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def ordered(tables: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Table | None]:
+    """Documents of a bucket in order of id, ties by bytes: ids, tie numbers, buffer, offsets, row order, other columns."""
+    ids, buf, at, _ = gather([{k: v for k, v in t.items() if k != "rest"} for t in tables])
+    order = np.argsort(ids, kind="stable")
+    same = np.flatnonzero(np.diff(ids[order]) == 0)
+    if len(same):
+        raw = buf.tobytes()
+        key = {int(ids[order[i]]) for i in same}
+        order = np.array(sorted(order.tolist(), key=lambda r: (ids[r], raw[at[r] : at[r + 1]] if int(ids[r]) in key else b"")), dtype=np.int64)
+    size = np.diff(at)[order]
+    new = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    moved = np.concatenate([buf[at[r] : at[r + 1]] for r in order.tolist()]) if len(order) else buf
+    ids = ids[order]
+    first = np.searchsorted(ids, ids, side="left")
+    rest = pa.concat_tables([pa.ipc.open_stream(t["rest"]).read_all() for t in tables]).take(pa.array(order)) if tables and "rest" in tables[0] else None
+    return ids, np.arange(len(ids)) - first, moved, new, order, rest

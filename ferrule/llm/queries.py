@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocks, lm, suffix_dedup, token_output, url_filter, warc, wumanber
+from . import blocks, lm, minhash, suffix_dedup, token_output, url_filter, warc, wumanber
 
 #: Rules of op2: host, path, verdict.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -54,6 +54,10 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wumanber.report(wumanber.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -70,7 +74,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.digests(token_output.read(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_url_filter, op3_lm_score, op6_decontaminate, op8_suffix_dedup, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_url_filter, op3_lm_score, op5_minhash_dedup, op6_decontaminate, op8_suffix_dedup, op10_token_output)}
 
 _KEY = """regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), ':(80|443)$', '')
   || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '')

@@ -170,24 +170,6 @@ def repeats(text: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def _block(tables: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Table | None]:
-    """Documents of a bucket in order of id, ties by bytes: ids, tie numbers, buffer, offsets, row order, other columns."""
-    ids, buf, at, _ = blocks.gather([{k: v for k, v in t.items() if k != "rest"} for t in tables])
-    order = np.argsort(ids, kind="stable")
-    same = np.flatnonzero(np.diff(ids[order]) == 0)
-    if len(same):
-        raw = buf.tobytes()
-        key = {int(ids[order[i]]) for i in same}
-        order = np.array(sorted(order.tolist(), key=lambda r: (ids[r], raw[at[r] : at[r + 1]] if int(ids[r]) in key else b"")), dtype=np.int64)
-    size = np.diff(at)[order]
-    new = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-    moved = np.concatenate([buf[at[r] : at[r + 1]] for r in order.tolist()]) if len(order) else buf
-    ids = ids[order]
-    first = np.searchsorted(ids, ids, side="left")
-    rest = pa.concat_tables([pa.ipc.open_stream(t["rest"]).read_all() for t in tables]).take(pa.array(order)) if tables and "rest" in tables[0] else None
-    return ids, np.arange(len(ids)) - first, moved, new, order, rest
-
-
 def hot_anchors(docs: DataFrame, text_col: str, length: int) -> np.ndarray:
     """Anchors that many sampled documents show with different segments: at most HOT_MOST."""
     parts = docs.select(text_col).rdd.getNumPartitions()
@@ -214,7 +196,7 @@ def _find(docs: DataFrame, n: int, hot: np.ndarray, length: int) -> DataFrame:
     hot = np.sort(hot)
 
     def local(table: pa.Table) -> pa.Table:  # segments of a block; all but the first of equal ones are marked here
-        ids, tie, buf, at, _, _ = _block(blocks.by_kind(table)[DOCS])
+        ids, tie, buf, at, _, _ = blocks.ordered(blocks.by_kind(table)[DOCS])
         own = table.column("bucket")[0].as_py()
         found = []
         for lo, hi in words.runs(at):
@@ -271,7 +253,7 @@ def _find(docs: DataFrame, n: int, hot: np.ndarray, length: int) -> DataFrame:
         out = [(bucket, MARKS, x) for x in kinds.get(MARKS, [])]
         need = blocks.joined(kinds.get(NEEDED, []))
         if need and left.num_rows:
-            ids, tie, buf, at, _, _ = _block(blocks.by_kind(left)[DOCS])
+            ids, tie, buf, at, _, _ = blocks.ordered(blocks.by_kind(left)[DOCS])
             row = np.searchsorted(ids, need["doc"]) + need["tie"]
             to = (need["anchor"] % np.uint64(n)).astype(np.int32)
             order = np.argsort(to, kind="stable")
@@ -327,7 +309,7 @@ def merged(doc: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _removed(tables: list[dict], marks: list[dict]):
-    ids, tie, buf, at, _, rest = _block(tables)
+    ids, tie, buf, at, _, rest = blocks.ordered(tables)
     edge = np.zeros(len(buf) + 1, dtype=np.int32)
     if x := blocks.joined(marks):
         row = np.searchsorted(ids, x["doc"]) + x["tie"]
