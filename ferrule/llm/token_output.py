@@ -2,11 +2,11 @@
 
 A shard holds the documents of one range of ids in ascending order. Its header lists the ids that occur
 by falling frequency; a token is stored as its rank there, in 1 to 4 bytes. Two bits a token, four tokens
-a control byte, say how many. Reading looks the control bytes up in a table of lengths and gathers all
+a control byte, say how many. A shard is a row of such sections of about a million tokens, so neither side holds a whole shard. Reading looks the control bytes up in a table of lengths and gathers all
 codes at once in numpy. A shard is written under a name of its own attempt, and only the manifest, written
 after all shards, makes it count; so lost or repeated tasks leave no wrong data.
 
-Layout, little-endian: magic, uint32 header length, JSON header {parts: [[name, dtype, count], ...]}, then the parts.
+Layout, little-endian: magic, then sections: uint32 header length, JSON header {parts: [[name, dtype, count], ...]}, the parts.
 
 Cases. A null or empty text has only the end id. Equal document ids are ordered by their text; a null id
 comes first. Empty tables write an empty manifest. Other columns are not read.
@@ -18,6 +18,7 @@ import json
 import os
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from . import blocks, words
 
 MAGIC = b"FRTK0001"
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 500_000
+SECTION = 1 << 20
 _LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.uint8)
 
 
@@ -97,7 +99,7 @@ class Encoder:
     """
 
     _one: dict[str, Encoder] = {}
-    BITS = 22
+    BITS = 21
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -214,18 +216,18 @@ def unpack(rank: np.ndarray, control: np.ndarray, data: np.ndarray, n: int) -> n
 
 def to_bytes(parts: dict[str, np.ndarray]) -> bytes:
     header = json.dumps({"parts": [[k, v.dtype.str, len(v)] for k, v in parts.items()]}).encode()
-    return b"".join([MAGIC, len(header).to_bytes(4, "little"), header, *(v.tobytes() for v in parts.values())])
+    return b"".join([len(header).to_bytes(4, "little"), header, *(v.tobytes() for v in parts.values())])
 
 
-def from_bytes(data: bytes) -> dict[str, np.ndarray]:
-    if data[:8] != MAGIC:
+def sections(f) -> Iterator[dict[str, np.ndarray]]:
+    """The sections of an open shard."""
+    if f.read(8) != MAGIC:
         raise ValueError("not a token shard")
-    at = 12 + int.from_bytes(data[8:12], "little")
-    out = {}
-    for name, kind, n in json.loads(data[12:at])["parts"]:
-        out[name] = np.frombuffer(data, dtype=kind, count=n, offset=at)
-        at += out[name].nbytes
-    return out
+    while size := f.read(4):
+        out = {}
+        for name, kind, n in json.loads(f.read(int.from_bytes(size, "little")))["parts"]:
+            out[name] = np.frombuffer(f.read(n * np.dtype(kind).itemsize), dtype=kind, count=n)
+        yield out
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> str:
@@ -236,27 +238,36 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
     ranged = picked.repartitionByRange(blocks.buckets(picked), "id").sortWithinPartitions("id", "t")
 
     def run(batches):
-        encoder, ids, n, names = Encoder.of(tokenizer), [], [], []
+        encoder, shard = Encoder.of(tokenizer), TaskContext.get().partitionId()
+        name = f"shard-{shard:06d}-{uuid.uuid4().hex}.tok"
+        where, path = pafs.FileSystem.from_uri(folder)
+        f, docs_, tokens, held, waiting = None, 0, 0, [], 0
+
+        def flush():
+            n, ids, doc = (np.concatenate([h[k] for h in held]) for k in range(3))
+            known = np.concatenate([h[3] for h in held])
+            f.write(to_bytes({"known": known, "id": doc, "n": n, **pack(ids)}))
+            held.clear()
+
         for batch in batches:
             _, offsets = words.buffers(batch.column(1))
             for lo, hi in words.runs(offsets):
                 part = batch.slice(lo, hi - lo)
                 got, count = encoder.encode(part.column(1))
-                ends = np.cumsum(count)
-                ids.append(np.insert(got, ends, np.uint32(end_id)))
-                n.append(count + 1)
-                names.append(part.column(0))
-        if n:
-            n = np.concatenate(n).astype("<u4")
-            ids = np.concatenate(ids)
-            doc = pa.concat_arrays(names)
-            parts = {"known": doc.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8), "id": doc.fill_null(0).to_numpy().astype("<i8"), "n": n, **pack(ids)}
-            where, path = pafs.FileSystem.from_uri(folder)
-            shard = TaskContext.get().partitionId()
-            name = f"shard-{shard:06d}-{uuid.uuid4().hex}.tok"
-            with where.open_output_stream(f"{path}/{name}") as f:
-                f.write(to_bytes(parts))
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([name]), pa.array([len(n)], pa.int64()), pa.array([len(ids)], pa.int64())], names=["shard", "name", "docs", "tokens"])
+                doc = part.column(0)
+                held.append(((count + 1).astype("<u4"), np.insert(got, np.cumsum(count), np.uint32(end_id)), doc.fill_null(0).to_numpy().astype("<i8"), doc.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)))
+                docs_, tokens, waiting = docs_ + len(count), tokens + len(held[-1][1]), waiting + len(held[-1][1])
+                if f is None:
+                    f = where.open_output_stream(f"{path}/{name}")
+                    f.write(MAGIC)
+                if waiting >= SECTION:
+                    flush()
+                    waiting = 0
+        if f is not None:
+            if held:
+                flush()
+            f.close()
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([name]), pa.array([docs_], pa.int64()), pa.array([tokens], pa.int64())], names=["shard", "name", "docs", "tokens"])
 
     where, path = pafs.FileSystem.from_uri(folder)
     where.create_dir(path, recursive=True)
@@ -281,20 +292,18 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with where.open_input_stream(f"{path}/{name}") as f:
-                    x = from_bytes(f.read())
-                n = x["n"].astype(np.int64)
-                ids = unpack(x["rank"], x["control"], x["data"], int(n.sum()))
-                ends = np.cumsum(n)
-                for k in range(0, len(n), 500):
-                    e, m = ends[k : k + 500], n[k : k + 500]
-                    first = int(e[0] - m[0])
-                    lists = pa.LargeListArray.from_arrays(np.concatenate([[first], e]) - first, pa.array(ids[first : e[-1]].astype(np.int64)))
-                    doc = pa.array(x["id"][k : k + 500], mask=x["known"][k : k + 500] == 0)
-                    yield pa.RecordBatch.from_arrays([doc, pa.array(e - m + start), pa.array(m), lists.cast(pa.list_(pa.int64()))], names=["doc_id", "start", "n_tokens", "ids"])
+                    for x in sections(f):
+                        n = x["n"].astype(np.int64)
+                        ids = unpack(x["rank"], x["control"], x["data"], int(n.sum()))
+                        ends = np.cumsum(n)
+                        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int32)))
+                        doc = pa.array(x["id"], mask=x["known"] == 0)
+                        yield pa.RecordBatch.from_arrays([doc, pa.array(ends - n + start), pa.array(n), lists], names=["doc_id", "start", "n_tokens", "ids"])
+                        start += int(ends[-1])
 
     table = [(s["name"], s["start"]) for s in shards]
     files = spark.createDataFrame(table, "name string, start long")
-    return files.repartition(max(1, len(table))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids array<long>")
+    return files.repartition(max(1, len(table))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids array<int>")
 
 
 def digests(read_back: DataFrame) -> DataFrame:
