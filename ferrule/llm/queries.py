@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocks, lm, minhash, suffix_dedup, token_output, url_filter, warc, wumanber
+from . import ann, blocks, crf, lm, minhash, sentencepiece_scan, suffix_dedup, token_output, url_filter, warc, wumanber
 
 #: Rules of op2: host, path, verdict.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -54,6 +54,10 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents"))
 
@@ -62,10 +66,21 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wumanber.report(wumanber.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return sentencepiece_scan.report(sentencepiece_scan.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op9_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -74,7 +89,12 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.digests(token_output.read(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_url_filter, op3_lm_score, op5_minhash_dedup, op6_decontaminate, op8_suffix_dedup, op10_token_output)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_warc_revisits, op2_url_filter, op3_lm_score, op4_quality_crf, op5_minhash_dedup, op6_decontaminate, op7_sentencepiece, op8_suffix_dedup, op9_ann_search, op10_token_output,
+    )
+}
 
 _KEY = """regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), ':(80|443)$', '')
   || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '')
