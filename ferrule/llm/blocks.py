@@ -7,6 +7,8 @@ of the data is bounded because the number of buckets follows the input (`buckets
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import pickle
 import tempfile
@@ -143,8 +145,16 @@ def first_rows(df: DataFrame, rows_: int, partitions: int) -> DataFrame:
     return df.where((F.shiftright(place, 33) % step == 0) & (place.bitwiseAND(F.lit((1 << 33) - 1)) < rows_))
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers live on, and the next group need not be as large."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def by_kind(table: pa.Table) -> dict[int, list[dict]]:
-    """The unpacked rows of a group, by kind."""
+    """The unpacked rows of a group, by kind; memory of the group before goes back first."""
+    trim()
     out: dict[int, list[dict]] = {}
     for kind, data in zip(table.column("kind").to_pylist(), table.column("data"), strict=True):
         out.setdefault(kind, []).append(load(data.as_buffer()))

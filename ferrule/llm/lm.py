@@ -33,6 +33,8 @@ from . import blocks, words
 ASKED, ANSWER, TOTALS = 1, 2, 3
 END, BEGIN = np.uint64(0x51ED270B0B1F0E35), np.uint64(0xA24BAED4963EE407)
 SAMPLE_ROWS, SAMPLE_PARTS, HOT_SHARE, HOT_MOST = 100, 64, 1 / 2000, 1024
+#: Of documents as stored; a block's tokens are held with about 200 bytes each.
+BLOCK_BYTES = 6 << 20
 _LOW = np.uint64((1 << 48) - 1)
 
 
@@ -67,7 +69,9 @@ class Block:
         key = words.chain(self.words[self.before], h) & _LOW
         pair = words.mix((self.before.astype(np.uint64) << np.uint64(32)) ^ words.mix(key))  # one number for (context, 48 bits)
         _, rep, self.bigram = np.unique(pair, return_index=True, return_inverse=True)
+        del pair, h, place
         self.context, self.key = self.before[rep], key[rep]
+        del rep, key
         i = np.minimum(np.searchsorted(hot, self.words), max(0, len(hot) - 1))
         self.hot = np.where(hot[i] == self.words, i, -1) if len(hot) else np.full(len(self.words), -1)
         self.word_bucket = (self.words % np.uint64(n)).astype(np.int32)
@@ -190,7 +194,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); documents with crc32(id) mod modulus = remainder are held out."""
     spark = docs.sparkSession
     blocks.prepare(spark)
-    n = blocks.buckets(docs.select(id_col, text_col))
+    n = blocks.buckets(docs.select(id_col, text_col), BLOCK_BYTES)
     hot = frequent(docs, text_col)
     packed = blocks.packed(docs, n, id_col, text_col)
 
