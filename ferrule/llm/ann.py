@@ -162,7 +162,7 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
     found = None
     for b in range(n_blocks):  # a block of queries is at most about QUERY_BYTES
         rows = sorted((r.q, r.v) for r in asked.where(F.col("block") == b).collect())
-        ids, x = np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), -1)
+        ids, x = np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), d)
 
         def run(batches, ids=ids, x=x):
             best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)

@@ -134,7 +134,7 @@ def packed(docs: DataFrame, n: int, id_col: str, text_col: str, rest: list[str]
             if out:
                 yield rows(out)
 
-    picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *rest)
+    picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_rest{k}") for k, c in enumerate(rest)])
     return spread(picked.mapInArrow(run, SCHEMA), n)
 
 

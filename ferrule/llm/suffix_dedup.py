@@ -356,6 +356,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         _, buf, at, gone, other = _removed(blocks.by_kind(left).get(DOCS, []), blocks.by_kind(right).get(MARKS, []))
         text = pa.array([x.decode("utf-8", "ignore") for x in _kept(buf, at, gone)], pa.string())
-        return pa.table([text if c == text_col else other.column(c) for c in names], names=names)
+        return pa.table([text if c == text_col else other.column(rest.index(c)) for c in names], names=names)
 
     return base.groupBy("bucket").cogroup(blocks.spread(marks, n).groupBy("bucket")).applyInArrow(finish, schema)
