@@ -122,7 +122,8 @@ _LEXR = "lx AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY keywo
 
 
 def lexical(spark, sf, k=20):
-    return R.ranked(_lexical(spark, sf), ["item_id"], [F.desc("keyword_score"), F.desc("title_score"), F.asc("doc_id")], k)
+    q = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("q"))
+    return R.lexical_top(table(spark, sf, "documents"), q, "doc_id", F.col("text"), F.col("source"), "item_id", F.col("q"), k)
 
 
 @query("lexical_channel", f"WITH {_LEX}, {_LEXR} SELECT item_id, doc_id, CAST(keyword_score AS DOUBLE) AS keyword_score, CAST(title_score AS DOUBLE) AS title_score, CAST(rank AS INTEGER) AS rank FROM lx WHERE rank <= 20")
