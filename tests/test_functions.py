@@ -25,7 +25,7 @@ def test_intent(spark, question, intent):
     (T.focus_phrase, "can you explain the NeuroNest", "neuronest"), (T.question_type, "what is hod", "definition"), (T.question_type, "How many seats?", "fact"), (T.question_type, "how does it work", "explanation"),
     (T.is_follow_up, "How does it work?", True), (T.is_follow_up, "How do planes fly?", False), (T.is_noise, "", True), (T.is_noise, "[PAGE 3]", False), (T.is_noise, "ha ha ha ha ha ha ha ha", True), (T.is_noise, "a normal line of text", False),
     (T.token_estimate, "one two three", 3), (T.token_estimate, None, 1), (T.department_text, "R & D (AI)", "r and d (ai)"), (T.friendly_predicate, "hasName", "Has name"), (T.confidence_label, "0.81", "High"),
-    (L.is_incomplete, "It opened (in 1990.", True), (L.is_incomplete, "This goes to the", True), (L.is_incomplete, "It works.", False), (L.is_heading, "Objectives and summary", True), (L.is_heading, "The summary is in contents", False),
+    (L.is_incomplete, "It opened (in 1990.", True), (L.is_incomplete, "This goes to the", True), (L.is_incomplete, "It works.", False), (L.is_incomplete, "12 34", True), (L.is_incomplete, None, True), (L.is_heading, "Objectives and summary", True), (L.is_heading, "The summary is in contents", False),
     (L.role_label, "who is the HOD of x", "head of department"), (L.is_person, "Dr. Ann", True), (L.person_name, "Dr. A B Smith Assistant Professor of x", "Dr. A. B. Smith"), (L.cleaned_answer, 'Answer: "so ."', "so."), (L.is_metadata_fact, None, True),
 ])
 def test_functions(spark, f, x, want):
