@@ -166,6 +166,22 @@ def phrases(text: Column, longest: int = 4, stop: tuple[str, ...] = params.STOPW
     return F.array_distinct(F.concat(whole, *[grams(k) for k in range(longest, 0, -1)]))
 
 
+#: A sentence that starts by saying what something is: its subject in the first group (a fixed pattern).
+DEFINITION = r"^([A-Z][A-Za-z]+( [a-z]+){0,2}) (is|are|was|were) "
+
+
+def defined_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences_read: int = 240, most: int = 8) -> DataFrame:
+    """(id, label, first, description, mentions): subjects of defining sentences, their first definition, and in how many sentences they are named.
+
+    Of each document the first `most` entities, in order of their definitions.
+    """
+    s = docs.select(id_col, F.posexplode(sentences(F.col(text_col))).alias("i", "s")).where(F.col("i") < sentences_read)
+    found = s.select(id_col, "i", "s", F.regexp_extract("s", DEFINITION, 1).alias("label")).where("label <> ''")
+    first = found.groupBy(id_col, F.lower("label").alias("key")).agg(F.min("i").cast("long").alias("first"), F.min_by("label", "i").alias("label"), F.min_by("s", "i").alias("description"), F.count("*").alias("mentions"))
+    k = F.row_number().over(W.partitionBy(id_col).orderBy("first"))
+    return first.withColumn("k", k).where(F.col("k") <= most).drop("k", "key")
+
+
 def carry_forward(df: DataFrame, value: Column, partition: list[str], order: list[str]) -> Column:
     """The last value that isn't null so far."""
     return F.last(value, ignorenulls=True).over(W.partitionBy(*partition).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))

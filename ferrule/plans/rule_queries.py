@@ -133,6 +133,40 @@ def best_summary_sentence(spark, sf):
     return ranked(_lines(spark, sf).withColumn("prefer", prefer), ["doc_id"], [F.asc("prefer"), F.asc("i")], 1).select("doc_id", "i", F.md5("s").alias("s"))
 
 
+_SPLIT = f"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\\b(Dr|Mr|Mrs|Ms|Prof)\\. ', '\\1' || chr(1) || ' ', 'g'), '\\b([A-Z])\\. ', '\\1' || chr(1) || ' ', 'g'), '([.!?:])\\s+([A-Z0-9])', '\\1' || chr(2) || '\\2', 'g'), '\\n+', chr(2), 'g')"""
+_SS = f"list_filter(list_transform(string_split({_SPLIT}, chr(2)), lambda x: {S.squash("replace(x, chr(1), '.')")}), lambda x: x <> '')"
+
+
+@query("upload_entities", f"""WITH a AS (SELECT doc_id, {_SS} AS ss FROM documents), e AS (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) - 1 AS i FROM a), f AS (SELECT *, regexp_extract(s, '{D.DEFINITION}', 1) AS label FROM e WHERE i < 240),
+g AS (SELECT doc_id, lower(label) AS key, CAST(min(i) AS BIGINT) AS first, arg_min(label, i) AS label, arg_min(s, i) AS description, count(*) AS mentions FROM f WHERE label <> '' GROUP BY doc_id, lower(label)), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first) AS k FROM g)
+SELECT doc_id, first, label, md5(description) AS description, mentions FROM k WHERE k <= 8""")
+def upload_entities(spark, sf):
+    return D.defined_entities(table(spark, sf, "documents")).withColumn("description", F.md5("description"))
+
+
+@query("department_aliases", f"""WITH a AS (SELECT s_suppkey, s_name || ' Engineering (' || substr(s_name, 1, 3) || ' Tech)' AS n FROM supplier), b AS (SELECT s_suppkey, {S.squash("regexp_replace(regexp_replace(lower(n), '&', ' and ', 'g'), '[^a-z0-9() ]', ' ', 'g')")} AS whole,
+{S.squash("regexp_replace(lower(regexp_replace(n, '\\s*\\([^)]*\\)', ' ', 'g')), '[^a-z0-9() ]', ' ', 'g')")} AS base, {S.squash("lower(regexp_extract(n, '\\(([^)]+)\\)', 1))")} AS q FROM a)
+SELECT s_suppkey, array_to_string(list_filter([whole, base, regexp_replace(base, ' engineering$', ''), array_to_string(list_transform(string_split(base, ' '), lambda w: substr(w, 1, 1)), ''), q], lambda x: length(x) >= 2), '|') AS aliases FROM b""")
+def department_aliases(spark, sf):
+    n = F.concat(F.col("s_name"), F.lit(" Engineering ("), F.substring("s_name", 1, 3), F.lit(" Tech)"))
+    return table(spark, sf, "supplier").select("s_suppkey", F.array_join(L.department_aliases(n), "|").alias("aliases"))
+
+
+@query("upload_version_sha1", "SELECT source, substr(sha1(string_agg(sha1(text), '' ORDER BY doc_id)), 1, 12) AS version, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY source")
+def upload_version_sha1(spark, sf):
+    d = table(spark, sf, "documents").where("text is not null").groupBy("source")
+    marks = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.sha1("text").alias("h")))), lambda x: x["h"])
+    return d.agg(F.substring(F.sha1(F.array_join(marks, "")), 1, 12).alias("version"), F.count("*").alias("n"))
+
+
+@query("content_overlap", f"""WITH t AS (SELECT item_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}')), lambda w: w NOT IN ({S.listed(params.GROUNDING_STOPWORDS)})) AS w FROM benchmark)
+SELECT a.item_id, CAST(len(list_intersect(a.w, b.w)) AS INTEGER) AS overlap FROM t a JOIN t b ON b.item_id = a.item_id + 1""")
+def content_overlap(spark, sf):
+    t = table(spark, sf, "benchmark").select("item_id", F.filter(T.token_set(F.col("text")), lambda w: ~w.isin(*params.GROUNDING_STOPWORDS)).alias("w"))
+    nxt = t.select((F.col("item_id") - 1).alias("item_id"), F.col("w").alias("v"))
+    return t.join(nxt, "item_id").select("item_id", F.size(F.array_intersect("w", "v")).alias("overlap"))
+
+
 @query("metadata_fact", f"SELECT n_nationkey, lower(f) = '' OR {S.starts('lower(f)', params.KG_METADATA_PREFIXES)} AS metadata FROM (SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'Label: ' || n_name WHEN 1 THEN 'Source URL: x' WHEN 2 THEN '' ELSE n_name END AS f FROM nation)")
 def metadata_fact(spark, sf):
     k = F.col("n_nationkey") % 4
