@@ -135,7 +135,7 @@ def packed(docs: DataFrame, n: int, id_col: str, text_col: str, rest: list[str]
                 yield rows(out)
 
     picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_rest{k}") for k, c in enumerate(rest)])
-    return spread(picked.mapInArrow(run, SCHEMA), n)
+    return spread(picked.mapInArrow(tidy_batches(run), SCHEMA), n)
 
 
 def first_rows(df: DataFrame, rows_: int, partitions: int) -> DataFrame:
@@ -152,9 +152,42 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def tidy(f):
+    """f of one Arrow table, with its memory given back when it is done; a worker that then idles holds little."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = f(table)
+        trim()
+        return out
+
+    return run
+
+
+def tidy_two(f):
+    """tidy() for a function of two tables."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = f(left, right)
+        trim()
+        return out
+
+    return run
+
+
+def tidy_batches(f):
+    """tidy() for a function of an iterator of batches: after each batch that it yields, and at its end."""
+
+    def run(batches):
+        for batch in f(batches):
+            yield batch
+            del batch
+            trim()
+
+    return run
+
+
 def by_kind(table: pa.Table) -> dict[int, list[dict]]:
-    """The unpacked rows of a group, by kind; memory of the group before goes back first."""
-    trim()
+    """The unpacked rows of a group, by kind."""
     out: dict[int, list[dict]] = {}
     for kind, data in zip(table.column("kind").to_pylist(), table.column("data"), strict=True):
         out.setdefault(kind, []).append(load(data.as_buffer()))

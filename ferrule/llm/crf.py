@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import blocks, words
 
 SAMPLE_DOCS, STEPS, BINS, GOOD = 4000, 150, 8, 0.7
-_RUN = 2 << 20
+_RUN = (1 << 20) - 4096
 #: Edges of the bins of each feature of a line, in the order of measure() (parameters of this model).
 EDGES = {
     "length": (1, 20, 60, 150, 400, 1000, 3000), "upper": (0.01, 0.03, 0.08, 0.2, 0.4, 0.6, 0.8), "digit": (0.001, 0.01, 0.03, 0.08, 0.15, 0.3, 0.5), "space": (0.05, 0.1, 0.13, 0.16, 0.2, 0.25, 0.35),
@@ -191,7 +191,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(q), pa.array((q >= GOOD).astype(np.int32))], names=[id_col, "held_out", "score", "predicted"])
 
     picked = docs.select(id_col, held_out(F.col(id_col)).alias("_held_out"), text_col)
-    return picked.mapInArrow(run, f"{docs.select(id_col).schema.simpleString()[7:-1]}, held_out boolean, score double, predicted int")
+    return picked.mapInArrow(blocks.tidy_batches(run), f"{docs.select(id_col).schema.simpleString()[7:-1]}, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
@@ -203,4 +203,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
         for batch in batches:
             yield batch.filter(pa.array(qualities(batch.column(k), w, step) >= GOOD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(blocks.tidy_batches(run), docs.schema)

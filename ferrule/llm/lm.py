@@ -205,8 +205,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     def bucket(table: pa.Table) -> pa.Table:
         return pa.Table.from_batches([blocks.rows(add_up(table.column("bucket")[0].as_py(), blocks.by_kind(table)[ASKED], hot))])
 
-    asked = blocks.spread(packed.groupBy("bucket").applyInArrow(ask, blocks.SCHEMA), n)
-    answers = blocks.checkpointed(asked.groupBy("bucket").applyInArrow(bucket, blocks.SCHEMA))
+    asked = blocks.spread(packed.groupBy("bucket").applyInArrow(blocks.tidy(ask), blocks.SCHEMA), n)
+    answers = blocks.checkpointed(asked.groupBy("bucket").applyInArrow(blocks.tidy(bucket), blocks.SCHEMA))
 
     def flat(batches):
         for batch in batches:
@@ -234,4 +234,4 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
         })
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return packed.groupBy("bucket").cogroup(blocks.spread(answers.where(F.col("kind") == ANSWER), n).groupBy("bucket")).applyInArrow(finish, schema)
+    return packed.groupBy("bucket").cogroup(blocks.spread(answers.where(F.col("kind") == ANSWER), n).groupBy("bucket")).applyInArrow(blocks.tidy_two(finish), schema)

@@ -31,7 +31,7 @@ from . import blocks, words
 MAX_PIECE, CHUNK, GIANT, SHORT, KEPT = 16, 4096, 16384, 48, 500_000
 SPACE = 0x2581
 LEAST = np.int64(-(1 << 60))
-_RUN = 2 << 20
+_RUN = (2 << 20) - (1 << 16)  # with the spaces put in, below a power of two
 
 
 class Table:
@@ -345,7 +345,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(score), pa.array(same)], names=[id_col, "ids", "score", "round_trip"])
 
     schema = f"{docs.select(id_col).schema.simpleString()[7:-1]}, ids array<int>, score long, round_trip boolean"
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(blocks.tidy_batches(run), schema)
 
 
 def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

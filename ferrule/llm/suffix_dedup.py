@@ -292,8 +292,8 @@ def _find(docs: DataFrame, n: int, hot: np.ndarray, length: int) -> DataFrame:
         return pa.Table.from_batches([blocks.rows(out)])
 
     grouped = lambda df: blocks.spread(df, n).groupBy("bucket")
-    first = grouped(docs.groupBy("bucket").applyInArrow(local, blocks.SCHEMA)).applyInArrow(overall, blocks.SCHEMA)
-    return grouped(docs.groupBy("bucket").cogroup(grouped(first)).applyInArrow(cut, blocks.SCHEMA)).applyInArrow(sort, blocks.SCHEMA)
+    first = grouped(docs.groupBy("bucket").applyInArrow(blocks.tidy(local), blocks.SCHEMA)).applyInArrow(blocks.tidy(overall), blocks.SCHEMA)
+    return grouped(docs.groupBy("bucket").cogroup(grouped(first)).applyInArrow(blocks.tidy_two(cut), blocks.SCHEMA)).applyInArrow(blocks.tidy(sort), blocks.SCHEMA)
 
 
 def merged(doc: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -341,7 +341,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
         digest = [hashlib.sha256(x).hexdigest() for x in _kept(buf, at, gone)]
         return pa.table({"id": pa.array(ids, mask=ids == blocks.NULL_ID), "n_bytes": np.diff(at), "n_removed": total(gone).astype(np.int64), "n_spans": total(begin).astype(np.int64), "kept_sha256": pa.array(digest, pa.string())}).rename_columns([id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return base.groupBy("bucket").cogroup(blocks.spread(marks, n).groupBy("bucket")).applyInArrow(finish, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return base.groupBy("bucket").cogroup(blocks.spread(marks, n).groupBy("bucket")).applyInArrow(blocks.tidy_two(finish), f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
@@ -358,4 +358,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
         text = pa.array([x.decode("utf-8", "ignore") for x in _kept(buf, at, gone)], pa.string())
         return pa.table([text if c == text_col else other.column(rest.index(c)) for c in names], names=names)
 
-    return base.groupBy("bucket").cogroup(blocks.spread(marks, n).groupBy("bucket")).applyInArrow(finish, schema)
+    return base.groupBy("bucket").cogroup(blocks.spread(marks, n).groupBy("bucket")).applyInArrow(blocks.tidy_two(finish), schema)

@@ -271,7 +271,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
 
     where, path = pafs.FileSystem.from_uri(folder)
     where.create_dir(path, recursive=True)
-    shards = sorted(tuple(r) for r in ranged.mapInArrow(run, "shard long, name string, docs long, tokens long").collect())
+    shards = sorted(tuple(r) for r in ranged.mapInArrow(blocks.tidy_batches(run), "shard long, name string, docs long, tokens long").collect())
     listed, start = [], 0
     for _, name, n_docs, tokens in shards:
         listed.append({"name": name, "docs": n_docs, "tokens": tokens, "start": start})
@@ -303,7 +303,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
     table = [(s["name"], s["start"]) for s in shards]
     files = spark.createDataFrame(table, "name string, start long")
-    return files.repartition(max(1, len(table))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids array<int>")
+    return files.repartition(max(1, len(table))).mapInArrow(blocks.tidy_batches(run), "doc_id long, start long, n_tokens long, ids array<int>")
 
 
 def digests(read_back: DataFrame) -> DataFrame:

@@ -94,7 +94,7 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return buf, offsets - offsets[0]
 
 
-def runs(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def runs(offsets: np.ndarray, most: int = (1 << 20) - 4096) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `most` bytes, a longer text alone, so that arrays stay in the cache."""
     n, lo = len(offsets) - 1, 0
     while lo < n:

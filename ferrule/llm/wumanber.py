@@ -162,7 +162,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             for b in run(batches):
                 yield b.rename_columns([id_col, *b.schema.names[1:]])
 
-        parts.append(picked.mapInArrow(named, schema))
+        parts.append(picked.mapInArrow(blocks.tidy_batches(named), schema))
     if len(parts) == 1:
         return parts[0]
     both = parts[0]
@@ -196,5 +196,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
                     keep[lo:hi] = [not g for g in got]
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(blocks.tidy_batches(run), docs.schema)
     return docs
