@@ -5,7 +5,7 @@ from ferrule.engine import Engine, bm25_channel, lexical_channel, vector_channel
 from ferrule.functions.python_udfs import hashing_encoder
 
 TEXTS = [
-    (1, "NeuroNest is a tool for patient care. It stores records.", "guide", "en"), (2, "We thank our teachers. Figure 3 shows a tree", "thanks", "en"), (3, "The library opens at nine. Students borrow books there.", "library", "en"), (4, None, "empty", "en"), (5, "Un texte sur la bibliothèque.", "fr", "fr"),
+    (1, "BrightLeaf is a tool for patient care. It stores records.", "guide", "en"), (2, "We thank our teachers. Figure 3 shows a tree", "thanks", "en"), (3, "The library opens at nine. Students borrow books there.", "library", "en"), (4, None, "empty", "en"), (5, "Un texte sur la bibliothèque.", "fr", "fr"),
 ]
 
 
@@ -15,19 +15,19 @@ def engine(spark):
 
 
 def asked(spark):
-    return spark.createDataFrame([(1, "Can you explain NeuroNest?"), (2, "when does the library open"), (3, "zebra"), (4, ""), (5, None)], "query_id long, query string")
+    return spark.createDataFrame([(1, "Can you explain BrightLeaf?"), (2, "when does the library open"), (3, "zebra"), (4, ""), (5, None)], "query_id long, query string")
 
 
 def test_answers_and_refusals(spark, engine):
     got = {r.query_id: r for r in engine.answer(asked(spark)).collect()}
     assert set(got) == {1, 2, 3, 4, 5}
-    assert got[1].answer.startswith("NeuroNest is a tool") and got[1].sources == "guide" and got[1].status != "refused"
+    assert got[1].answer.startswith("BrightLeaf is a tool") and got[1].sources == "guide" and got[1].status != "refused"
     assert "library" in got[2].answer.lower()
     assert all(got[k].status == "refused" and not got[k].answer for k in (3, 4, 5))
 
 
 def test_a_spaced_name_finds_the_joined_one(spark, engine):
-    q = spark.createDataFrame([(1, "neuro nest")], "query_id long, query string")
+    q = spark.createDataFrame([(1, "bright leaf")], "query_id long, query string")
     assert engine.retrieve(q).first().title == "guide"
 
 

@@ -21,8 +21,8 @@ def test_intent(spark, question, intent):
 
 @pytest.mark.parametrize(("f", "x", "want"), [
     (T.squash, "  a\t b c ", "a b c"), (T.squash, None, ""), (T.slug, "  Ä b--C! ", "b-c"), (T.slug, None, "item"), (T.spaced, "CST301a", "CST 301 a"), (T.keywords, "The cat and the Cat's hat", ["cat", "hat"]),
-    (T.compact_form, "neuro nest", "neuronest"), (T.compact_form, "nest", None), (T.without_intent, "Can you explain NeuroNest?", "NeuroNest"), (T.without_intent, "what is ", "what is"), (T.without_intent, None, ""),
-    (T.focus_phrase, "can you explain the NeuroNest", "neuronest"), (T.question_type, "what is hod", "definition"), (T.question_type, "How many seats?", "fact"), (T.question_type, "how does it work", "explanation"),
+    (T.compact_form, "bright leaf", "brightleaf"), (T.compact_form, "nest", None), (T.without_intent, "Can you explain BrightLeaf?", "BrightLeaf"), (T.without_intent, "what is ", "what is"), (T.without_intent, None, ""),
+    (T.focus_phrase, "can you explain the BrightLeaf", "brightleaf"), (T.question_type, "what is hod", "definition"), (T.question_type, "How many seats?", "fact"), (T.question_type, "how does it work", "explanation"),
     (T.is_follow_up, "How does it work?", True), (T.is_follow_up, "How do planes fly?", False), (T.is_noise, "", True), (T.is_noise, "[PAGE 3]", False), (T.is_noise, "ha ha ha ha ha ha ha ha", True), (T.is_noise, "a normal line of text", False),
     (T.token_estimate, "one two three", 3), (T.token_estimate, None, 1), (T.department_text, "R & D (AI)", "r and d (ai)"), (T.friendly_predicate, "hasName", "Has name"), (T.confidence_label, "0.81", "High"),
     (L.is_incomplete, "It opened (in 1990.", True), (L.is_incomplete, "This goes to the", True), (L.is_incomplete, "It works.", False), (L.is_incomplete, "12 34", True), (L.is_incomplete, None, True), (L.is_heading, "Objectives and summary", True), (L.is_heading, "The summary is in contents", False),
@@ -45,7 +45,7 @@ def test_sentences_keep_titles_and_initials(spark):
 
 
 def test_definition_score_prefers_definitions(spark):
-    rows = [("neuronest", "NeuroNest is a tool for care."), ("neuronest", "We hereby thank NeuroNest."), ("neuro nest", "The neuronest app."), ("", "x")]
+    rows = [("brightleaf", "BrightLeaf is a tool for care."), ("brightleaf", "We hereby thank BrightLeaf."), ("bright leaf", "The brightleaf app."), ("", "x")]
     got = [r.s for r in spark.createDataFrame(rows, "f string, t string").select(L.definition_score(F.col("f"), F.col("t")).alias("s")).collect()]
     assert got[0] > got[2] > 2 and got[0] > got[1] and got[3] == 0
 
