@@ -12,9 +12,7 @@ import ctypes
 import math
 import pickle
 import tempfile
-import zipfile
 from collections.abc import Iterable
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +20,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ferrule import session
+
 from . import words
 
 BLOCK_BYTES = 16 << 20
@@ -35,24 +35,11 @@ _ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("data", pa.bi
 
 def prepare(spark: SparkSession) -> None:
     """Arrow batches of at most 2,000 rows and 32 MB, so that very long texts don't fill a worker; the package at the workers."""
-    ship(spark)
+    session.ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 
-def ship(spark: SparkSession) -> None:
-    """Send the package to the Python workers, once a context, for clusters whose machines don't have it."""
-    sc, package = spark.sparkContext, Path(__file__).resolve().parent.parent
-    if getattr(sc, "_ferrule_shipped", False):
-        return
-    archive = Path(tempfile.mkdtemp(prefix="ferrule-code-")) / f"{package.name}.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f"{package.name}/{f.relative_to(package)}")
-    sc.addPyFile(str(archive))
-    sc._ferrule_shipped = True
-
-
 def buckets(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
     """How many buckets df's data make: the size of the tables it reads over block_bytes, and no fewer than the shuffle partitions.
 
