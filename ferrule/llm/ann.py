@@ -5,7 +5,10 @@ maximum inner product. Vectors are cut into pairs of components with 16 codeword
 minimise |r|^2 + (eta - 1) <r, x>^2/|x|^2: residual error along the vector, which moves its high scores, costs
 eta times as much as error across it. Codes are chosen by coordinate descent, codewords by least squares. A
 search adds up, from one table a byte (two codes), the inner products of all vectors of a block; the best
-RERANK go to exact distances on the original vectors, in double precision.
+RERANK go to exact distances on the original vectors, in double precision. A vector is at least as far from the
+query as its codewords are, less the length of its residual; in rising order of that bound the others follow,
+until it passes the k-th distance found. So nothing nearer is left out; where codes tell little apart (a dense
+cluster), most of a block is compared.
 
 The codebook is fitted on at most SAMPLE_VECTORS vectors (by hash of id); every vector is indexed. Queries are
 taken in blocks of bounded size; each goes to all tasks, which return their own best k for each query.
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import blocks
 
-SAMPLE_VECTORS, RERANK, BLOCK_VECTORS, QUERY_BYTES, SWEEPS, ROUNDS, THRESHOLD = 16_384, 400, 16_384, 8 << 20, 2, 6, 0.2
+SAMPLE_VECTORS, RERANK, BLOCK_VECTORS, QUERY_BYTES, SWEEPS, ROUNDS, THRESHOLD, STEP = 16_384, 400, 16_384, 8 << 20, 2, 6, 0.2, 1024
 
 
 class Codebook:
@@ -98,6 +101,13 @@ class Codebook:
             t = np.concatenate([t, np.zeros((1, 16))])
         return (t[1::2, :, None] + t[::2, None, :]).reshape(-1, 256).astype(np.float32)
 
+    def bounds(self, query: np.ndarray, inner: np.ndarray, square: np.ndarray, error: np.ndarray) -> np.ndarray:
+        """What each vector's distance is at least, from the inner product of its codewords (single precision, slack for its rounding), their squared length and the residual's."""
+        both = (query**2).sum() + square
+        apart = both * (1 - (self.m + 8) * 2.0**-22) - 2 * inner.astype(np.float64)
+        low = np.sqrt(np.maximum(apart, 0)) - error
+        return np.where(np.isfinite(low), np.maximum(low * (1 - 1e-9) - error * 1e-9, 0), 0)
+
 
 def usable(vector: Column) -> Column:
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
@@ -125,7 +135,11 @@ def index(vectors: DataFrame, id_col: str, vector_col: str, d: int, book: Codebo
         order = np.argsort(ids, kind="stable")
         ids, x = ids[order], x[order]
         wide = x.astype(np.float64)
-        return blocks.rows([(0, 0, {"id": ids, "x": x, "code": book.pack(book.assign(book.pairs(wide), SWEEPS)), "half": ((wide**2).sum(axis=1) / 2).astype(np.float32)})])
+        pairs = book.pairs(wide)
+        codes = book.assign(pairs, SWEEPS)
+        near = book.words[np.arange(book.m), codes]
+        more = {"square": (near**2).sum(axis=(1, 2)), "error": np.sqrt(((pairs - near) ** 2).sum(axis=(1, 2)))}
+        return blocks.rows([(0, 0, {"id": ids, "x": x, "code": book.pack(codes), "half": ((wide**2).sum(axis=1) / 2).astype(np.float32)} | more)])
 
     def run(batches):
         held, n = [], 0
@@ -160,6 +174,17 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
     n_blocks = max(1, -(-asked.count() * d * 8 // QUERY_BYTES))
     asked = blocks.checkpointed(asked.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(n_blocks))))
     found = None
+
+    def closer(near, part, cand, own, q):
+        cand = cand[part["id"][cand] != own]
+        dist = np.sqrt(((part["x"][cand].astype(np.float64) - q) ** 2).sum(axis=1))
+        near = (np.concatenate([near[0], part["id"][cand]]), np.concatenate([near[1], dist]))
+        order = np.lexsort(near)[:k]
+        return near[0][order], near[1][order]
+
+    def worst(near):
+        return near[1][-1] if len(near[1]) >= k else np.inf
+
     for b in range(n_blocks):  # a block of queries is at most about QUERY_BYTES
         rows = sorted((r.q, r.v) for r in asked.where(F.col("block") == b).collect())
         ids, x = np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), d)
@@ -170,16 +195,20 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
                 for data in batch.column(2):
                     part = blocks.load(data.as_buffer())
                     for i, q in enumerate(x):
-                        table = book.tables(q)
-                        score = -part["half"]
-                        for t, c in zip(table, part["code"], strict=True):
-                            score = score + t[c]
-                        cand = top(score, RERANK)
-                        cand = cand[part["id"][cand] != ids[i]]
-                        dist = np.sqrt(((part["x"][cand].astype(np.float64) - q) ** 2).sum(axis=1))
-                        near = (np.concatenate([best[i][0], part["id"][cand]]), np.concatenate([best[i][1], dist]))
-                        order = np.lexsort(near)[:k]
-                        best[i] = (near[0][order], near[1][order])
+                        inner = np.zeros(len(part["id"]), dtype=np.float32)
+                        for t, c in zip(book.tables(q), part["code"], strict=True):
+                            inner += t[c]
+                        cand = top(inner - part["half"], RERANK)
+                        best[i] = closer(best[i], part, cand, ids[i], q)
+                        bound = book.bounds(q, inner, part["square"], part["error"])
+                        rest = bound <= worst(best[i])
+                        rest[cand] = False
+                        rest = np.flatnonzero(rest)
+                        rest = rest[np.argsort(bound[rest], kind="stable")]
+                        for lo in range(0, len(rest), STEP):
+                            if bound[rest[lo]] > worst(best[i]):
+                                break
+                            best[i] = closer(best[i], part, rest[lo : lo + STEP], ids[i], q)
             n = [len(a) for a, _ in best]
             if sum(n):
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.concatenate([a for a, _ in best])), pa.array(np.concatenate([b for _, b in best]))], names=["query_id", id_col, "score"])

@@ -50,6 +50,19 @@ def test_awkward_vectors_ties_and_few(spark):
     assert ann.search(df.limit(0), queries).count() == 0 and ann.search(df, queries.limit(0)).count() == 0
 
 
+def test_recall_in_a_dense_cluster(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6000, 64))
+    x[:2000] = rng.normal(size=64) + 0.05 * rng.normal(size=(2000, 64))
+    rows = [(i, [float(v) for v in np.float32(r)]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    asked = rows[:2000:50] + rows[2000::500]
+    want, got = exact(rows, asked), found(ann.search(df, df.where(f"vec_id in ({','.join(str(i) for i, _ in asked)})")))
+    recall = {q: len({a for a, _ in want[q]} & {a for a, _ in got[q]}) / 10 for q in want}
+    print("recall", np.mean([recall[i] for i, _ in asked[:40]]), np.mean([recall[i] for i, _ in asked[40:]]))
+    assert min(recall.values()) == 1
+
+
 def test_blocks_of_queries_agree(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = [(i, [float(v) for v in rng.normal(size=8)]) for i in range(300)]
