@@ -84,6 +84,33 @@ def vector_multi_variant_max(spark, sf):
     return hits.groupBy(F.floor(F.col("query_id") / 4).alias("grp"), "vec_id").agg(F.max("score").alias("score"))
 
 
+# The three above ask with 20 rows, as their SQL does; these with every row whose id is divisible by 50.
+
+
+def _every_vector(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+
+
+@query("vector_topk_whole", None)
+def vector_topk_whole(spark, sf):
+    e, q = _every_vector(spark, sf)
+    return R.vector_topk(e, q, "vec_id", "embedding", "query_id", "qv", 10)
+
+
+@query("vector_topk_filtered_whole", None)
+def vector_topk_filtered_whole(spark, sf):
+    e, q = _every_vector(spark, sf)
+    return R.vector_topk(e.where("label = 3"), q, "vec_id", "embedding", "query_id", "qv", 10)
+
+
+@query("vector_multi_variant_max_whole", None)
+def vector_multi_variant_max_whole(spark, sf):
+    e, q = _every_vector(spark, sf)
+    hits = R.vector_topk(e, q, "vec_id", "embedding", "query_id", "qv", 20)
+    return hits.groupBy(F.floor(F.col("query_id") / 4).alias("grp"), "vec_id").agg(F.max("score").alias("score"))
+
+
 _HITS = lambda kw, t: f"len(list_filter({kw}, lambda w: contains({t}, ' ' || w || ' ')))"
 _LEX = f"""q0 AS (SELECT item_id, {S.keywords('text')} AS k0, trim({S.searchable('text')}) AS ph FROM benchmark), q1 AS (SELECT item_id, ph, {S.unique('k0')} AS kw FROM q0),
 q AS (SELECT *, CASE WHEN len(kw) >= 2 AND length(array_to_string(kw, '')) >= {params.COMPACT_LENGTH} THEN array_to_string(kw, '') END AS cf FROM q1),

@@ -1,0 +1,24 @@
+"""Queries over whole tables, whose narrower twins have SQL: that SQL without its limits, on the smallest tables."""
+
+import pytest
+
+from ferrule.plans import catalog
+
+from .test_catalog import duck, rows  # noqa: F401
+
+VECTOR = [("vec_id < 20", "vec_id % 50 = 0")]
+WHOLE = {
+    "vector_topk_whole": ("vector_topk", VECTOR),
+    "vector_topk_filtered_whole": ("vector_topk_filtered", VECTOR),
+    "vector_multi_variant_max_whole": ("vector_multi_variant_max", VECTOR),
+}
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole(spark, sf, duck, name):  # noqa: F811
+    narrow, changes = WHOLE[name]
+    sql = catalog.ORACLE_SQL[narrow]
+    for old, new in changes:
+        assert old in sql
+        sql = sql.replace(old, new)
+    assert rows(catalog.QUERIES[name](spark, sf).toPandas()) == rows(duck.sql(sql).df())
