@@ -138,7 +138,16 @@ t AS (SELECT s_suppkey, ' ' || regexp_replace({S.searchable("s_name || ' custome
 h AS (SELECT c_custkey, s_suppkey, {_HITS('kw', 'tpad')} + CASE WHEN cf IS NOT NULL AND contains(ttight, cf) THEN 1 ELSE 0 END AS h, len(kw) + CASE WHEN cf IS NOT NULL THEN 1 ELSE 0 END AS n FROM f, t)
 SELECT c_custkey, s_suppkey, round(least(1, 0.35 + h / greatest(n, 1) * CAST(0.45 AS DOUBLE)), 6) AS score FROM h WHERE h > 0""")
 def title_match(spark, sf):
-    q = table(spark, sf, "customer").where("c_custkey <= 40").select("c_custkey", F.concat_ws(" ", "c_mktsegment", "c_name").alias("q"))
+    return _titles(spark, sf, table(spark, sf, "customer").where("c_custkey <= 40"))
+
+
+@query("title_match_whole", None)
+def title_match_whole(spark, sf):
+    return _titles(spark, sf, table(spark, sf, "customer"))
+
+
+def _titles(spark, sf, asked):
+    q = asked.select("c_custkey", F.concat_ws(" ", "c_mktsegment", "c_name").alias("q"))
     q = q.select("c_custkey", T.keywords(F.col("q")).alias("kw"), T.compact_form(F.col("q")).alias("cf"))
     title = F.concat(F.col("s_name"), F.lit(" customer"))
     t = table(spark, sf, "supplier").select("s_suppkey", T.padded(T.searchable(title)).alias("tpad"), T.compact(title).alias("tight"))

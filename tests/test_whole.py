@@ -11,6 +11,7 @@ WHOLE = {
     "vector_topk_whole": ("vector_topk", VECTOR),
     "vector_topk_filtered_whole": ("vector_topk_filtered", VECTOR),
     "vector_multi_variant_max_whole": ("vector_multi_variant_max", VECTOR),
+    "title_match_whole": ("title_match", [(" WHERE c_custkey <= 40", "")]),
 }
 
 
