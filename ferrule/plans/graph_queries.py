@@ -111,6 +111,11 @@ def kg_one_hop(spark, sf):
     return G.neighbours(triples(spark, sf).where("p <> 'supplies'"))
 
 
+@query("kg_one_hop_whole", None)
+def kg_one_hop_whole(spark, sf):
+    return G.neighbours(triples(spark, sf))
+
+
 @query("kg_two_hop", f"WITH {_TRIPLES}, e AS (SELECT s AS a, o AS b FROM tr WHERE u), h AS (SELECT 'customer:' || c_custkey AS seed, 'customer:' || c_custkey AS node, 0 AS depth FROM customer UNION ALL SELECT s.seed, e.b, 1 FROM (SELECT 'customer:' || c_custkey AS seed FROM customer) s JOIN e ON e.a = s.seed UNION ALL SELECT s.seed, f.b, 2 FROM (SELECT 'customer:' || c_custkey AS seed FROM customer) s JOIN e ON e.a = s.seed JOIN e f ON f.a = e.b) SELECT seed, node, CAST(min(depth) AS INTEGER) AS depth FROM h GROUP BY seed, node")
 def kg_two_hop(spark, sf):
     t = triples(spark, sf)
@@ -125,6 +130,13 @@ def kg_reach_recursive(spark, sf):
     return reach.groupBy("node").agg(F.min("depth").alias("depth"))
 
 
+@query("kg_reach_whole", None)
+def kg_reach_whole(spark, sf):
+    t = triples(spark, sf)
+    reach = G.hops(t, t.where("p = 'type' and o = 'Supplier'").select(F.col("s").alias("seed")), 3)
+    return reach.groupBy("node").agg(F.min("depth").alias("depth"))
+
+
 @query("kg_nodes_edges", f"WITH {_TRIPLES} SELECT 'node' AS kind, y.o AS type, count(*) AS n FROM tr y WHERE p = 'type' GROUP BY y.o UNION ALL SELECT 'edge', p, count(*) FROM tr WHERE u GROUP BY p")
 def kg_nodes_edges(spark, sf):
     t = triples(spark, sf)
@@ -179,6 +191,11 @@ def kg_turtle_lines(spark, sf):
     return turtle.lines(triples(spark, sf).where("p <> 'supplies'"))
 
 
+@query("kg_turtle_lines_whole", None)
+def kg_turtle_lines_whole(spark, sf):
+    return turtle.lines(triples(spark, sf))
+
+
 _LABELS = "lab AS (SELECT n_name AS label, 'Nation' AS kind FROM nation UNION ALL SELECT r_name, 'Region' FROM region)"
 
 

@@ -12,6 +12,9 @@ WHOLE = {
     "vector_topk_filtered_whole": ("vector_topk_filtered", VECTOR),
     "vector_multi_variant_max_whole": ("vector_multi_variant_max", VECTOR),
     "title_match_whole": ("title_match", [(" WHERE c_custkey <= 40", "")]),
+    "kg_one_hop_whole": ("kg_one_hop", [(" AND p <> 'supplies'", "")]),
+    "kg_reach_whole": ("kg_reach_recursive", [(" AND p <> 'supplies'", "")]),
+    "kg_turtle_lines_whole": ("kg_turtle_lines", [(" WHERE p <> 'supplies'", "")]),
 }
 
 
