@@ -141,6 +141,12 @@ def evidence_union_distinct(spark, sf):
     return E.union_distinct([e.where("doc_id % 2 = 0"), e.where("doc_id % 3 = 0")], ["key"], ["doc_id", "i"]).select("doc_id", "i", F.md5("s").alias("s"))
 
 
+@query("evidence_union_whole", None)
+def evidence_union_whole(spark, sf):
+    e = _evidence(spark, sf).select("doc_id", "i", "s", F.lower("s").alias("key"))
+    return E.union_distinct([e.where("doc_id % 2 = 0"), e.where("doc_id % 2 <> 0 or doc_id % 3 = 0")], ["key"], ["doc_id", "i"]).select("doc_id", "i", F.md5("s").alias("s"))
+
+
 @query("facts_union_distinct", "WITH u AS (SELECT 0 AS part, n_nationkey AS k, lower(n_name) AS entity, 'nation' AS fact FROM nation UNION ALL SELECT 1, c_custkey, lower(n_name), 'nation' FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 2, c_custkey, lower(c_mktsegment), 'segment' FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY entity, fact ORDER BY part, k) AS n FROM u) SELECT entity, fact, CAST(k AS BIGINT) AS k FROM r WHERE n = 1")
 def facts_union_distinct(spark, sf):
     n, c = table(spark, sf, "nation"), table(spark, sf, "customer")
@@ -190,8 +196,17 @@ def grounding_check(spark, sf):
 
 @query("context_line", "SELECT doc_id, '- [' || coalesce(nullif(source, ''), 'Official Source') || CASE WHEN doc_id % 4 > 0 THEN ' | page ' || CAST(doc_id % 4 AS VARCHAR) ELSE '' END || '] ' || coalesce(substr(text, 1, 40), '') AS line FROM documents")
 def context_line(spark, sf):
+    return _context_lines(spark, sf, F.substring("text", 1, 40))
+
+
+@query("context_line_whole", None)
+def context_line_whole(spark, sf):
+    return _context_lines(spark, sf, F.col("text"))
+
+
+def _context_lines(spark, sf, text):
     page = F.when(F.col("doc_id") % 4 > 0, F.concat(F.lit(" | page "), (F.col("doc_id") % 4).cast("string"))).otherwise("")
-    return table(spark, sf, "documents").select("doc_id", F.concat(F.lit("- ["), F.coalesce(F.nullif("source", F.lit("")), F.lit("Official Source")), page, F.lit("] "), F.coalesce(F.substring("text", 1, 40), F.lit(""))).alias("line"))
+    return table(spark, sf, "documents").select("doc_id", F.concat(F.lit("- ["), F.coalesce(F.nullif("source", F.lit("")), F.lit("Official Source")), page, F.lit("] "), F.coalesce(text, F.lit(""))).alias("line"))
 
 
 def _answers(spark, sf):

@@ -115,6 +115,12 @@ def entity_merge_first_nonempty(spark, sf):
     return I.merged(d, "source", "doc_id", ["lang", "head"], []).join(d.groupBy("source").agg(F.count("*").alias("n")), "source")
 
 
+@query("entity_merge_whole_text", None)
+def entity_merge_whole_text(spark, sf):
+    d = table(spark, sf, "documents").select("source", "doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("lang"), F.col("text").alias("head"))
+    return I.merged(d, "source", "doc_id", ["lang", "head"], []).join(d.groupBy("source").agg(F.count("*").alias("n")), "source")
+
+
 @query("entity_merge_list_union", "WITH f AS (SELECT user_id, event_type, min(ts) AS t, min(event_id) AS i FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k FROM events) WHERE k = 1 GROUP BY user_id, event_type) SELECT user_id, string_agg(event_type, ',' ORDER BY i) AS types FROM f GROUP BY user_id")
 def entity_merge_list_union(spark, sf):
     e = table(spark, sf, "events").select("user_id", "event_id", F.array("event_type").alias("types"))

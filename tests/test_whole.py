@@ -15,6 +15,9 @@ WHOLE = {
     "kg_one_hop_whole": ("kg_one_hop", [(" AND p <> 'supplies'", "")]),
     "kg_reach_whole": ("kg_reach_recursive", [(" AND p <> 'supplies'", "")]),
     "kg_turtle_lines_whole": ("kg_turtle_lines", [(" WHERE p <> 'supplies'", "")]),
+    "context_line_whole": ("context_line", [("substr(text, 1, 40)", "text")]),
+    "evidence_union_whole": ("evidence_union_distinct", [("doc_id % 3 = 0", "(doc_id % 2 <> 0 OR doc_id % 3 = 0)")]),
+    "entity_merge_whole_text": ("entity_merge_first_nonempty", [("substr(text, 1, 20)", "text")]),
 }
 
 
