@@ -1,8 +1,13 @@
 """Shuffles of packed blocks: a row holds many records, compressed, for one bucket.
 
-A job that must bring millions of small records together sends, from each Arrow batch, one row for
-each bucket. That costs the JVM a few rows instead of millions, and compresses well. A bucket's share
-of the data is bounded because the number of buckets follows the input (`buckets`).
+A job that must bring millions of small records together sends, from each block, one row for each bucket.
+That costs the JVM a few rows instead of millions, and compresses well. A bucket's share of the data is bounded
+because the number of buckets follows the input (`buckets`).
+
+With n blocks and n buckets that would be n * n rows. So a block sends no more than FAN rows: with more
+buckets than that, a row is for a group of buckets, and relays, each of which takes the rows of as many senders
+for one group, sort them out further (`Route`). Rows grow with n, not with its square; each level of
+relays writes the records once more.
 """
 
 from __future__ import annotations
@@ -19,18 +24,20 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as Y
 
 from ferrule import session
 
 from . import words
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES, FAN = 16 << 20, 1024
 #: The kind of a row that holds documents.
 DOCS = 0
 #: Stands for a null document id.
 NULL_ID = np.iinfo(np.int64).min
-SCHEMA = "bucket int, kind int, data binary"
-_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
+SCHEMA = "bucket long, part long, kind int, data binary"
+_ARROW = pa.schema([("bucket", pa.int64()), ("part", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
+_PRIMES = tuple(np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # fixed values of XXH64
 
 
 def prepare(spark: SparkSession) -> None:
@@ -41,33 +48,139 @@ def prepare(spark: SparkSession) -> None:
 
 
 def buckets(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
-    """How many buckets df's data make: the size of the tables it reads over block_bytes, and no fewer than the shuffle partitions.
+    """How many buckets df's data make: its bytes over block_bytes, and no fewer than the shuffle partitions."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(stored_bytes(df) / block_bytes))
 
-    Where Spark doesn't know a size, the number of df's partitions stands in.
-    """
+
+def stored_bytes(df: DataFrame) -> int:
+    """The size of the files that df reads; where it reads anything else, that of its strings, which takes a pass over them."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, math.ceil(size / block_bytes) if size < 1 << 55 else df.rdd.getNumPartitions())
+    leaves = [leaves.apply(k) for k in range(leaves.size())]
+    if all(x.getClass().getSimpleName() == "LogicalRelation" for x in leaves):
+        return sum(int(str(x.stats().sizeInBytes())) for x in leaves)
+    strings = [F.coalesce(F.octet_length(f.name).cast("long"), F.lit(0)) for f in df.schema if isinstance(f.dataType, Y.StringType | Y.BinaryType)]
+    return df.agg(F.coalesce(F.sum(sum(strings, F.lit(8))), F.lit(0))).first()[0]
+
+
+def whole_ids(df: DataFrame, id_col: str) -> None:
+    """Document ids must be whole numbers; anything else is refused before any work."""
+    if not isinstance(kind := df.schema[id_col].dataType, Y.IntegralType):
+        raise TypeError(f"{id_col} must be of an integer type, not {kind.simpleString()}")
+
+
+_zip: list = []
+
+
+def _compressors():
+    if not _zip:
+        _zip.extend([zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()])
+    return _zip
+
+
+def dump(parts: dict[str, np.ndarray], level: int = 1) -> bytes:
+    """Arrays by name as bytes; those of whole numbers byte by byte of all numbers, which compresses better."""
+    head, body = [], []
+    for k, v in parts.items():
+        v = np.ascontiguousarray(v)
+        planes = v.ndim == 1 and v.dtype.kind in "iu" and v.itemsize > 1
+        head.append((k, v.dtype.str, v.shape, planes))
+        body.append((v.view(np.uint8).reshape(-1, v.itemsize).T if planes else v).tobytes())
+    h = pickle.dumps(head, protocol=5)
+    data = b"".join([len(h).to_bytes(4, "little"), h, *body])
+    return _compressors()[0].compress(data) if level == 1 else zstandard.ZstdCompressor(level=level).compress(data)
+
+
+def load(data) -> dict[str, np.ndarray]:
+    raw = _compressors()[1].decompress(data)
+    at = 4 + int.from_bytes(raw[:4], "little")
+    out = {}
+    for k, kind, shape, planes in pickle.loads(raw[4:at]):
+        kind, n = np.dtype(kind), math.prod(shape)
+        v = np.frombuffer(raw, dtype=np.uint8, count=n * kind.itemsize, offset=at)
+        at += len(v)
+        out[k] = np.ascontiguousarray(v.reshape(kind.itemsize, -1).T).view(kind).reshape(-1) if planes else v.view(kind).reshape(shape)
+    return out
+
+
+class Route:
+    """The way of records to n buckets: how many buckets a row is for (`widths`), level by level, the last level's for one."""
+
+    def __init__(self, n: int):
+        self.n, levels = n, 1
+        while FAN**levels < n:
+            levels += 1
+        self.fan = math.ceil(round(n ** (1 / levels), 6))
+        self.widths = [self.fan**k for k in range(levels - 1, -1, -1)]
+
+    def rows(self, items: Iterable[tuple[int, int, dict]], own: int, level: int = 0) -> pa.RecordBatch:
+        """(bucket, kind, arrays) as a record batch of SCHEMA, sent by the block (or bucket) `own`.
 
+        Arrays of one name that meet in a bucket may be put end to end, so what they mean must allow that.
+        """
+        width, parts = self.widths[level], max(1, math.ceil(self.n / self.fan ** (level + 1)))
+        if width > 1:
+            group: dict[tuple[int, int], list] = {}
+            for bucket, kind, x in items:
+                group.setdefault((bucket // width, kind), []).append((bucket, x))
+            items = [(g, kind, _bundle(x)) for (g, kind), x in group.items()]
+        return rows(items, own % parts if width > 1 else 0)
 
-def dump(parts: dict) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(parts, protocol=5))
+    def table(self, items: Iterable[tuple[int, int, dict]], own: int) -> pa.Table:
+        return pa.Table.from_batches([self.rows(items, own)])
 
+    def relayed(self, df: DataFrame) -> DataFrame:
+        """df, of rows(), with a row for each bucket: what the relays make of it."""
+        for level in range(len(self.widths) - 1):
+            df = df.repartition(self.n, "bucket", "part").groupBy("bucket", "part").applyInArrow(tidy(_relay(self, level)), SCHEMA)
+        return df
 
-def load(data: bytes) -> dict:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+    def spread(self, df: DataFrame) -> DataFrame:
+        """df, of rows(), dealt by bucket; for groupBy('bucket') that follows."""
+        return self.relayed(df).repartition(self.n, "bucket")
 
 
-def rows(items: Iterable[tuple[int, int, dict]]) -> pa.RecordBatch:
-    """(bucket, kind, parts) as a record batch of SCHEMA."""
+def rows(items: Iterable[tuple[int, int, dict]], part: int = 0) -> pa.RecordBatch:
+    """(bucket, kind, arrays) as a record batch of SCHEMA."""
     items = list(items)
     return pa.RecordBatch.from_arrays(
-        [pa.array([b for b, _, _ in items], pa.int32()), pa.array([k for _, k, _ in items], pa.int32()), pa.array([dump(x) for _, _, x in items], pa.binary())],
+        [pa.array([b for b, _, _ in items], pa.int64()), pa.array([part] * len(items), pa.int64()), pa.array([k for _, k, _ in items], pa.int32()), pa.array([dump(x) for _, _, x in items], pa.binary())],
         schema=_ARROW,
     )
 
 
+def _bundle(items: list[tuple[int, dict]]) -> dict:
+    """Arrays for several buckets in one: those of each name end to end, and how long each bucket's are."""
+    out = {"": np.array([b for b, _ in items], dtype=np.int64)}
+    for k in items[0][1]:
+        out[k] = np.concatenate([np.asarray(x[k]) for _, x in items])
+        out[f"#{k}"] = np.array([len(x[k]) for _, x in items], dtype=np.int64)
+    return out
+
+
+def _relay(route: Route, level: int):
+    """Sorts the bundles of several senders out by bucket, or by smaller group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = []
+        for kind, several in by_kind(table).items():
+            x = joined(several)
+            order = np.argsort(x[""], kind="stable")
+            to = x[""][order]
+            first = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+            moved = {}
+            for k in x:
+                if k and k[0] != "#":
+                    size = x[f"#{k}"]
+                    start = (np.cumsum(size) - size)[order]
+                    size = size[order]
+                    moved[k] = x[k][np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())], np.concatenate([[0], np.cumsum(size)])
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(to)], strict=True):
+                out.append((int(to[a]), kind, {k: v[cut[a] : cut[b]] for k, (v, cut) in moved.items()}))
+        return pa.Table.from_batches([route.rows(out, table.column("part")[0].as_py(), level + 1)])
+
+    return run
+
+
 def split(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> Iterable[tuple[int, dict]]:
     """The rows of equally long columns, for each bucket that has any."""
     if not len(bucket):
@@ -83,53 +196,60 @@ def split(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> Iterable[tuple[
         lo = hi
 
 
-def spread(df: DataFrame, n: int) -> DataFrame:
-    """df, of SCHEMA, dealt by bucket; for groupBy('bucket') that follows."""
-    return df.repartition(n, "bucket")
-
+def bucket_of(ids: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of whole-number ids: Spark's pmod(xxhash64(id), n), so that plain rows and packed ones meet."""
+    p1, p2, p3, p4, p5 = _PRIMES
+    turn = lambda x, k: x << np.uint64(k) | x >> np.uint64(64 - k)
+    with np.errstate(over="ignore"):
+        h = (np.uint64(50) + p5) ^ turn(ids.astype(np.int64).view(np.uint64) * p2, 31) * p1
+        h = turn(h, 27) * p1 + p4
+        h = (h ^ h >> np.uint64(33)) * p2
+        h = (h ^ h >> np.uint64(29)) * p3
+        h ^= h >> np.uint64(32)
+    return np.where(ids == NULL_ID, 42 % n, h.view(np.int64) % n).astype(np.int64)
 
-def texts_by_bucket(doc_ids: np.ndarray, buf: np.ndarray, offsets: np.ndarray, bucket: np.ndarray, extra: dict[str, np.ndarray] | None = None) -> Iterable[tuple[int, dict]]:
-    """Whole texts with their ids, for each bucket: ids, lengths and one run of bytes."""
-    for b, x in split(bucket, {"row": np.arange(len(doc_ids))}):
-        rows_ = x["row"]
-        data = b"".join(buf[offsets[r] : offsets[r + 1]].tobytes() for r in rows_.tolist())
-        yield b, {"id": doc_ids[rows_], "len": (offsets[rows_ + 1] - offsets[rows_]).astype(np.int64), "text": data} | {k: v[rows_] for k, v in (extra or {}).items()}
 
+def dealt(docs: DataFrame, n: int, id_col: str, text_col: str, rest: list[str] | None = None) -> DataFrame:
+    """docs as plain rows, by bucket of id: bucket, _id, _text and the columns `rest` as _rest0 and so on."""
+    whole_ids(docs, id_col)
+    picked = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_rest{k}") for k, c in enumerate(rest or [])])
+    return picked.select(F.pmod(F.xxhash64("_id"), F.lit(n)).alias("bucket"), "*").repartition(n, "bucket")
 
-def bucket_of(ids: np.ndarray, n: int) -> np.ndarray:
-    return (words.mix(ids.astype(np.uint64)) % np.uint64(n)).astype(np.int32)
 
+def packed(docs: DataFrame, n: int, id_col: str, text_col: str, chunk: int) -> DataFrame:
+    """docs as SCHEMA rows, dealt to n blocks: runs of documents of about `chunk` bytes of text, whichever come one after another."""
+    from pyspark import TaskContext
 
-def packed(docs: DataFrame, n: int, id_col: str, text_col: str, rest: list[str] | None = None) -> DataFrame:
-    """docs as SCHEMA rows by bucket of id: ids and texts, and the columns `rest` as an Arrow stream."""
-    rest = rest or []
+    whole_ids(docs, id_col)
 
     def run(batches):
+        place = int(words.mix(np.array([TaskContext.get().partitionId() + 1], dtype=np.uint64))[0] % np.uint64(n))
+        held, size = [], 0
+
+        def flush():
+            ids, buf, at = (np.concatenate([h[k] for h in held]) for k in range(3))
+            return pa.RecordBatch.from_arrays([pa.array([place % n], pa.int64()), pa.array([0], pa.int64()), pa.array([DOCS], pa.int32()), pa.array([dump({"id": ids, "len": at, "text": buf}, 3)], pa.binary())], schema=_ARROW)
+
         for batch in batches:
-            ids = batch.column(0).cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+            ids = batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
             buf, at = words.buffers(batch.column(1))
-            out = []
-            for b, x in texts_by_bucket(ids, buf, at, bucket_of(ids, n), {"row": np.arange(len(ids))}):
-                row = x.pop("row")
-                if rest:
-                    sink = pa.BufferOutputStream()
-                    part = pa.Table.from_batches([batch]).select(list(range(2, batch.num_columns))).take(pa.array(row))
-                    with pa.ipc.new_stream(sink, part.schema) as w:
-                        w.write_table(part)
-                    x["rest"] = sink.getvalue().to_pybytes()
-                out.append((b, DOCS, x))
-            if out:
-                yield rows(out)
-
-    picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_rest{k}") for k, c in enumerate(rest)])
-    return spread(picked.mapInArrow(tidy_batches(run), SCHEMA), n)
-
-
-def first_rows(df: DataFrame, rows_: int, partitions: int) -> DataFrame:
-    """A sample: the first rows of at most so many partitions, spread evenly."""
-    step = max(1, -(-df.rdd.getNumPartitions() // partitions))
-    place = F.monotonically_increasing_id()  # the partition, and below 2**33 the row in it
-    return df.where((F.shiftright(place, 33) % step == 0) & (place.bitwiseAND(F.lit((1 << 33) - 1)) < rows_))
+            for lo, hi in words.runs(at, chunk):
+                held.append((ids[lo:hi], buf[at[lo] : at[hi]], np.diff(at[lo : hi + 1])))
+                size += at[hi] - at[lo]
+                if size >= chunk // 2:
+                    yield flush()
+                    held, size, place = [], 0, place + 1
+        if held:
+            yield flush()
+
+    picked = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    return picked.mapInArrow(tidy_batches(run), SCHEMA).repartition(n, "bucket")
+
+
+def some_rows(df: DataFrame, id_col: str, bytes_: int) -> DataFrame:
+    """A sample by hash of the id: documents of about bytes_ in all."""
+    share = min(1.0, bytes_ / max(1, stored_bytes(df)))
+    return df.where(F.pmod(F.xxhash64(id_col, F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
 
 
 def trim() -> None:
@@ -190,24 +310,23 @@ def send(kind: int, bucket: np.ndarray, columns: dict) -> list:
     return [(b, kind, x) for b, x in split(bucket, columns)]
 
 
-def gather(parts: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict]:
-    """What texts_by_bucket sent, together again: ids, buffer, offsets and the other columns."""
-    if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(1, np.int64), {}
-    ids = np.concatenate([p["id"] for p in parts])
-    buf = np.frombuffer(b"".join(p["text"] for p in parts), dtype=np.uint8)
-    offsets = np.concatenate([[0], np.cumsum(np.concatenate([p["len"] for p in parts]))]).astype(np.int64)
-    return ids, buf, offsets, {k: np.concatenate([p[k] for p in parts]) for k in parts[0] if k not in ("id", "len", "text")}
+def gather(parts: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts that were sent as id, len and text, together: ids, buffer, offsets."""
+    x = joined(parts) or {"id": np.zeros(0, np.int64), "len": np.zeros(0, np.int64), "text": np.zeros(0, np.uint8)}
+    return x["id"], x["text"], np.concatenate([[0], np.cumsum(x["len"])]).astype(np.int64)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The URI in spark.checkpoint.dir; a temporary folder stands in only where none is set, as in tests."""
+    """The URI in spark.checkpoint.dir; a temporary folder stands in only where none is set and the master is local, as in tests."""
     sc = spark.sparkContext
     where = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if where is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="ferrule-")
         sc.setCheckpointDir(where)
-    return where if "://" in where or where.startswith("file:") else f"file://{where}"
+    # a path without a scheme is one of the cluster's default file system
+    return where if ":/" in where else spark._jvm.org.apache.hadoop.fs.Path(where).getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(spark._jvm.org.apache.hadoop.fs.Path(where)).toString()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -218,9 +337,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def ordered(tables: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Table | None]:
-    """Documents of a bucket in order of id, ties by bytes: ids, tie numbers, buffer, offsets, row order, other columns."""
-    ids, buf, at, _ = gather([{k: v for k, v in t.items() if k != "rest"} for t in tables])
+def ordered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Table]:
+    """dealt() documents of a bucket in order of id, ties by bytes: ids, tie numbers, buffer, offsets, and the rows in that order."""
+    ids = table.column("_id").combine_chunks().fill_null(NULL_ID).to_numpy(zero_copy_only=False) if table.num_rows else np.zeros(0, np.int64)
+    buf, at = words.buffers(table.column("_text"))
     order = np.argsort(ids, kind="stable")
     same = np.flatnonzero(np.diff(ids[order]) == 0)
     if len(same):
@@ -232,5 +352,4 @@ def ordered(tables: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     moved = np.concatenate([buf[at[r] : at[r + 1]] for r in order.tolist()]) if len(order) else buf
     ids = ids[order]
     first = np.searchsorted(ids, ids, side="left")
-    rest = pa.concat_tables([pa.ipc.open_stream(t["rest"]).read_all() for t in tables]).take(pa.array(order)) if tables and "rest" in tables[0] else None
-    return ids, np.arange(len(ids)) - first, moved, new, order, rest
+    return ids, np.arange(len(ids)) - first, moved, new, table.take(pa.array(order)) if table.num_rows else table

@@ -13,12 +13,14 @@ anchor still has several different segments, their text goes to one bucket by an
 2. adjacent suffixes with a common prefix of `length` bytes form groups; all of a group but its first are
    repeats.
 
-Order to the depth of `length` bytes is enough, so sorting stops there. An anchor that a sample shows with
-very many different segments would fill one bucket: its windows go out one by one, by the hash of the whole
-window (a segment of one window), which spreads them. The sample settles routing only, never a result.
+Order to the depth of `length` bytes is enough, so sorting stops there. An anchor with very many different
+segments would fill one bucket: its windows go out one by one, by the hash of the whole window (128 bits), which
+spreads them. Anchors that a sample of documents (by hash of the id) shows to be such go that way from the start;
+those that the counts show afterwards (segments of over WIDE bytes) once they are counted. This settles routing only, never a result.
 
 Cases. A null text counts as empty; a text under `length` bytes loses nothing. Rows with equal ids are
-ordered by their bytes; null ids come first. Empty tables give none. Other columns are kept by dedup() and
+ordered by their bytes; null ids come first. Empty tables give none. A very long text is one task's, as a whole,
+in runs; texts up to 2 GB. `length` from 32 to 32,768, ids must be whole numbers; else an error. Other columns are kept by dedup() and
 not read by report(). dedup() drops bytes of a character that was cut; a document that repeats others
 wholly stays, with empty text.
 """
@@ -35,10 +37,11 @@ from pyspark.sql import functions as F
 from . import blocks, words
 
 K = 32
-DOCS, RUNS, MARKS, NEEDED, SEGMENTS = range(5)
+DOCS, RUNS, MARKS, NEEDED, SEGMENTS, WINDOWS = range(6)
 assert DOCS == blocks.DOCS
-#: Rows that each of at most SAMPLE_PARTS partitions gives to the sample that finds hot anchors.
-SAMPLE_ROWS, SAMPLE_PARTS, HOT_SHARE, HOT_MOST = 100, 64, 0.01, 4096
+#: The sample that finds hot anchors: bytes for each bucket, and the documents in it that show an anchor with different segments.
+SAMPLE_BYTES, SAMPLE_LEAST, HOT_SEEN, HOT_EACH = 64 << 10, 16 << 20, 16, 80
+WIDE, LONGEST = 4 << 20, 1 << 15
 
 
 def segments(buf: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -170,9 +173,8 @@ def repeats(text: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def hot_anchors(docs: DataFrame, text_col: str, length: int) -> np.ndarray:
-    """Anchors that many sampled documents show with different segments: at most HOT_MOST."""
-    parts = docs.select(text_col).rdd.getNumPartitions()
+def hot_anchors(docs: DataFrame, id_col: str, text_col: str, length: int, n: int) -> np.ndarray:
+    """Anchors that many sampled documents show with different segments: at most HOT_EACH for each bucket."""
 
     def run(batches):
         for batch in batches:
@@ -181,10 +183,9 @@ def hot_anchors(docs: DataFrame, text_col: str, length: int) -> np.ndarray:
             pair = np.unique(np.stack([anchor, segment], axis=1), axis=0) if len(anchor) else np.zeros((0, 2), np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].astype(np.int64)), pa.array(pair[:, 1].astype(np.int64))], names=["anchor", "segment"])
 
-    least = max(8, int(HOT_SHARE * SAMPLE_ROWS * min(parts, SAMPLE_PARTS)))
-    few = blocks.first_rows(docs.select(text_col), SAMPLE_ROWS, SAMPLE_PARTS)
-    seen = few.mapInArrow(run, "anchor long, segment long").distinct().groupBy("anchor").count().where(F.col("count") >= least)
-    return np.array(sorted(r[0] for r in seen.orderBy(F.desc("count"), "anchor").limit(HOT_MOST).collect()), dtype=np.int64).astype(np.uint64)
+    few = blocks.some_rows(docs.select(id_col, text_col), id_col, max(SAMPLE_LEAST, n * SAMPLE_BYTES)).select(text_col)
+    seen = few.mapInArrow(run, "anchor long, segment long").distinct().groupBy("anchor").count().where(F.col("count") >= HOT_SEEN)
+    return np.array(sorted(r[0] for r in seen.orderBy(F.desc("count"), "anchor").limit(n * HOT_EACH).collect()), dtype=np.int64).astype(np.uint64)
 
 
 def _runs_to_marks(doc: np.ndarray, tie: np.ndarray, s: np.ndarray, e: np.ndarray) -> dict:
@@ -193,10 +194,10 @@ def _runs_to_marks(doc: np.ndarray, tie: np.ndarray, s: np.ndarray, e: np.ndarra
 
 def _find(docs: DataFrame, n: int, hot: np.ndarray, length: int) -> DataFrame:
     """Rows of kind MARKS by the bucket of their document: the byte ranges to remove."""
-    hot = np.sort(hot)
+    hot, route, most = np.sort(hot), blocks.Route(n), WIDE
 
     def local(table: pa.Table) -> pa.Table:  # segments of a block; all but the first of equal ones are marked here
-        ids, tie, buf, at, _, _ = blocks.ordered(blocks.by_kind(table)[DOCS])
+        ids, tie, buf, at, _ = blocks.ordered(table)
         own = table.column("bucket")[0].as_py()
         found = []
         for lo, hi in words.runs(at):
@@ -224,8 +225,8 @@ def _find(docs: DataFrame, n: int, hot: np.ndarray, length: int) -> DataFrame:
                 s, e, d = merged(doc[old], a[old], a[old] + m[old] - 1 + length)
                 out.append((own, MARKS, _runs_to_marks(ids[d], tie[d], s, e)))
             d = doc[new]
-            out += blocks.send(RUNS, (anchor[new] % np.uint64(n)).astype(np.int32), {"anchor": anchor[new], "segment": segment[new], "doc": ids[d], "tie": tie[d].astype(np.int32), "a": a[new].astype(np.int32), "m": m[new].astype(np.uint8)})
-        return pa.Table.from_batches([blocks.rows(out)])
+            out += blocks.send(RUNS, (anchor[new] % np.uint64(n)).astype(np.int64), {"anchor": anchor[new], "segment": segment[new], "doc": ids[d], "tie": tie[d].astype(np.int32), "a": a[new].astype(np.int32), "m": m[new].astype(np.uint16)})
+        return route.table(out, own)
 
     def overall(table: pa.Table) -> pa.Table:  # first of equal segments over all blocks; anchors with several
         kinds = blocks.by_kind(table)
@@ -243,19 +244,27 @@ def _find(docs: DataFrame, n: int, hot: np.ndarray, length: int) -> DataFrame:
             out += blocks.send(MARKS, blocks.bucket_of(old["doc"], n), _runs_to_marks(old["doc"], old["tie"], old["a"], end))
             which = np.cumsum(other) - 1
             several = new & (np.bincount(which, weights=new)[which] > 1)
-            need = {k: x[k][several] for k in ("anchor", "doc", "tie", "a", "m")}
+            size = np.bincount(which, weights=new * (x["m"].astype(np.int64) - 1 + length))[which]
+            need = {k: x[k][several] for k in ("anchor", "doc", "tie", "a", "m")} | {"wide": size[several] > most}
             out += blocks.send(NEEDED, blocks.bucket_of(need["doc"], n), need)
-        return pa.Table.from_batches([blocks.rows(out)])
+        return route.table(out, own)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:  # text of the segments that have to be sorted
         kinds = blocks.by_kind(right)
-        bucket = (right if right.num_rows else left).column("bucket")[0].as_py()
-        out = [(bucket, MARKS, x) for x in kinds.get(MARKS, [])]
+        own = (right if right.num_rows else left).column("bucket")[0].as_py()
+        out = [(own, MARKS, x) for x in kinds.get(MARKS, [])]
         need = blocks.joined(kinds.get(NEEDED, []))
         if need and left.num_rows:
-            ids, tie, buf, at, _, _ = blocks.ordered(blocks.by_kind(left)[DOCS])
+            ids, tie, buf, at, _ = blocks.ordered(left)
             row = np.searchsorted(ids, need["doc"]) + need["tie"]
-            to = (need["anchor"] % np.uint64(n)).astype(np.int32)
+            for r in np.unique(row[need["wide"]]).tolist():  # windows of a document, one by one
+                mine = need["wide"] & (row == r)
+                a, m = need["a"][mine].astype(np.int64), need["m"][mine].astype(np.int64)
+                p = np.repeat(a - (np.cumsum(m) - m), m) + np.arange(m.sum())
+                h = [words.span_hash(words.prefix_hash(buf[at[r] : at[r + 1]], j), p, p + length, j) for j in (0, 1)]
+                out += blocks.send(WINDOWS, (h[0] % np.uint64(n)).astype(np.int64), {"h": h[0], "g": h[1], "doc": np.full(len(p), ids[r]), "tie": np.full(len(p), tie[r], dtype=np.int32), "a": p.astype(np.int32)})
+            row, need = row[~need["wide"]], {k: v[~need["wide"]] for k, v in need.items() if k != "wide"}
+            to = (need["anchor"] % np.uint64(n)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             start, size = (at[row] + need["a"])[order], (need["m"].astype(np.int64) - 1 + length)[order]
             ends = np.cumsum(size)
@@ -266,7 +275,7 @@ def _find(docs: DataFrame, n: int, hot: np.ndarray, length: int) -> DataFrame:
                 rows_ = order[i]
                 lo, hi = ends[i[0]] - size[i[0]], ends[i[-1]]
                 out.append((b, SEGMENTS, {"doc": need["doc"][rows_], "tie": need["tie"][rows_], "a": need["a"][rows_], "m": need["m"][rows_], "text": flat[lo:hi]}))
-        return pa.Table.from_batches([blocks.rows(out)])
+        return route.table(out, own)
 
     def sort(table: pa.Table) -> pa.Table:  # the suffix array of a bucket
         kinds = blocks.by_kind(table)
@@ -289,11 +298,19 @@ def _find(docs: DataFrame, n: int, hot: np.ndarray, length: int) -> DataFrame:
             r = order[seg]
             low = x["a"][r] + (s - begin[seg])
             out += blocks.send(MARKS, blocks.bucket_of(x["doc"][r], n), _runs_to_marks(x["doc"][r], x["tie"][r], low, low + (e - s) - 1 + length))
-        return pa.Table.from_batches([blocks.rows(out)])
+        if x := blocks.joined(kinds.get(WINDOWS, [])):
+            order = np.lexsort((x["a"], x["tie"], x["doc"], x["g"], x["h"]))
+            x = {k: v[order] for k, v in x.items()}
+            again = np.zeros(len(order), dtype=bool)
+            again[1:] = (x["h"][1:] == x["h"][:-1]) & (x["g"][1:] == x["g"][:-1])
+            doc, tie, low = (x[k][again] for k in ("doc", "tie", "a"))
+            out += blocks.send(MARKS, blocks.bucket_of(doc, n), _runs_to_marks(doc, tie, low, low + length))
+        return route.table(out, own)
 
-    grouped = lambda df: blocks.spread(df, n).groupBy("bucket")
+    grouped = lambda df: route.spread(df).groupBy("bucket")
     first = grouped(docs.groupBy("bucket").applyInArrow(blocks.tidy(local), blocks.SCHEMA)).applyInArrow(blocks.tidy(overall), blocks.SCHEMA)
-    return grouped(docs.groupBy("bucket").cogroup(grouped(first)).applyInArrow(blocks.tidy_two(cut), blocks.SCHEMA)).applyInArrow(blocks.tidy(sort), blocks.SCHEMA)
+    marks = grouped(docs.groupBy("bucket").cogroup(grouped(first)).applyInArrow(blocks.tidy_two(cut), blocks.SCHEMA)).applyInArrow(blocks.tidy(sort), blocks.SCHEMA)
+    return route.spread(marks)
 
 
 def merged(doc: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -308,14 +325,14 @@ def merged(doc: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, n
     return s[heads], np.maximum.reduceat(base + e, heads) - base[heads], doc[heads]
 
 
-def _removed(tables: list[dict], marks: list[dict]):
-    ids, tie, buf, at, _, rest = blocks.ordered(tables)
+def _removed(table: pa.Table, marks: list[dict]):
+    ids, tie, buf, at, rows_ = blocks.ordered(table)
     edge = np.zeros(len(buf) + 1, dtype=np.int32)
     if x := blocks.joined(marks):
         row = np.searchsorted(ids, x["doc"]) + x["tie"]
         np.add.at(edge, at[row] + x["s"], 1)
         np.add.at(edge, at[row] + x["e"], -1)
-    return ids, buf, at, np.cumsum(edge[:-1]) > 0, rest
+    return ids, buf, at, np.cumsum(edge[:-1]) > 0, rows_
 
 
 def _kept(buf: np.ndarray, at: np.ndarray, gone: np.ndarray) -> list[bytes]:
@@ -324,15 +341,22 @@ def _kept(buf: np.ndarray, at: np.ndarray, gone: np.ndarray) -> list[bytes]:
     return [raw[a:b] for a, b in zip(total[:-1].tolist(), total[1:].tolist(), strict=True)]
 
 
-def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
-    """(id_col, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
+def _start(docs: DataFrame, id_col: str, text_col: str, rest: list[str], length: int) -> tuple[DataFrame, DataFrame]:
+    """Documents by bucket, and the byte ranges to remove."""
+    if not K <= length <= LONGEST:
+        raise ValueError(f"length must be from {K} to {LONGEST}")
     blocks.prepare(docs.sparkSession)
     n = blocks.buckets(docs.select(id_col, text_col))
-    base = blocks.packed(docs, n, id_col, text_col, [])
-    marks = _find(base, n, hot_anchors(docs, text_col, length), length)
+    base = blocks.dealt(docs, n, id_col, text_col, rest)
+    return base, _find(base, n, hot_anchors(docs, id_col, text_col, length, n), length)
+
+
+def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
+    """(id_col, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
+    base, marks = _start(docs, id_col, text_col, [], length)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, buf, at, gone, _ = _removed(blocks.by_kind(left).get(DOCS, []), blocks.by_kind(right).get(MARKS, []))
+        ids, buf, at, gone, _ = _removed(left, blocks.by_kind(right).get(MARKS, []))
         begin = gone.copy()
         begin[1:] &= ~gone[:-1]
         inner = at[:-1][at[:-1] < len(buf)]
@@ -341,21 +365,18 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
         digest = [hashlib.sha256(x).hexdigest() for x in _kept(buf, at, gone)]
         return pa.table({"id": pa.array(ids, mask=ids == blocks.NULL_ID), "n_bytes": np.diff(at), "n_removed": total(gone).astype(np.int64), "n_spans": total(begin).astype(np.int64), "kept_sha256": pa.array(digest, pa.string())}).rename_columns([id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return base.groupBy("bucket").cogroup(blocks.spread(marks, n).groupBy("bucket")).applyInArrow(blocks.tidy_two(finish), f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return base.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(blocks.tidy_two(finish), f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
     """docs, all columns, with the repeated bytes cut from the text."""
-    blocks.prepare(docs.sparkSession)
-    n = blocks.buckets(docs)
     rest = [c for c in docs.columns if c != text_col]
-    base = blocks.packed(docs, n, id_col, text_col, rest)
-    marks = _find(base, n, hot_anchors(docs, text_col, length), length)
+    base, marks = _start(docs, id_col, text_col, rest, length)
     schema, names = docs.schema, docs.columns
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        _, buf, at, gone, other = _removed(blocks.by_kind(left).get(DOCS, []), blocks.by_kind(right).get(MARKS, []))
+        _, buf, at, gone, other = _removed(left, blocks.by_kind(right).get(MARKS, []))
         text = pa.array([x.decode("utf-8", "ignore") for x in _kept(buf, at, gone)], pa.string())
-        return pa.table([text if c == text_col else other.column(rest.index(c)) for c in names], names=names)
+        return pa.table([text if c == text_col else other.column(f"_rest{rest.index(c)}") for c in names], names=names)
 
-    return base.groupBy("bucket").cogroup(blocks.spread(marks, n).groupBy("bucket")).applyInArrow(blocks.tidy_two(finish), schema)
+    return base.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(blocks.tidy_two(finish), schema)
