@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import blocks, words
 
-ASK_WORDS, WORDS, ASK_GRAMS, GRAMS, TOTALS = range(1, 6)
+ASK_WORDS, WORDS, ASK_GRAMS, GRAMS, TOTALS, SUMS = range(1, 7)
 END, BEGIN = np.uint64(0x51ED270B0B1F0E35), np.uint64(0xA24BAED4963EE407)
 #: Of documents as stored; a block's tokens are held with about 200 bytes each.
 BLOCK_BYTES, CHUNK, LANE = 6 << 20, 1 << 20, 256
@@ -350,28 +350,30 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     def count_grams(table: pa.Table) -> pa.Table:
         return route.table(add_grams(own_of(table), blocks.by_kind(table)[ASK_GRAMS]), own_of(table))
 
-    def split_totals(df):  # TOTALS rows are read here and not sent on
-        kept = blocks.checkpointed(df)
-        return kept.where(F.col("kind") != TOTALS), kept.where(F.col("kind") == TOTALS)
-
-    words_, sums2 = split_totals(route.spread(packed.groupBy("bucket").applyInArrow(blocks.tidy(ask), blocks.SCHEMA)).groupBy("bucket").applyInArrow(blocks.tidy(count_words), blocks.SCHEMA))
-    words_ = route.relayed(words_)
-    asked = packed.groupBy("bucket").cogroup(words_.repartition(n, "bucket").groupBy("bucket")).applyInArrow(blocks.tidy_two(ask_grams), blocks.SCHEMA)
-    grams, sums3 = split_totals(route.spread(asked).groupBy("bucket").applyInArrow(blocks.tidy(count_grams), blocks.SCHEMA))
-
-    def flat(batches):
-        for table in batches:
-            for x in blocks.by_kind(pa.Table.from_batches([table])).get(TOTALS, []):
+    def told(batches):
+        for batch in batches:
+            for x in blocks.by_kind(pa.Table.from_batches([batch])).get(TOTALS, []):
                 yield pa.RecordBatch.from_arrays([pa.array(x["name"].tobytes().decode().split("\n")[:-1]), pa.array(x["value"])], names=["name", "value"])
 
-    total = dict.fromkeys(("tokens", "words", "w1", "w2", "one2", "one3"), 0.0) | {f"l{k}_{i}": 0.0 for k in (2, 3) for i in range(len(GRID))}
-    for s in (sums2, sums3):  # some 70 numbers
-        total |= {r.name: r.value for r in s.mapInArrow(flat, "name string, value double").groupBy("name").agg(F.sum("value").alias("value")).collect()}
+    def summed(table: pa.Table) -> pa.Table:  # some 70 numbers
+        names = "".join(f"{x}\n" for x in table.column("name").to_pylist())
+        return pa.Table.from_batches([blocks.rows([(0, SUMS, {"name": np.frombuffer(names.encode(), np.uint8), "value": table.column("value").to_numpy()})])])
+
+    # one plan, so that each exchange is written once and read by all that follow
+    words_ = route.spread(route.spread(packed.groupBy("bucket").applyInArrow(blocks.tidy(ask), blocks.SCHEMA)).groupBy("bucket").applyInArrow(blocks.tidy(count_words), blocks.SCHEMA))
+    asked = packed.groupBy("bucket").cogroup(words_.groupBy("bucket")).applyInArrow(blocks.tidy_two(ask_grams), blocks.SCHEMA)
+    grams = route.spread(route.spread(asked).groupBy("bucket").applyInArrow(blocks.tidy(count_grams), blocks.SCHEMA))
+    sums = words_.mapInArrow(told, "name string, value double").unionByName(grams.mapInArrow(told, "name string, value double"))
+    sums = sums.groupBy("name").agg(F.sum("value").alias("value")).groupBy(F.lit(0).alias("_one")).applyInArrow(summed, blocks.SCHEMA)
+    each = sums.withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))  # for every block
+    answers = words_.unionByName(grams).unionByName(each.select(words_.columns)).repartition(n, "bucket")
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         block, got = Block(blocks.by_kind(left).get(blocks.DOCS, []), n), blocks.by_kind(right)
         if not len(block.ids):
             return schema_.empty_table()
+        total = dict.fromkeys(("tokens", "words", "w1", "w2", "one2", "one3"), 0.0) | {f"l{k}_{i}": 0.0 for k in (2, 3) for i in range(len(GRID))}
+        total |= dict(zip(got[SUMS][0]["name"].tobytes().decode().split("\n"), got[SUMS][0]["value"].tolist(), strict=False))
         block.number(got[WORDS])
         a = Automaton(block, *block.counted(got.get(GRAMS, [])), total)
         steps = a.traverse(block)
@@ -384,5 +386,4 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
         ], schema=schema_)
 
     schema_ = pa.schema([(id_col, pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-    answers = words_.unionByName(route.relayed(grams))
-    return packed.groupBy("bucket").cogroup(answers.repartition(n, "bucket").groupBy("bucket")).applyInArrow(blocks.tidy_two(finish), f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return packed.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(blocks.tidy_two(finish), f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
