@@ -329,6 +329,13 @@ def shared_folder(spark: SparkSession) -> str:
     return where if ":/" in where else spark._jvm.org.apache.hadoop.fs.Path(where).getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(spark._jvm.org.apache.hadoop.fs.Path(where)).toString()
 
 
+def file_system(uri: str):
+    """The pyarrow file system of a URI, and the path in it; s3a is Hadoop's name for s3."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1) if uri.startswith("s3a://") else uri)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, materialised in the shared folder of spark.checkpoint.dir; a folder of its own is used only where none is set, as in tests."""
     sc = df.sparkSession.sparkContext

@@ -86,7 +86,9 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     folder = f"{blocks.shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     token_output.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
-    return token_output.digests(token_output.read(spark, folder))
+    done = blocks.checkpointed(token_output.digests(token_output.read(spark, folder)))
+    token_output.remove(folder)  # the query's result is the digests
+    return done
 
 
 QUERIES = {

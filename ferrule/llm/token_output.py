@@ -8,8 +8,12 @@ after all shards, makes it count; so lost or repeated tasks leave no wrong data.
 
 Layout, little-endian: magic, then sections: uint32 header length, JSON header {parts: [[name, dtype, count], ...]}, the parts.
 
+Ids are those of the library's own encode(text, add_special_tokens=False) of whole texts. So an added token's
+literal in a text, such as <|endoftext|>, becomes that token's id; a text that holds one goes to the library whole.
+
 Cases. A null or empty text has only the end id. Equal document ids are ordered by their text; a null id
-comes first. Empty tables write an empty manifest. Other columns are not read.
+comes first. Ids must be whole numbers (TypeError). A very long text is encoded in one task and makes sections of its own. Empty
+tables write an empty manifest. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +34,8 @@ from pyspark.sql import functions as F
 from . import blocks, words
 
 MAGIC = b"FRTK0001"
-CACHE_PIECES = 500_000
+#: Pieces that are kept, and the characters of the longest of them; longer ones go to the library each time.
+CACHE_PIECES, KEPT_CHARS = 500_000, 64
 SECTION = 1 << 20
 _LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.uint8)
 
@@ -95,7 +100,8 @@ class Splitter:
 class Encoder:
     """Ids of whole texts. The tokenizer never joins across pieces, so the library encodes each distinct piece once.
 
-    Pieces are known by a 64-bit hash, in an open-addressing table that numpy probes for a batch at once.
+    Pieces are known by 128 bits of hash: 64 in an open-addressing table that numpy probes for a batch at once,
+    and 64 more that must agree; where they don't, the piece goes to the library like one that isn't kept.
     """
 
     _one: dict[str, Encoder] = {}
@@ -106,7 +112,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split = Splitter()
         self.clear()
 
@@ -119,6 +125,7 @@ class Encoder:
     def clear(self) -> None:
         self.key = np.zeros(1 << self.BITS, dtype=np.uint64)
         self.slot = np.zeros(1 << self.BITS, dtype=np.int32)
+        self.more = np.zeros(CACHE_PIECES * 2, dtype=np.uint64)
         self.n = 0
         self.ids = np.zeros(1 << 20, dtype=np.uint32)
         self.at = np.zeros(CACHE_PIECES * 2, dtype=np.int64)
@@ -161,33 +168,79 @@ class Encoder:
         text = buf.tobytes().decode()
         chars = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
         at = offsets if len(chars) == len(buf) else np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])[offsets]
+        odd = self._with_added(text, at)
+        if len(odd):  # the library alone knows how these are cut
+            spared = np.ones(len(column), dtype=bool)
+            spared[odd] = False
+            ids, n = self.encode(pa.array([text[a:b] if s else "" for a, b, s in zip(at[:-1].tolist(), at[1:].tolist(), spared.tolist(), strict=True)], pa.string()))
+            cuts = np.concatenate([[0], np.cumsum(n)])
+            whole = [np.array(self.tokenizer.encode(text[at[r] : at[r + 1]], add_special_tokens=False).ids, np.uint32) for r in odd]
+            n[odd] = [len(w) for w in whole]
+            parts, last = [], 0
+            for r, w in zip(odd, whole, strict=True):
+                parts += [ids[last : cuts[r]], w]
+                last = cuts[r]
+            return np.concatenate([*parts, ids[last:]]), n
         begin = self.split.starts(chars, at[:-1][np.diff(at) > 0])
         end = np.append(begin[1:], len(chars))
         h = words.span_hash(words.prefix_hash(chars), begin, end)
+        more = words.span_hash(words.prefix_hash(chars, 1), begin, end, 1)
         h[h == 0] = 1
         which = self.find(h)
-        unknown = np.flatnonzero(which < 0)
+        short = end - begin <= KEPT_CHARS
+        unknown = np.flatnonzero((which < 0) & short)
         if len(unknown):
             new, first = np.unique(h[unknown], return_index=True)
             if self.n + len(new) > CACHE_PIECES and self.n:
                 self.clear()
                 return self.encode(column)
             first = unknown[first]
-            if self.n + len(new) + 1 > len(self.at):
-                self.at = np.concatenate([self.at, np.zeros(self.n + len(new) + 1, np.int64)])
-            codes = [e.ids for e in self.tokenizer.encode_batch_fast([text[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)], add_special_tokens=False)]
-            stops = self.at[self.n] + np.cumsum([len(c) for c in codes])
-            if stops[-1] > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), int(stops[-1])), np.uint32)])
-            self.ids[self.at[self.n] : stops[-1]] = np.concatenate([np.array(c, np.uint32) for c in codes])
-            self.at[self.n + 1 : self.n + len(new) + 1] = stops
-            self.add(new)
+            self._keep(self._library(text, begin[first], end[first]), new, more[first])
             which[unknown] = self.find(h[unknown])
+        alone = np.flatnonzero(~short | (self.more[which] != more))
         n = self.at[which + 1] - self.at[which]
+        at_ = self.at[which]
+        if len(alone):
+            codes = self._library(text, begin[alone], end[alone])
+            n[alone] = [len(c) for c in codes]
+            stop = int(self.at[self.n])  # behind what is kept, until the next piece is
+            flat_ = np.concatenate(codes)
+            self._room(stop + len(flat_))
+            self.ids[stop : stop + len(flat_)] = flat_
+            at_[alone] = stop + np.cumsum(n[alone]) - n[alone]
         total = np.concatenate([[0], np.cumsum(n)])
-        flat = self.ids[np.repeat(self.at[which] - total[:-1], n) + np.arange(total[-1])]
+        flat = self.ids[np.repeat(at_ - total[:-1], n) + np.arange(total[-1])]
         return flat, np.diff(total[np.searchsorted(begin, at)])
 
+    def _with_added(self, text: str, at: np.ndarray) -> np.ndarray:
+        """Places of the texts in which an added token's literal may stand."""
+        places = []
+        for token in self.added:
+            i = text.find(token)
+            while i >= 0:
+                places.append(i)
+                i = text.find(token, i + 1)
+        found = np.unique(np.searchsorted(at, np.array(places, dtype=np.int64), side="right") - 1)
+        return found[[any(t in text[at[r] : at[r + 1]] for t in self.added) for r in found.tolist()]] if len(found) else found
+
+    def _library(self, text: str, begin: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+        pieces = [text[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _room(self, n: int) -> None:
+        if n > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), n), np.uint32)])
+
+    def _keep(self, codes: list[np.ndarray], h: np.ndarray, more: np.ndarray) -> None:
+        if self.n + len(h) + 1 > len(self.at):
+            self.at, self.more = (np.concatenate([x, np.zeros(self.n + len(h) + 1, x.dtype)]) for x in (self.at, self.more))
+        stops = self.at[self.n] + np.cumsum([len(c) for c in codes])
+        self._room(int(stops[-1]))
+        self.ids[self.at[self.n] : stops[-1]] = np.concatenate(codes)
+        self.at[self.n + 1 : self.n + len(h) + 1] = stops
+        self.more[self.n : self.n + len(h)] = more
+        self.add(h)
+
 
 def pack(ids: np.ndarray) -> dict[str, np.ndarray]:
     """rank: the distinct ids by falling frequency, ties by id; control and data bytes of all ids."""
@@ -234,13 +287,14 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
     """Shards and manifest.json of docs in folder, a URI that driver and executors share; returns the manifest's URI."""
     spark = docs.sparkSession
     blocks.prepare(spark)
+    blocks.whole_ids(docs, id_col)
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     ranged = picked.repartitionByRange(blocks.buckets(picked), "id").sortWithinPartitions("id", "t")
 
     def run(batches):
         encoder, shard = Encoder.of(tokenizer), TaskContext.get().partitionId()
         name = f"shard-{shard:06d}-{uuid.uuid4().hex}.tok"
-        where, path = pafs.FileSystem.from_uri(folder)
+        where, path = blocks.file_system(folder)
         f, docs_, tokens, held, waiting = None, 0, 0, [], 0
 
         def flush():
@@ -269,7 +323,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
             f.close()
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([name]), pa.array([docs_], pa.int64()), pa.array([tokens], pa.int64())], names=["shard", "name", "docs", "tokens"])
 
-    where, path = pafs.FileSystem.from_uri(folder)
+    where, path = blocks.file_system(folder)
     where.create_dir(path, recursive=True)
     shards = sorted(tuple(r) for r in ranged.mapInArrow(blocks.tidy_batches(run), "shard long, name string, docs long, tokens long").collect())
     listed, start = [], 0
@@ -278,17 +332,21 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
         start += tokens
     with where.open_output_stream(f"{path}/manifest.json") as f:
         f.write(json.dumps({"shards": listed, "end_id": end_id}).encode())
+    named = {x["name"] for x in listed}
+    for x in where.get_file_info(pafs.FileSelector(path)):  # what failed or repeated attempts wrote
+        if x.base_name.startswith("shard-") and x.base_name not in named:
+            where.delete_file(x.path)
     return f"{folder}/manifest.json"
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids): every document of the shards that the manifest lists."""
-    where, path = pafs.FileSystem.from_uri(folder)
+    where, path = blocks.file_system(folder)
     with where.open_input_stream(f"{path}/manifest.json") as f:
         shards = json.loads(f.read())["shards"]
 
     def run(batches):
-        where, path = pafs.FileSystem.from_uri(folder)
+        where, path = blocks.file_system(folder)
         for batch in batches:
             for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with where.open_input_stream(f"{path}/{name}") as f:
@@ -306,6 +364,12 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     return files.repartition(max(1, len(table))).mapInArrow(blocks.tidy_batches(run), "doc_id long, start long, n_tokens long, ids array<int>")
 
 
+def remove(folder: str) -> None:
+    """Delete what write() made in folder."""
+    where, path = blocks.file_system(folder)
+    where.delete_dir(path)
+
+
 def digests(read_back: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and the crc32 of the ids as little-endian uint32."""
 

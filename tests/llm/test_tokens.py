@@ -22,13 +22,27 @@ def texts(n, seed=1, longest=30):
     return ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, longest))) for _ in range(n)] + [None, "", "<|endoftext|>", "abcde" * 60]
 
 
+SPECIAL = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>", "x<|endoftext|", "|endoftext|>", " <|endoftext|>\n\n<|endoftext|> don't"]
+
+
 def test_encoder_gives_the_library_s_ids():
+    t = Tokenizer.from_file(BPE)  # as it comes
+    x = texts(4000) + SPECIAL + [random.Random(3).choice(SPECIAL).join(["the end", " of"] * k) for k in range(5)] + ["a" * 70 + " " + "b" * 64 + "c" * 65]
+    encoder = O.Encoder(BPE)
+    for part in (x, x[::-1], x[:50]):
+        ids, n = encoder.encode(pa.array(part, pa.string()))
+        want = [e.ids for e in t.encode_batch([y or "" for y in part], add_special_tokens=False)]
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert 50256 in ids.tolist() or 50256 in encoder.encode(pa.array(SPECIAL))[0].tolist()
+
+
+def test_pieces_whose_hashes_agree_are_told_apart(monkeypatch):
     t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
-    x = texts(4000)
-    ids, n = O.Encoder.of(BPE).encode(pa.array(x, pa.string()))
-    want = [e.ids for e in t.encode_batch([y or "" for y in x], add_special_tokens=False)]
-    assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    real = O.words.span_hash
+    monkeypatch.setattr(O.words, "span_hash", lambda s, a, b, which=0: real(s, a, b, which) if which else real(s, a, b) % np.uint64(5) + np.uint64(1))
+    x = texts(300)
+    ids, n = O.Encoder(BPE).encode(pa.array(x, pa.string()))
+    assert ids.tolist() == [i for y in x for i in t.encode(y or "", add_special_tokens=False).ids]
 
 
 @pytest.mark.parametrize("ids", [[], [0], [5] * 10, list(range(70000)), [2**24 + 7, 1, 2**24 + 7]])
@@ -48,17 +62,25 @@ def test_frequent_ids_take_one_byte():
 
 def test_files_hold_every_document(spark, sf, tmp_path):
     docs = brute.documents(spark, sf)
+    more = spark.createDataFrame([(2 * 10**8 + i, t) for i, t in enumerate([*SPECIAL, "long word text " * 400_000])], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(more)
+    library = Tokenizer.from_file(BPE)
     folder = f"file://{tmp_path}/tokens"
     O.write(docs, folder, BPE)
     got = sorted(map(tuple, O.digests(O.read(spark, folder)).collect()), key=lambda r: r[1])
     rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or "") for r in docs.select("doc_id", "text").collect()))
     want, start = [], 0
     for known, i, _, t in rows:
-        ids = O.Encoder.of(BPE).tokenizer.encode(t, add_special_tokens=False).ids
+        ids = library.encode(t, add_special_tokens=False).ids
         ids = [*ids, 0]
         want.append((i if known else None, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert got == want
+    (tmp_path / "tokens" / "shard-000000-left-over.tok").write_bytes(b"x")
+    O.write(docs, folder, BPE)
+    assert not (tmp_path / "tokens" / "shard-000000-left-over.tok").exists()
+    with pytest.raises(TypeError, match="integer"):
+        O.write(docs.selectExpr("cast(doc_id as string) as doc_id", "text"), folder, BPE)
     O.write(docs.limit(0), f"{folder}0", BPE)
     assert O.read(spark, f"{folder}0").count() == 0
 
