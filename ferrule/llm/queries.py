@@ -18,26 +18,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def capture_records(pages: DataFrame) -> DataFrame:
-    """Each page as a full response, and a later or earlier re-fetch of its URL that was answered "not modified".
+    """Each page as one to three full responses, and a later or earlier re-fetch of its URL that was answered "not modified".
 
-    Every third revisit gives a last-modified value only, every fifth a tag of another version, every seventh
-    comes before the response.
+    Pages divisible by 4 have a second response, those divisible by 8 a third, each with its own tag and digest. Every
+    third revisit gives a last-modified value only, every fifth a tag of another version, every seventh comes before
+    the responses, every other one writes its tag as weak.
     """
-    n = F.col("page_id")
-    tag = F.concat(F.lit('"'), F.substring(F.md5(F.coalesce("html", F.lit(""))), 1, 16), F.lit('"'))
+    n, html = F.col("page_id"), F.coalesce("html", F.lit(""))
+    version = lambda k: html if not k else F.concat(html, F.lit(f"#{k}"))
+    tag = lambda k: F.concat(F.lit('"'), F.substring(F.md5(version(k)), 1, 16), F.lit('"'))
     day = F.concat(F.lit("day-"), (n % 365).cast("string"))
     headers = lambda **x: F.map_from_arrays(F.array(*[F.lit(k.replace("_", "-")) for k in x]), F.array(*x.values()))
-    response = pages.select(
-        (2 * n).alias("record_id"), "url", (10 * n).alias("ts"), F.lit("response").alias("kind"), tag.alias("etag"), day.alias("last_modified"), F.sha1(F.coalesce("html", F.lit(""))).alias("digest"),
-        F.octet_length(F.coalesce("html", F.lit(""))).cast("long").alias("length"),
-        headers(Content_Type=F.lit("text/html"), Content_Length=F.octet_length(F.coalesce("html", F.lit(""))).cast("string"), ETag=tag, Date=(10 * n).cast("string"), Cache_Control=F.lit("max-age=60")).alias("headers"),
-    )
-    revisit = pages.select(
-        (2 * n + 1).alias("record_id"), F.concat("url", F.lit("#again")).alias("url"), F.when(n % 7 == 0, 10 * n - 5).otherwise(10 * n + 5).alias("ts"), F.lit("revisit").alias("kind"),
-        F.when(n % 3 == 0, None).when(n % 5 == 0, F.lit('"stale"')).otherwise(tag).alias("etag"), F.when(n % 3 == 0, day).alias("last_modified"), F.lit(None).cast("string").alias("digest"), F.lit(0).cast("long").alias("length"),
+    size = F.octet_length(html)
+    latest = F.when(n % 8 == 0, tag(2)).when(n % 4 == 0, tag(1)).otherwise(tag(0))
+    out = []
+    for k, of in ((0, pages), (1, pages.where(n % 4 == 0)), (2, pages.where(n % 8 == 0))):
+        out.append(of.select(
+            (4 * n + k).alias("record_id"), "url", (10 * n + k).alias("ts"), F.lit("response").alias("kind"), tag(k).alias("etag"), day.alias("last_modified"), F.sha1(version(k)).alias("digest"), size.cast("long").alias("length"),
+            headers(Content_Type=F.lit("text/html"), Content_Length=size.cast("string"), ETag=tag(k), Date=(10 * n).cast("string"), Cache_Control=F.lit("max-age=60")).alias("headers"),
+        ))
+    out.append(pages.select(
+        (4 * n + 3).alias("record_id"), F.concat("url", F.lit("#again")).alias("url"), F.when(n % 7 == 0, 10 * n - 5).otherwise(10 * n + 5).alias("ts"), F.lit("revisit").alias("kind"),
+        F.when(n % 3 == 0, None).when(n % 5 == 0, F.lit('"stale"')).when(n % 2 == 0, F.concat(F.lit("W/"), latest)).otherwise(latest).alias("etag"), F.when(n % 3 == 0, day).alias("last_modified"), F.lit(None).cast("string").alias("digest"), F.lit(0).cast("long").alias("length"),
         headers(Content_Length=F.lit("0"), Date=(10 * n + 5).cast("string"), Cache_Control=F.lit("max-age=90"), Server=F.lit("edge")).alias("headers"),
-    )
-    return response.unionByName(revisit)
+    ))
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
 def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,10 +111,12 @@ _KEY = """regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), ':(80|443)
 ORACLE_SQL = {
     "op1_warc_revisits": f"""
 WITH p AS (SELECT page_id AS n, url, coalesce(html, '') AS h, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM pages),
-k AS (SELECT *, {_KEY} AS key, '"' || substr(md5(h), 1, 16) || '"' AS tag, 'day-' || CAST(n % 365 AS VARCHAR) AS day, strlen(h) AS size FROM p),
-full_ AS (SELECT 2 * n AS record_id, key, 10 * n AS ts, tag AS etag, day AS last_modified, sha1(h) AS digest, size FROM k),
-rev AS (SELECT 2 * n + 1 AS record_id, key, CASE WHEN n % 7 = 0 THEN 10 * n - 5 ELSE 10 * n + 5 END AS ts, 10 * n + 5 AS date_,
-  CASE WHEN n % 3 = 0 THEN NULL WHEN n % 5 = 0 THEN '"stale"' ELSE tag END AS etag, CASE WHEN n % 3 = 0 THEN day END AS last_modified FROM k),
+k AS (SELECT *, {_KEY} AS key, 'day-' || CAST(n % 365 AS VARCHAR) AS day, strlen(h) AS size FROM p),
+v AS (SELECT k.*, j, h || CASE WHEN j = 0 THEN '' ELSE '#' || j END AS text_ FROM k, (VALUES (0), (1), (2)) AS t(j) WHERE j = 0 OR j = 1 AND n % 4 = 0 OR j = 2 AND n % 8 = 0),
+full_ AS (SELECT 4 * n + j AS record_id, key, 10 * n + j AS ts, '"' || substr(md5(text_), 1, 16) || '"' AS etag, day AS last_modified, sha1(text_) AS digest, size, n FROM v),
+last_ AS (SELECT n, max_by(etag, record_id) AS tag FROM full_ GROUP BY n),
+rev AS (SELECT 4 * n + 3 AS record_id, key, CASE WHEN n % 7 = 0 THEN 10 * n - 5 ELSE 10 * n + 5 END AS ts, 10 * n + 5 AS date_,
+  CASE WHEN n % 3 = 0 THEN NULL WHEN n % 5 = 0 THEN '"stale"' ELSE tag END AS etag, CASE WHEN n % 3 = 0 THEN day END AS last_modified FROM k JOIN last_ USING (n)),
 j AS (SELECT r.*, f.record_id AS matched_id, f.ts AS matched_ts, f.etag AS fe, f.last_modified AS fl, f.digest AS fd, f.size AS fs,
   row_number() OVER (PARTITION BY r.record_id ORDER BY f.ts DESC NULLS LAST, f.record_id DESC NULLS LAST) AS rn
   FROM rev r LEFT JOIN full_ f ON f.key = r.key AND f.ts < r.ts),

@@ -60,3 +60,36 @@ def test_a_hot_url_in_time_blocks(spark):
     rows = [(i, "http://hot.com/", i, "response" if i % 7 == 0 else "revisit", None, None, f"d{i}", 1, None) for i in range(600)]
     got = {r.record_id: r.matched_id for r in warc.resolve(records(spark, rows), 16).collect()}
     assert got == {i: i - i % 7 for i in range(600) if i % 7}
+
+
+def test_a_bad_clock_and_many_records_of_one_time(spark):
+    rows = [(1, "http://a.com/", 0, "response", None, None, "d", 1, None), (2, "http://a.com/", 2**60, "revisit", None, None, None, 0, None)]
+    rows += [(10 + i, "http://a.com/", 10**9 + i // 50, "response" if i % 50 < 3 else "revisit", None, None, f"d{i}", 1, None) for i in range(1000)]
+    got = {r.record_id: r.matched_id for r in warc.resolve(records(spark, rows), 8).collect()}
+    want = {10 + i: 10 + (i // 50 - 1) * 50 + 2 if i >= 50 else 1 for i in range(1000) if i % 50 >= 3} | {2: 962}
+    assert got == want
+
+
+def test_block_of_is_the_number_of_bounds_reached(spark):
+    from pyspark.sql import functions as F
+
+    for bounds in ([], [5], [1, 4, 9], list(range(0, 37, 3))):
+        got = [(r.id, r.b) for r in spark.range(-2, 40).select("id", warc.block_of(F.col("id"), bounds).alias("b")).collect()]
+        assert got == [(i, sum(x <= i for x in bounds)) for i in range(-2, 40)]
+
+
+def test_weak_tags_and_null_ids(spark):
+    rows = [
+        (1, "http://a.com/", 1, "response", 'W/"v"', None, "d", 1, None), (2, "http://a.com/", 2, "revisit", '"v"', None, None, 0, None), (3, "http://a.com/", 3, "revisit", 'W/"v"', None, None, 0, None),
+        (4, "http://a.com/", 4, "revisit", 'W/"w"', None, None, 0, None), (None, "http://a.com/" + "x" * 300_000, 4, "revisit", None, None, None, 0, None), (None, "http://a.com/", 5, "revisit", '"v"', None, None, 0, {"ETag": None}),
+    ]
+    got = sorted(((r.record_id or 0, r.status) for r in warc.resolve(records(spark, rows)).collect()))
+    assert got == [(0, "no_response"), (0, "resolved"), (2, "resolved"), (3, "resolved"), (4, "mismatch")]
+    pages = spark.createDataFrame([(None, "http://x.net/es/"), (None, "http://x.net/es/"), (1, "http://x.net/" + "es/" * 100_000)], "page_id long, url string")
+    got = [(r.page_id, r.rule) for r in U.judge(pages, U.rules_frame(spark, Q.URL_RULES)).collect()]
+    assert sorted(got, key=str) == [(1, "net/es/"), (None, "net/es/"), (None, "net/es/")]
+
+
+def test_many_rules_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(U, "BROADCAST_BYTES", 0)
+    test_rules(spark)
