@@ -2,12 +2,15 @@
 
 Each line is good or bad. Its score comes from binned features of itself and of the lines before and after;
 neighbouring labels have a transition score. Forward-backward gives each line's probability of being good, and
-a document's quality is their mean weighted by line length. The field is trained on a bounded sample of labelled
-documents (SAMPLE_DOCS, by hash of the id), each line with its document's label, by maximising the conditional
-likelihood with forward-backward gradients. Held-out documents, ids with crc32(id) mod 4 = 2, are never learned
+a document's quality is their mean weighted by line length. Only documents have labels, lines have none: so a label
+says that the share of a document's length that is good is at least SHARE[1], or at most SHARE[0]. Training
+alternates (posterior regularisation): the field's own distribution over line labels is tilted, document by
+document, just so far that this holds (`tilts`, by bisection); then the weights move towards the tilted distribution, with forward-
+backward gradients of the conditional likelihood. Good and bad lines of one document can thus be told apart. The sample of labelled
+documents is bounded, in number (SAMPLE_DOCS) and in lines (SAMPLE_LINES), in order of a hash of the id. Held-out documents, ids with crc32(id) mod 4 = 2, are never learned
 from. Labels, language, source and id are not features.
 
-Cases. A null or empty text is one line of length 0, of weight 1. Labels other than 0 and 1, null labels and
+Cases. A null or empty text is one line of length 0, of weight 1. A very long text is one task's as a whole; one of over SAMPLE_LINES lines isn't learned from. Labels other than 0 and 1, null labels and
 labels without document are passed over; without labels of both kinds all scores are 0.5. Repeated rows each give
 a row; extra columns are kept by keep_good() and not read by score(). Equal scores need no order.
 """
@@ -23,7 +26,9 @@ from pyspark.sql import functions as F
 
 from . import blocks, words
 
-SAMPLE_DOCS, STEPS, BINS, GOOD = 4000, 150, 8, 0.7
+SAMPLE_DOCS, SAMPLE_LINES, STEPS, TILT_STEPS, BINS, GOOD = 4000, 400_000, 150, 15, 8, 0.7
+#: The good share of the length of a document labelled 0, at most, and of one labelled 1, at least.
+SHARE = (0.3, 0.98)
 _RUN = (1 << 20) - 4096
 #: Edges of the bins of each feature of a line, in the order of measure() (parameters of this model).
 EDGES = {
@@ -120,23 +125,44 @@ def forward_backward(node: np.ndarray, step: np.ndarray, first: np.ndarray, expe
     return good, z, pairs
 
 
-def train(index: np.ndarray, first: np.ndarray, label: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """(weights of features, transitions) of greatest penalised likelihood, by Adam."""
+def shares(good: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The good share of each text's length."""
+    weight = np.maximum(size, 1)
+    return np.add.reduceat(good * weight, first[:-1]) / np.add.reduceat(weight, first[:-1])
+
+
+def tilts(node: np.ndarray, step: np.ndarray, size: np.ndarray, first: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """What must be added to each line's score (its share of the length times a number of its document's) so that SHARE holds."""
+    n = np.diff(first)
+    weight = np.maximum(size, 1) / np.repeat(np.add.reduceat(np.maximum(size, 1), first[:-1]), n) * np.repeat(n, n)
+    target = np.where(label == 1, SHARE[1], SHARE[0])
+    sign = np.where(label == 1, 1.0, -1.0)
+    meets = lambda x: sign * (shares(forward_backward(node + np.repeat(sign * x, n) * weight, step, first), size, first) - target) >= 0
+    low, high = np.zeros(len(n)), np.full(len(n), 30.0)
+    free = meets(low)
+    for _ in range(12):
+        middle = (low + high) / 2
+        enough = meets(middle)
+        low, high = np.where(enough, low, middle), np.where(enough, middle, high)
+    return np.repeat(np.where(free, 0.0, sign * high), n) * weight
+
+
+def train(index: np.ndarray, size: np.ndarray, first: np.ndarray, label: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+    """(weights of features, transitions) of greatest penalised likelihood under the documents' labels, by Adam."""
     w, step = np.zeros(N_FEATURES), np.zeros((2, 2))
     if len(set(label.tolist())) < 2:
         return w, step
-    n = np.diff(first)
-    y = np.repeat(label, n).astype(float)
-    weight = 1 / max(1, len(y))
-    seen = np.bincount(index.reshape(-1), weights=np.repeat(y, index.shape[1]), minlength=N_FEATURES)
-    moves = np.zeros((2, 2))
-    for k in (0, 1):
-        moves[k, k] = (n - 1)[label == k].sum()
+    weight = 1 / max(1, len(size))
+    counts = lambda good: np.bincount(index.reshape(-1), weights=np.repeat(good, index.shape[1]), minlength=N_FEATURES)
     m = [np.zeros(N_FEATURES), np.zeros((2, 2))]
     v = [np.zeros(N_FEATURES), np.zeros((2, 2))]
     for t in range(1, steps + 1):
-        good, _, pairs = forward_backward(w[index].sum(axis=1), step, first, True)
-        g = [(np.bincount(index.reshape(-1), weights=np.repeat(good, index.shape[1]), minlength=N_FEATURES) - seen) * weight + 1e-4 * w, (pairs - moves) * weight + 1e-3 * step]
+        node = w[index].sum(axis=1)
+        if t % TILT_STEPS == 1:
+            wanted, _, moves = forward_backward(node + tilts(node, step, size, first, label), step, first, True)
+            seen = counts(wanted)
+        good, _, pairs = forward_backward(node, step, first, True)
+        g = [(counts(good) - seen) * weight + 1e-4 * w, (pairs - moves) * weight + 1e-3 * step]
         for k, x in enumerate((w, step)):
             m[k] = 0.9 * m[k] + 0.1 * g[k]
             v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
@@ -144,6 +170,12 @@ def train(index: np.ndarray, first: np.ndarray, label: np.ndarray, steps: int =
     return w, step
 
 
+def line_labels(text: str | None, w: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """The probability of being good of each line of a text."""
+    index, _, first = measure(*words.buffers(pa.array([text], pa.string())))
+    return forward_backward(w[index].sum(axis=1), step, first)
+
+
 def qualities(column: pa.Array, w: np.ndarray, step: np.ndarray) -> np.ndarray:
     """A score from 0 to 1 for each text."""
     buf, at = words.buffers(column)
@@ -151,8 +183,7 @@ def qualities(column: pa.Array, w: np.ndarray, step: np.ndarray) -> np.ndarray:
     for lo, hi in words.runs(at, _RUN):
         index, size, first = measure(buf[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
         good = forward_backward(w[index].sum(axis=1), step, first)
-        weight = np.maximum(size, 1)
-        out.append(np.add.reduceat(good * weight, first[:-1]) / np.add.reduceat(weight, first[:-1]))
+        out.append(shares(good, size, first))
     return np.clip(np.concatenate(out), 0, 1) if out else np.zeros(0)
 
 
@@ -163,22 +194,31 @@ def held_out(id_: Column, modulus: int = 4, remainder: int = 2) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS) -> tuple[np.ndarray, np.ndarray]:
     """The field's weights, from at most sample_docs labelled documents that are not held out."""
     blocks.prepare(docs.sparkSession)
-    usable = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where(F.col("_label").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
+    label = F.col(label_col).cast("double")
+    usable = labels.select(F.col(id_col).alias("_id"), label.alias("_label")).where(F.col("_label").isin(0.0, 1.0) & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
     sample = usable.orderBy(F.xxhash64("_id"), "_id", "_label").limit(sample_docs)  # at most sample_docs rows, so it can be broadcast
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id").select("_id", "_label", "_text")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")
+    breaks = F.octet_length("_text") - F.octet_length(F.translate("_text", "\n", ""))
+    texts = texts.select("_id", F.col("_label").cast("int").alias("_label"), "_text", F.xxhash64("_id").alias("_hash"), (F.coalesce(breaks, F.lit(0)) + 1).cast("long").alias("_lines"))
+    sized = blocks.checkpointed(texts.where(F.col("_lines") <= SAMPLE_LINES))
+    # the first ones whose lines are SAMPLE_LINES in all: sample_docs rows of numbers
+    order = sorted((r["_hash"], str(r["_id"]), r["_label"], r["_lines"]) for r in sized.select("_hash", "_id", "_label", "_lines").collect())
+    fits = [r[0] for r, n in zip(order, np.cumsum([r[3] for r in order]).tolist(), strict=True) if n <= SAMPLE_LINES]
+    sized = sized.where(F.col("_hash") <= (fits[-1] if fits else 0))
 
     def run(batches):
         for batch in batches:
             buf, at = words.buffers(batch.column(2))
-            index, _, first = measure(buf, at)
-            parts = [pickle.dumps(index[a:b].astype(np.uint16)) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(parts, pa.binary())], names=["id", "label", "index"])
+            index, size, first = measure(buf, at)
+            parts = [pickle.dumps((index[a:b].astype(np.uint16), size[a:b])) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(parts, pa.binary())], names=["id", "label", "index"])
 
-    rows = sorted(tuple(r) for r in texts.mapInArrow(run, "id long, label int, index binary").collect())
+    rows = sorted(tuple(r) for r in sized.select("_id", "_label", "_text").mapInArrow(run, "id string, label int, index binary").collect())
     if not rows:
         return np.zeros(N_FEATURES), np.zeros((2, 2))
     parts = [pickle.loads(r[2]) for r in rows]
-    return train(np.concatenate(parts).astype(np.int32), np.concatenate([[0], np.cumsum([len(p) for p in parts])]), np.array([r[1] for r in rows]))
+    size = np.concatenate([p[1] for p in parts])
+    return train(np.concatenate([p[0] for p in parts]).astype(np.int32), size, np.concatenate([[0], np.cumsum([len(p[1]) for p in parts])]), np.array([r[1] for r in rows]))
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
