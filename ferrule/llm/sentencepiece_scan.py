@@ -5,14 +5,16 @@ of piece scores is greatest; of equal sums the longest last piece wins, as in a
 pass. A character in no piece is written as byte pieces. Scores are whole numbers here, so sums are exact.
 
 Where no piece can cross a position (before U+2581 that follows another character, and around characters in no
-piece), the boundary has one state. Elsewhere it has MAX_PIECE: how far a piece reaches past it. A giant text
+piece), the boundary has one state. Elsewhere it has MAX_PIECE: how far a piece reaches past it. A giant text (over GIANT characters)
 is split into chunks at any character. Each chunk yields a matrix of the best score from each entry state to
 each exit state; matrices are combined associatively by a doubling scan in max-plus algebra, which gives the
 scores with which each chunk is entered. With these each chunk notes its back pointers alone and maps exit
 states to entry states; the maps, composed from the end, say where each chunk's own backtrace starts.
-Stretches between one-state boundaries (mostly words) are solved once each, many at once in numpy, and kept.
+Inside a chunk, as in short texts, stretches between one-state boundaries (mostly words) are solved once each, many at
+once in numpy, and kept; a chunk's matrix is then the scores up to its first such boundary, the sum of its stretches
+and the scores from its last one. A chunk without such a boundary has its matrix from a pass over its characters.
 
-Cases. Null and empty texts have no ids. Ids are those of the model file; unknown, begin and end ids are not
+Cases. Null and empty texts have no ids. A very long text is one task's, chunk after chunk, as its ids are one row. Ids are those of the model file; unknown, begin and end ids are not
 produced. decode() gives the text back exactly unless it holds U+2581 itself, which decodes as a space.
 Repeated rows each give a row; other columns are not read.
 """
@@ -78,7 +80,8 @@ class Model:
 
     _one: dict[str, Model] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, giant: int = GIANT, chunk: int = CHUNK):
+        self.giant, self.chunk = giant, chunk
         from sentencepiece import SentencePieceProcessor
 
         sp = SentencePieceProcessor(model_file=path)
@@ -176,59 +179,29 @@ class Model:
                 out[p].append((length, int(i[p]), int(self.score[i[p]])))
         return out
 
-    def chunks(self, chars: np.ndarray, cut: int = 0, size: int = CHUNK) -> tuple[np.ndarray, int]:
-        """Ids and sum of a stretch without characters unknown to the vocabulary, chunk by chunk; cut: where a giant text's chunk ends in it."""
-        n, arcs = len(chars), self.arcs(chars)
-        bounds = [0, cut, n] if cut and n <= size else [*range(0, n, size), n]
-        if len(bounds) > 3 and bounds[-1] - bounds[-2] < MAX_PIECE:
-            del bounds[-2]  # a piece crosses one boundary at most
-        chunks = list(zip(bounds[:-1], bounds[1:], strict=True))
-        enter = np.full((len(chunks), MAX_PIECE), LEAST)
-        enter[0, 0] = 0
-        if len(chunks) > 1:
-            enter[1:] = scan(np.stack([self.matrix(arcs, lo, hi, n) for lo, hi in chunks[:-1]]))[:, 0]
-        noted = [self.note(arcs, lo, hi, n, e) for (lo, hi), e in zip(chunks, enter, strict=True)]
-        exits, state = [], 0
-        for entry_of, _ in reversed(noted):  # compose the maps from the end
-            exits.append(state)
-            state = entry_of[state]
-        ids: list[int] = []
-        for (lo, hi), (entry_of, back), e in zip(chunks, noted, reversed(exits), strict=True):
-            p, part = hi + e, []
-            while p > lo + entry_of[e]:
-                length, i = back[p]
-                part.append(i)
-                p -= length
-            ids += reversed(part)
-        return np.array(ids, dtype=np.int32), int(self.score[ids].sum())
-
-    @staticmethod
-    def matrix(arcs, lo: int, hi: int, n: int) -> np.ndarray:
-        """Best scores from entry state (rows: characters past lo) to exit state (columns: characters past hi)."""
-        best = np.full((hi - lo + MAX_PIECE, MAX_PIECE), LEAST)
-        for i in range(min(MAX_PIECE, hi - lo + 1)):
-            best[i, i] = 0
-        for p in range(lo, hi):
-            b = best[p - lo]
-            for length, _, s in arcs[p]:
-                np.maximum(best[p - lo + length], np.where(b > LEAST, b + s, LEAST), out=best[p - lo + length])
-        out = best[hi - lo : hi - lo + MAX_PIECE].T.copy()
-        out[:, n - hi + 1 :] = LEAST
-        return out
+    def stretches(self, chars: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of stretches in chars, texts beginning at `first`, and whether chars are known."""
+        known, space = self.known[chars], chars == SPACE
+        begin = ~known
+        begin[1:] |= ~known[:-1] | (space[1:] & ~space[:-1])
+        begin[first] = True
+        return np.flatnonzero(begin), known
 
-    @staticmethod
-    def note(arcs, lo: int, hi: int, n: int, enter: np.ndarray):
-        """From entry scores: for each exit state the entry state of its best path, and the back pointers."""
-        best = {lo + i: int(enter[i]) for i in range(MAX_PIECE) if enter[i] > LEAST}
-        back: dict[int, tuple[int, int]] = {}
-        entry = {p: p - lo for p in best}
-        for p in range(lo, hi):
-            if p not in best:
-                continue
-            for length, i, s in arcs[p]:
-                if best.get(p + length, LEAST) < best[p] + s:
-                    best[p + length], back[p + length], entry[p + length] = best[p] + s, (length, i), entry[p]
-        return {j: entry[hi + j] for j in range(MAX_PIECE) if hi + j in entry}, back
+    def slots_of(self, chars: np.ndarray, start: np.ndarray, end: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Where the stretches' ids are kept; those not met before are solved. -1: the store was emptied, ask again."""
+        h = words.span_hash(words.prefix_hash(chars), start, end)
+        h[h == 0] = 1
+        which = self.slots.find(h)
+        new = np.flatnonzero(which < 0)
+        if len(new):
+            distinct, rep = np.unique(h[new], return_index=True)
+            if self.n and self.n + len(distinct) > KEPT:
+                self.clear()
+                return self.slots_of(chars, start, end, known)
+            rep = new[rep]
+            self.learn(chars, start[rep], end[rep], distinct, known)
+            which[new] = self.slots.find(h[new])
+        return which
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, each text's number of ids and its sum of scores (bytes count nothing)."""
@@ -242,54 +215,77 @@ class Model:
         full = np.flatnonzero(size > 0)
         chars = np.insert(chars, at[full], np.uint32(SPACE))  # the space before a text
         at = at + np.concatenate([[0], np.cumsum(size > 0)])
-        first = at[full]
-        known, space = self.known[chars], chars == SPACE
-        begin = ~known
-        begin[1:] |= ~known[:-1] | (space[1:] & ~space[:-1])
-        begin[first] = True
-        start = np.flatnonzero(begin)
+        start, known = self.stretches(chars, at[full])
         end = np.append(start[1:], len(chars))
-        cut = np.zeros(len(start), dtype=np.int64)
-        for g in np.flatnonzero(np.diff(at) > GIANT).tolist():  # chunks of giant texts end anywhere
-            ends = np.arange(at[g] + CHUNK, at[g + 1], CHUNK)
-            over = np.searchsorted(start, ends, side="right") - 1
-            cut[over] = ends - start[over]
-        h = words.span_hash(words.prefix_hash(chars), start, end)
-        h = np.where(cut > 0, words.mix(h + cut.astype(np.uint64)), h)
-        h[h == 0] = 1
-        which = self.slots.find(h)
-        new = np.flatnonzero(which < 0)
-        if len(new):
-            distinct, rep = np.unique(h[new], return_index=True)
-            if self.n and self.n + len(distinct) > KEPT:
-                self.clear()
-                return self.encode(column)
-            rep = new[rep]
-            self.learn(chars, start[rep], end[rep], cut[rep], distinct, known)
-            which[new] = self.slots.find(h[new])
-        n = self.at[which + 1] - self.at[which]
+        giants = np.flatnonzero(np.diff(at) > self.giant)
+        whole = np.ones(len(start), dtype=bool)  # stretches that no chunk boundary cuts
+        for g in giants.tolist():
+            marks = at[g] + np.array(self.marks(int(at[g + 1] - at[g])), dtype=np.int64)
+            over = np.searchsorted(start, marks, side="right") - 1
+            whole[over[start[over] < marks]] = False
+        which = np.full(len(start), -1)
+        which[whole] = self.slots_of(chars, start[whole], end[whole], known)
+        n, place, sums = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+        n[whole], place[whole], sums[whole] = self.at[which[whole] + 1] - self.at[which[whole]], self.at[which[whole]], self.sums[which[whole]]
+        stop = int(self.at[self.n])  # ids of cut stretches are put behind what is kept, until more is kept
+        for g in giants.tolist():
+            lo, hi = np.searchsorted(start, at[g : g + 2])
+            chunks = self.chunks_of(chars[at[g] : at[g + 1]], np.append(start[lo:hi], at[g + 1]) - at[g], sums[lo:hi].copy())
+            for k, ids, s in traced(chunks):
+                if stop + len(ids) > len(self.ids):
+                    self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + len(ids), np.int32)])
+                if not n[lo + k]:
+                    place[lo + k] = stop
+                self.ids[stop : stop + len(ids)] = ids
+                stop, n[lo + k], sums[lo + k] = stop + len(ids), n[lo + k] + len(ids), sums[lo + k] + s
         total = np.concatenate([[0], np.cumsum(n)])
-        ids = self.ids[np.repeat(self.at[which] - total[:-1], n) + np.arange(total[-1])]
+        ids = self.ids[np.repeat(place - total[:-1], n) + np.arange(total[-1])]
         of = np.searchsorted(start, at)
-        sums = np.concatenate([[0], np.cumsum(self.sums[which])])
+        sums = np.concatenate([[0], np.cumsum(sums)])
         if self.at[self.n] > 8 * KEPT:  # long stretches hardly come again
             self.clear()
         return ids, np.diff(total[of]), np.diff(sums[of])
 
-    def learn(self, chars, start, end, cut, h, known) -> None:
+    def chunks_of(self, chars: np.ndarray, sure: np.ndarray, sums: np.ndarray) -> list[Chunk]:
+        """The chunks of a giant text. sure: one-state boundaries, the starts of stretches and the end; sums: the stretches' own, 0 for those that are cut."""
+        n = len(chars)
+        bounds = [0, *self.marks(n), n]
+        total = np.concatenate([[0], np.cumsum(sums)])
+        out = []
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            a, b = int(np.searchsorted(sure, lo)), int(np.searchsorted(sure, hi, side="right")) - 1
+            if a <= b:
+                inner = int(total[b] - total[a])
+                out.append(Chunk(lo, hi, n, int(sure[a]), int(sure[b]), inner, self.arcs_of(chars, lo, int(sure[a])), self.arcs_of(chars, int(sure[b]), hi), a - 1, b))
+            else:
+                out.append(Chunk(lo, hi, n, None, None, 0, self.arcs_of(chars, lo, hi), {}, max(b, 0)))
+        return out
+
+    def marks(self, n: int) -> list[int]:
+        """Where a text of n characters is cut into chunks; a piece crosses one boundary at most."""
+        return [p for p in range(self.chunk, n, self.chunk) if n - p >= MAX_PIECE]
+
+    def arcs_of(self, chars: np.ndarray, lo: int, hi: int) -> dict[int, list[tuple[int, int, int]]]:
+        """Arcs that start at lo to hi; they may end beyond."""
+        if lo >= hi:
+            return {}
+        return {lo + p: x for p, x in enumerate(self.arcs(chars[lo : hi + MAX_PIECE])[: hi - lo])}
+
+    def learn(self, chars, start, end, h, known) -> None:
         size = end - start
         odd = ~known[start]
         for k in np.flatnonzero(odd).tolist():
             ids = self.byte[np.frombuffer(chr(chars[start[k]]).encode(), dtype=np.uint8)]
             self.keep(h[k : k + 1], ids.astype(np.int32), np.array([len(ids)]), np.zeros(1, np.int64))
-        short = ~odd & (size <= SHORT) & (cut == 0)
+        short = ~odd & (size <= SHORT)
         for m in np.unique(size[short]).tolist():
             k = np.flatnonzero(short & (size == m))
             ids, counts, sums = self.solve(chars[start[k][:, None] + np.arange(m)])
             self.keep(h[k], ids, counts, sums)
-        for k in np.flatnonzero(~odd & ~short).tolist():
-            ids, s = self.chunks(chars[start[k] : end[k]], int(cut[k]))
-            self.keep(h[k : k + 1], ids, np.array([len(ids)]), np.array([s]))
+        for k in np.flatnonzero(~odd & ~short).tolist():  # a long stretch without boundary: chunks too
+            part = chars[start[k] : end[k]]
+            found = list(traced(self.chunks_of(part, np.zeros(0, np.int64), np.zeros(0, np.int64))))
+            self.keep(h[k : k + 1], np.concatenate([x for _, x, _ in found]), np.array([sum(len(x) for _, x, _ in found)]), np.array([sum(s for _, _, s in found)]))
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all texts, and their offsets: piece bytes gathered at once, without each text's first space."""
@@ -303,6 +299,111 @@ class Model:
         return out[keep], at - np.concatenate([[0], np.cumsum(full)])
 
 
+class Chunk:
+    """A chunk lo:hi of a text of n characters: from entry states (characters past lo) to exit states (characters past hi).
+
+    head: arcs up to its first one-state boundary `first`, tail: those from its last, `last`; inner: the sum of the
+    whole stretches between. Without such a boundary, head holds the arcs of the whole chunk. cut: numbers of the
+    stretches that its head and its tail are parts of.
+    """
+
+    def __init__(self, lo, hi, n, first, last, inner, head, tail, *cut):
+        self.lo, self.hi, self.n, self.first, self.last, self.inner, self.head, self.tail, self.cut = lo, hi, n, first, last, inner, head, tail, cut
+
+    def matrix(self) -> np.ndarray:
+        """Best scores from each entry state (rows) to each exit state (columns)."""
+        lo, hi = self.lo, self.hi
+        if self.first is None:
+            best = np.full((hi - lo + MAX_PIECE, MAX_PIECE), LEAST)
+            for i in range(min(MAX_PIECE, hi - lo + 1)):
+                best[i, i] = 0
+            for p in range(lo, hi):
+                b = best[p - lo]
+                for length, _, s in self.head[p]:
+                    np.maximum(best[p - lo + length], np.where(b > LEAST, b + s, LEAST), out=best[p - lo + length])
+            out = best[hi - lo : hi - lo + MAX_PIECE].T.copy()
+        else:
+            reach = {self.first: 0}  # best score from a position to the first boundary
+            for p in range(self.first - 1, lo - 1, -1):
+                some = [s + reach[p + length] for length, _, s in self.head[p] if p + length in reach]
+                if some:
+                    reach[p] = max(some)
+            enter = np.array([reach.get(lo + i, LEAST) for i in range(MAX_PIECE)], dtype=np.int64)
+            best, _, _ = self.forward({self.last: 0}, self.tail, self.last)
+            leave = np.array([best.get(hi + j, LEAST) for j in range(MAX_PIECE)], dtype=np.int64)
+            out = enter[:, None] + self.inner + leave[None, :]
+            out[(enter == LEAST)[:, None] | (leave == LEAST)[None, :]] = LEAST
+        out[:, self.n - hi + 1 :] = LEAST
+        return out
+
+    def forward(self, best: dict[int, int], arcs: dict, lo: int):
+        """Best scores, back pointers (length, id, score) and entry states of positions, from those of best."""
+        back: dict[int, tuple[int, int, int]] = {}
+        entry = {p: p - self.lo for p in best}
+        for p in range(lo, lo + len(arcs)):
+            if p in best:
+                for length, i, s in arcs[p]:
+                    if best.get(p + length, LEAST) < best[p] + s:
+                        best[p + length], back[p + length], entry[p + length] = best[p] + s, (length, i, s), entry[p]
+        return best, back, entry
+
+    def note(self, enter: np.ndarray) -> dict[int, int]:
+        """From entry scores: for each exit state the entry state of its best path; back pointers are kept."""
+        best = {self.lo + i: int(enter[i]) for i in range(MAX_PIECE) if enter[i] > LEAST}
+        best, self.back, entry = self.forward(best, self.head, self.lo)
+        self.back_tail = self.back
+        if self.first is not None:
+            came = entry.get(self.first)
+            best, self.back_tail, entry = self.forward({self.last: 0}, self.tail, self.last)
+            if came is None:
+                return {}
+            entry = dict.fromkeys(entry, came)
+        return {j: entry[self.hi + j] for j in range(MAX_PIECE) if self.hi + j in entry}
+
+    def trace(self, entry: int, leave: int):
+        """(stretch, ids, sum) of the chunk's cut stretches."""
+        parts = [(self.back, self.lo + entry, self.hi + leave, self.cut[0])]
+        if self.first is not None:
+            parts = [(self.back, self.lo + entry, self.first, self.cut[0]), (self.back_tail, self.last, self.hi + leave, self.cut[1])]
+        for back, p, q, k in parts:
+            ids, total = [], 0
+            while q > p:
+                length, i, s = back[q]
+                ids.append(i)
+                total += s
+                q -= length
+            if ids:
+                yield k, np.array(ids[::-1], dtype=np.int32), total
+
+
+def entered(matrices: np.ndarray, enter: np.ndarray) -> np.ndarray:
+    """The scores with which each chunk is entered, by the scan of the chunks' matrices before it."""
+    out = np.repeat(enter[None], len(matrices), axis=0)
+    if len(matrices) > 1:
+        out[1:] = times(enter[None, None, :], scan(matrices[:-1]))[:, 0]
+    return out
+
+
+def composed(maps: list[dict[int, int]], leave: int = 0) -> list[tuple[int, int]]:
+    """(entry, exit) state of each chunk on the best path, from the last one's exit state back."""
+    out = []
+    for entry_of in reversed(maps):
+        out.append((entry_of[leave], leave))
+        leave = entry_of[leave]
+    return out[::-1]
+
+
+START = np.concatenate([[0], np.full(MAX_PIECE - 1, LEAST)])
+
+
+def traced(chunks: list[Chunk]):
+    """(stretch, ids, sum) of all cut stretches of a text, chunk by chunk."""
+    matrices = np.stack([c.matrix() for c in chunks]) if len(chunks) > 1 else np.zeros((1, MAX_PIECE, MAX_PIECE), np.int64)
+    maps = [c.note(e) for c, e in zip(chunks, entered(matrices, START), strict=True)]
+    for c, (entry, leave) in zip(chunks, composed(maps), strict=True):
+        yield from c.trace(entry, leave)
+
+
 def scan(matrices: np.ndarray) -> np.ndarray:
     """All prefix products in max-plus algebra, by doubling."""
     out, step = matrices.copy(), 1
@@ -314,7 +415,7 @@ def scan(matrices: np.ndarray) -> np.ndarray:
 
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Max-plus products of pairs of matrices."""
-    out = np.full(a.shape, 2 * LEAST)
+    out = np.full(np.broadcast_shapes(a.shape[:-2], b.shape[:-2]) + (a.shape[-2], b.shape[-1]), 2 * LEAST)
     for k in range(a.shape[-1]):
         np.maximum(out, a[..., :, k, None] + b[..., None, k, :], out=out)
     return np.where(out < LEAST // 2, LEAST, out)

@@ -85,13 +85,9 @@ def test_files_hold_every_document(spark, sf, tmp_path):
     assert O.read(spark, f"{folder}0").count() == 0
 
 
-@pytest.fixture(params=[(16384, 4096), (100, 37)])
-def model(request, monkeypatch):
-    monkeypatch.setattr(S, "GIANT", request.param[0])
-    monkeypatch.setattr(S, "CHUNK", request.param[1])
-    monkeypatch.setattr(S.Model.chunks, "__defaults__", (0, request.param[1]))
-    m = S.Model(PIECES)
-    return m
+@pytest.fixture(params=[(16384, 4096), (100, 37), (20, 16)])
+def model(request):
+    return S.Model(PIECES, *request.param)
 
 
 def test_scan_is_viterbi(model):
@@ -161,3 +157,24 @@ def test_encode_and_decode_tables(spark, sf):
     back = {(r.doc_id, r.text) for r in S.decode(e, PIECES).collect()}
     assert back == {(r.doc_id, r.text or "") for r in docs.collect()}
     assert S.report(S.encode(docs.limit(0), PIECES)).count() == 0
+
+
+def test_chunks_of_giant_texts_give_the_result(spark):
+    """Every chunk of a giant text yields a matrix, and matrices are combined: counted; a text of megabytes agrees with short ones."""
+    m, made = S.Model(PIECES, 100, 37), []
+    real = S.Chunk.matrix
+    S.Chunk.matrix = lambda self: made.append(1) or real(self)
+    try:
+        text = "an ordinary text of words " * 20
+        m.encode(pa.array([text]))
+    finally:
+        S.Chunk.matrix = real
+    assert len(made) == len(m.marks(len(text) + 1)) + 1 == -(-(len(text) + 1) // 37)
+    line = "some words that come again and again, 123 日本 "
+    long = line * 60_000
+    docs = spark.createDataFrame([(1, long), (2, "x" * 300_000)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in S.encode(docs, PIECES).collect()}
+    ids = [list(m.encode(pa.array([t]))[0]) for t in (line, line * 2, line * 3)]
+    assert all(r.round_trip for r in rows.values())
+    step = len(ids[2]) - len(ids[1])
+    assert len(rows[1].ids) == len(ids[1]) + 59_998 * step and list(rows[1].ids[: len(ids[1]) - 1]) == ids[1][:-1]
