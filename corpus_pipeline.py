@@ -4,16 +4,18 @@ Each stage takes (spark, docs, sf_dir) and works on all that the stage before it
 the columns of documents; the last returns each document's ids. Tables that a stage needs beside docs, labels
 and benchmark, are read whole.
 
-Cases. As the operators' own; n_chars, where docs has it, is the length of the text that is left. A document
+Cases. As the operators' own, nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names among them; n_chars, where docs has it, is the length of the text that is left. A document
 whose whole text repeats earlier ones goes on with an empty text.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm import crf, minhash, sentencepiece_scan, suffix_dedup, wumanber
+from ferrule.llm import blocks, crf, minhash, sentencepiece_scan, suffix_dedup, wumanber
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +56,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what each but the last keeps is written to the shared folder and read again, so that none is computed twice."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    folder = f"{blocks.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
