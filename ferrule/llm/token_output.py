@@ -100,8 +100,8 @@ class Splitter:
 class Encoder:
     """Ids of whole texts. The tokenizer never joins across pieces, so the library encodes each distinct piece once.
 
-    Pieces are known by 128 bits of hash: 64 in an open-addressing table that numpy probes for a batch at once,
-    and 64 more that must agree; where they don't, the piece goes to the library like one that isn't kept.
+    Pieces are known by a 64-bit hash, in an open-addressing table that numpy probes for a batch at once; their first,
+    middle and last character must agree too. Where they don't, the piece goes to the library like one that isn't kept.
     """
 
     _one: dict[str, Encoder] = {}
@@ -184,7 +184,7 @@ class Encoder:
         begin = self.split.starts(chars, at[:-1][np.diff(at) > 0])
         end = np.append(begin[1:], len(chars))
         h = words.span_hash(words.prefix_hash(chars), begin, end)
-        more = words.span_hash(words.prefix_hash(chars, 1), begin, end, 1)
+        more = chars[begin].astype(np.uint64) | chars[end - 1].astype(np.uint64) << np.uint64(21) | chars[begin + end >> 1].astype(np.uint64) << np.uint64(42)
         h[h == 0] = 1
         which = self.find(h)
         short = end - begin <= KEPT_CHARS
