@@ -135,14 +135,8 @@ def _evidence(spark, sf):
     return d.withColumn("i", (F.col("i") + 1).cast("long"))
 
 
-@query("evidence_union_distinct", f"WITH {_SENTS}, u AS (SELECT 0 AS part, doc_id, i, s FROM se WHERE doc_id % 2 = 0 UNION ALL SELECT 1, doc_id, i, s FROM se WHERE doc_id % 3 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY lower(s) ORDER BY part, doc_id, i) AS k FROM u) SELECT doc_id, i, md5(s) AS s FROM k WHERE k = 1")
+@query("evidence_union_distinct", f"WITH {_SENTS}, u AS (SELECT 0 AS part, doc_id, i, s FROM se WHERE doc_id % 2 = 0 UNION ALL SELECT 1, doc_id, i, s FROM se WHERE (doc_id % 2 <> 0 OR doc_id % 3 = 0)), k AS (SELECT *, row_number() OVER (PARTITION BY lower(s) ORDER BY part, doc_id, i) AS k FROM u) SELECT doc_id, i, md5(s) AS s FROM k WHERE k = 1")
 def evidence_union_distinct(spark, sf):
-    e = _evidence(spark, sf).select("doc_id", "i", "s", F.lower("s").alias("key"))
-    return E.union_distinct([e.where("doc_id % 2 = 0"), e.where("doc_id % 3 = 0")], ["key"], ["doc_id", "i"]).select("doc_id", "i", F.md5("s").alias("s"))
-
-
-@query("evidence_union_whole", None)
-def evidence_union_whole(spark, sf):
     e = _evidence(spark, sf).select("doc_id", "i", "s", F.lower("s").alias("key"))
     return E.union_distinct([e.where("doc_id % 2 = 0"), e.where("doc_id % 2 <> 0 or doc_id % 3 = 0")], ["key"], ["doc_id", "i"]).select("doc_id", "i", F.md5("s").alias("s"))
 
@@ -194,13 +188,8 @@ def grounding_check(spark, sf):
     return c.select("conv_id", "turn", E.grounded(a, T.token_set(F.col("before")), F.lit("explanation")).alias("grounded"))
 
 
-@query("context_line", "SELECT doc_id, '- [' || coalesce(nullif(source, ''), 'Official Source') || CASE WHEN doc_id % 4 > 0 THEN ' | page ' || CAST(doc_id % 4 AS VARCHAR) ELSE '' END || '] ' || coalesce(substr(text, 1, 40), '') AS line FROM documents")
+@query("context_line", "SELECT doc_id, '- [' || coalesce(nullif(source, ''), 'Official Source') || CASE WHEN doc_id % 4 > 0 THEN ' | page ' || CAST(doc_id % 4 AS VARCHAR) ELSE '' END || '] ' || coalesce(text, '') AS line FROM documents")
 def context_line(spark, sf):
-    return _context_lines(spark, sf, F.substring("text", 1, 40))
-
-
-@query("context_line_whole", None)
-def context_line_whole(spark, sf):
     return _context_lines(spark, sf, F.col("text"))
 
 
@@ -230,6 +219,5 @@ def answer_status(spark, sf):
 @query("answer_extractive", None)
 def answer_extractive(spark, sf):
     s = _answers(spark, sf).select("item_id", "sentence", F.round(F.col("score") + 0.1 * F.col("hits"), 6).alias("s"))
-    pool = ranked(s.distinct(), ["item_id"], [F.desc("s"), F.asc("sentence")], 32).drop("rank")
-    picked = E.diverse(pool, "item_id", "sentence", "s")
+    picked = E.diverse(s.distinct(), "item_id", "sentence", "s")
     return picked.groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("o"), "sentence"))), lambda x: x["sentence"]), " ").alias("answer"))

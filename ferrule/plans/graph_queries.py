@@ -106,13 +106,8 @@ def kg_fact_rank(spark, sf):
     return ranked(f, ["s"], [F.desc("rank_score"), F.asc("fact")], 3)
 
 
-@query("kg_one_hop", f"WITH {_TRIPLES} SELECT s AS a, p, o AS b, 'out' AS direction FROM tr WHERE u AND p <> 'supplies' UNION ALL SELECT o, p, s, 'in' FROM tr WHERE u AND p <> 'supplies'")
+@query("kg_one_hop", f"WITH {_TRIPLES} SELECT s AS a, p, o AS b, 'out' AS direction FROM tr WHERE u UNION ALL SELECT o, p, s, 'in' FROM tr WHERE u")
 def kg_one_hop(spark, sf):
-    return G.neighbours(triples(spark, sf).where("p <> 'supplies'"))
-
-
-@query("kg_one_hop_whole", None)
-def kg_one_hop_whole(spark, sf):
     return G.neighbours(triples(spark, sf))
 
 
@@ -122,18 +117,11 @@ def kg_two_hop(spark, sf):
     return G.hops(t, t.where("p = 'type' and o = 'Customer'").select(F.col("s").alias("seed")), 2)
 
 
-@query("kg_reach_recursive", f"WITH RECURSIVE {_TRIPLES}, e AS (SELECT s AS a, o AS b FROM tr WHERE u AND p <> 'supplies'), r(node, depth) AS (SELECT s, 0 FROM tr WHERE p = 'type' AND o = 'Supplier' UNION SELECT e.b, r.depth + 1 FROM r JOIN e ON e.a = r.node WHERE r.depth < 3) SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY node")
+@query("kg_reach_recursive", f"WITH RECURSIVE {_TRIPLES}, e AS (SELECT s AS a, o AS b FROM tr WHERE u), r(node, depth) AS (SELECT s, 0 FROM tr WHERE p = 'type' AND o = 'Supplier' UNION SELECT e.b, r.depth + 1 FROM r JOIN e ON e.a = r.node WHERE r.depth < 3) SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY node")
 def kg_reach_recursive(spark, sf):
     t = triples(spark, sf)
     seeds = t.where("p = 'type' and o = 'Supplier'").select(F.col("s").alias("seed"))
-    reach = G.hops(t.where("p <> 'supplies'"), seeds, 3)
-    return reach.groupBy("node").agg(F.min("depth").alias("depth"))
-
-
-@query("kg_reach_whole", None)
-def kg_reach_whole(spark, sf):
-    t = triples(spark, sf)
-    reach = G.hops(t, t.where("p = 'type' and o = 'Supplier'").select(F.col("s").alias("seed")), 3)
+    reach = G.hops(t, seeds, 3)
     return reach.groupBy("node").agg(F.min("depth").alias("depth"))
 
 
@@ -186,13 +174,8 @@ def kg_hod_rank_ties(spark, sf):
     return x.withColumn("score", score).withColumn("k", k).where("k = 1").select("n_name", "s_suppkey", "score")
 
 
-@query("kg_turtle_lines", f"WITH {_TRIPLES} SELECT '<' || s || '> <' || p || '> ' || CASE WHEN u THEN '<' || o || '>' ELSE '\"' || replace(o, '\"', '\\\"') || '\"' END || ' .' AS line FROM tr WHERE p <> 'supplies'")
+@query("kg_turtle_lines", f"WITH {_TRIPLES} SELECT '<' || s || '> <' || p || '> ' || CASE WHEN u THEN '<' || o || '>' ELSE '\"' || replace(o, '\"', '\\\"') || '\"' END || ' .' AS line FROM tr")
 def kg_turtle_lines(spark, sf):
-    return turtle.lines(triples(spark, sf).where("p <> 'supplies'"))
-
-
-@query("kg_turtle_lines_whole", None)
-def kg_turtle_lines_whole(spark, sf):
     return turtle.lines(triples(spark, sf))
 
 

@@ -64,7 +64,7 @@ def location_and_role(spark, sf):
 
 _GT = f"CASE WHEN len(list_filter(k, lambda t: t NOT IN ({S.listed(params.GROUNDING_STOPWORDS)}))) > 0 THEN list_filter(k, lambda t: t NOT IN ({S.listed(params.GROUNDING_STOPWORDS)})) ELSE k END"
 _KEY = lambda x: f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
-_DEF = f"""f0 AS (SELECT item_id, lower(substr({S.squash('text')}, 1, 24)) AS focus FROM benchmark), f1 AS (SELECT item_id, focus, {_KEY('focus')} AS f, {S.keywords('focus')} AS k0 FROM f0), f2 AS (SELECT *, {S.unique('k0')} AS k FROM f1),
+_DEF = f"""f0 AS (SELECT item_id, lower({S.squash('text')}) AS focus FROM benchmark), f1 AS (SELECT item_id, focus, {_KEY('focus')} AS f, {S.keywords('focus')} AS k0 FROM f0), f2 AS (SELECT *, {S.unique('k0')} AS k FROM f1),
 f3 AS (SELECT *, {_GT} AS terms, CASE WHEN len(k) >= 2 AND length(array_to_string(k, '')) >= {params.COMPACT_LENGTH} THEN array_to_string(k, '') END AS form FROM f2),
 d0 AS (SELECT item_id AS other, text AS s FROM benchmark), x AS (SELECT f3.*, other, s, ' ' || {_KEY('s')} || ' ' AS pad, lower({S.squash('s')}) AS low FROM f3, d0), h AS (SELECT *, len(list_filter(terms, lambda t: contains(pad, ' ' || t || ' '))) AS hits, f <> '' AND contains(pad, ' ' || f || ' ') AS phrase FROM x)
 SELECT item_id, other, CAST(round(CASE WHEN f = '' THEN 0 ELSE CASE WHEN phrase THEN 2.0 + CASE WHEN regexp_matches(split_part(pad, ' ' || f || ' ', 2), '^\\s*({L.DEFINES})\\b') THEN 2.0 ELSE 0 END WHEN form IS NOT NULL AND contains({S.compact('s')}, form) THEN 2.8 ELSE 0 END
@@ -73,7 +73,7 @@ SELECT item_id, other, CAST(round(CASE WHEN f = '' THEN 0 ELSE CASE WHEN phrase
 
 def _focus_pairs(spark, sf):
     b = table(spark, sf, "benchmark")
-    f = b.select("item_id", F.lower(F.substring(T.squash(F.col("text")), 1, 24)).alias("focus"))
+    f = b.select("item_id", F.lower(T.squash(F.col("text"))).alias("focus"))
     # benchmark items against each other: a fixed, small set of questions
     return f.join(F.broadcast(b.select(F.col("item_id").alias("other"), F.col("text").alias("s"))))
 
@@ -183,4 +183,4 @@ def explanation_quality(spark, sf):
 @query("explanation_evidence", None)
 def explanation_evidence(spark, sf):
     x = _focus_pairs(spark, sf).select("item_id", F.col("s").alias("sentence"), L.quality(F.concat(F.lit("explain "), F.col("focus")), F.lit("overview"), F.col("s"), F.lit(0.5), F.lit(0.0)).alias("quality"))
-    return E.diverse(ranked(x.where("quality >= 0.45"), ["item_id"], [F.desc("quality"), F.asc("sentence")], 32).drop("rank"), "item_id", "sentence", "quality")
+    return E.diverse(x.where("quality >= 0.45").distinct(), "item_id", "sentence", "quality")

@@ -109,14 +109,8 @@ def stale_purge(spark, sf):
     return o.select("page_id").join(n.select("page_id"), "page_id", "left_anti")
 
 
-@query("entity_merge_first_nonempty", "SELECT source, arg_min(lang, doc_id) FILTER (lang <> '' AND doc_id % 3 <> 0) AS lang, arg_min(substr(text, 1, 20), doc_id) FILTER (substr(text, 1, 20) <> '') AS head, count(*) AS n FROM documents GROUP BY source")
+@query("entity_merge_first_nonempty", "SELECT source, arg_min(lang, doc_id) FILTER (lang <> '' AND doc_id % 3 <> 0) AS lang, arg_min(text, doc_id) FILTER (text <> '') AS head, count(*) AS n FROM documents GROUP BY source")
 def entity_merge_first_nonempty(spark, sf):
-    d = table(spark, sf, "documents").select("source", "doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("lang"), F.substring("text", 1, 20).alias("head"))
-    return I.merged(d, "source", "doc_id", ["lang", "head"], []).join(d.groupBy("source").agg(F.count("*").alias("n")), "source")
-
-
-@query("entity_merge_whole_text", None)
-def entity_merge_whole_text(spark, sf):
     d = table(spark, sf, "documents").select("source", "doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("lang"), F.col("text").alias("head"))
     return I.merged(d, "source", "doc_id", ["lang", "head"], []).join(d.groupBy("source").agg(F.count("*").alias("n")), "source")
 
