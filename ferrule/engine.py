@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ferrule import params
 from ferrule.functions import rules as L
 from ferrule.functions import text as T
+from ferrule.operators import answers as A
 from ferrule.operators import docs as D
 from ferrule.operators import evidence as E
 from ferrule.operators import graph as G
+from ferrule.operators import ingest as I
 from ferrule.operators import retrieve as R
 
 
@@ -44,11 +48,39 @@ def vector_channel(encoder: Callable, k: int = 20) -> Retriever:
 
 
 class Engine:
-    """chunks: chunk_id, text, title, category and, for a vector channel, embedding. triples: s, p, o, o_is_uri."""
+    """chunks: chunk_id, text, title, category and, for a vector channel, embedding. triples: s, p, o, o_is_uri.
 
-    def __init__(self, chunks: DataFrame, triples: DataFrame | None = None, channels: list[Retriever] | None = None, scorer: Callable | None = None):
-        self.chunks, self.triples, self.scorer = chunks, triples, scorer
+    scorer: a UDF of (query, text) for reranking. kg_query: from (query_id, query) to facts (query_id, entity, fact, score).
+    generator: a UDF from a prompt to an answer; without one answers are extractive. on_stage(name, seconds) is told when
+    the plan of a stage is ready.
+    """
+
+    def __init__(self, chunks: DataFrame, triples: DataFrame | None = None, channels: list[Retriever] | None = None, scorer: Callable | None = None, kg_query: Callable | None = None, generator: Callable | None = None, on_stage: Callable | None = None):
+        self.chunks, self.triples, self.scorer, self.kg_query, self.generator, self.on_stage = chunks, triples, scorer, kg_query, generator, on_stage
         self.channels = channels or [bm25_channel, lexical_channel]
+        self.timings: dict[str, float] = {}
+
+    def _stage(self, name: str, make: Callable):
+        start = time.monotonic()
+        out = make()
+        self.timings[name] = time.monotonic() - start
+        if self.on_stage:
+            self.on_stage(name, self.timings[name])
+        return out
+
+    def documents(self) -> DataFrame:
+        return self.chunks.groupBy("title").agg(F.count("*").alias("chunks"))
+
+    def add(self, chunks: DataFrame) -> Engine:
+        """An engine with these chunks besides; those that it had before are replaced."""
+        return self._with(I.appended(self.chunks, chunks, "chunk_id"))
+
+    def remove(self, titles: DataFrame) -> Engine:
+        """An engine without the chunks of these titles."""
+        return self._with(self.chunks.join(titles.select("title"), "title", "left_anti").select(*self.chunks.columns))
+
+    def _with(self, chunks: DataFrame) -> Engine:
+        return Engine(chunks, self.triples, self.channels, self.scorer, self.kg_query, self.generator, self.on_stage)
 
     @classmethod
     def of_documents(cls, documents: DataFrame, **options) -> Engine:
@@ -61,7 +93,11 @@ class Engine:
     def plan(self, queries: DataFrame) -> DataFrame:
         """query_id, query as retrieved with, intent, question type, category filter by intent."""
         q = F.col("query")
-        return queries.select("query_id", T.without_intent(q).alias("query"), T.intent(q).alias("intent"), T.question_type(q).alias("question_type"))
+        kind = T.intent(q)
+        category = F.lit(None).cast("string")
+        for name, value in params.CATEGORY_BY_INTENT.items():
+            category = F.when(kind == name, value).otherwise(category)
+        return queries.select("query_id", T.without_intent(q).alias("query"), kind.alias("intent"), T.question_type(q).alias("question_type"), category.alias("category_filter"))
 
     def retrieve(self, queries: DataFrame, top_n: int = 8) -> DataFrame:
         """The channels' hits fused and reranked, with texts joined late."""
@@ -96,6 +132,31 @@ class Engine:
         c = E.confidence(F.col("ev"), F.col("ch"), F.lit(None).cast("double"))
         return q.select("query_id", E.status(c, F.coalesce("n", F.lit(0)), F.lit(False)).alias("status"), c.alias("confidence"), L.cleaned_answer(F.col("answer")).alias("answer"), F.coalesce("sources", F.lit("")).alias("sources"))
 
+    def respond(self, queries: DataFrame, most: int = 5) -> DataFrame:
+        """query_id, status, confidence, answer, sources, facts: retrieval, facts, a budgeted context, generation, and the grounding check.
+
+        What isn't grounded, and what a generator refuses or fails to give, is answered by the best evidence sentence.
+        """
+        plan = self._stage("plan", lambda: queries.select("query_id", "query").withColumn("question_type", T.question_type(F.col("query"))))
+        e = self._stage("evidence", lambda: self.evidence(queries, most).select("query_id", "rank", "title", F.lit(None).cast("int").alias("page"), "sentence", "score", "chunk_score").withColumn("match_type", F.lit("vector")))
+        none = queries.sparkSession.createDataFrame([], plan.select("query_id").schema.add("entity", "string").add("fact", "string").add("score", "double"))
+        facts = self._stage("facts", lambda: self.kg_query(queries) if self.kg_query else none)
+        ranked_facts = R.ranked(facts, ["query_id"], [F.desc("score"), F.asc("entity"), F.asc("fact")], 12)
+        context = A.budgeted(ranked_facts.select("query_id", "rank", "entity", "fact"), e)
+        best = A.best_fact(e.join(plan.select("query_id", "query"), "query_id")).withColumnRenamed("sentence", "direct")
+        scores = e.groupBy("query_id").agg(F.max("score").alias("ev"), F.least(F.lit(1.0), F.max("chunk_score")).alias("ch"), F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("title")), ",").alias("sources"), F.min_by("sentence", "rank").alias("first"))
+        kg = facts.groupBy("query_id").agg(F.max("score").alias("kg"))
+        x = plan.join(context, "query_id", "left").join(best, "query_id", "left").join(scores, "query_id", "left").join(kg, "query_id", "left")
+        empty = F.array().cast("array<string>")
+        x = x.withColumn("facts", F.coalesce("facts", empty)).withColumn("texts", F.concat(F.coalesce("evidence", empty), F.coalesce("facts", empty), F.filter(F.array("direct"), lambda d: d.isNotNull())))
+        x = x.withColumn("confidence", E.confidence(F.col("ev"), F.col("ch"), F.col("kg"))).withColumn("fallback", F.coalesce("direct", "first", F.try_element_at("facts", F.lit(1)), F.lit(params.REFUSAL)))
+        shown = A.prompt(A.generation_context(F.col("facts"), F.coalesce("evidence", empty), F.col("direct"), F.lit("")), F.col("question_type"))
+        x = x.withColumn("generated", self.generator(shown) if self.generator else F.col("fallback"))
+        grounded = A.answer_is_grounded(F.col("generated"), F.col("confidence"), F.col("question_type"), F.col("texts"), F.lit(False))
+        answer = F.when(F.size("texts") == 0, params.REFUSAL).otherwise(A.finalised(F.col("generated"), F.col("fallback"), F.col("question_type"), grounded))
+        status = E.status(F.col("confidence"), F.size("texts"), F.lit(False))
+        return self._stage("answer", lambda: x.select("query_id", status.alias("status"), F.col("confidence"), answer.alias("answer"), F.coalesce("sources", F.lit("")).alias("sources"), "facts"))
+
     def graph_query(self, seeds: DataFrame, depth: int = 2, most: int = 12) -> DataFrame:
         """seed, fact, score, rank: facts of the nodes within `depth` of each seed."""
         labels = self.triples.where("p = 'label'").select("s", F.col("o").alias("label"))

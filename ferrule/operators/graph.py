@@ -81,3 +81,55 @@ def merge(*graphs: DataFrame) -> DataFrame:
 def removed(old: DataFrame, new: DataFrame) -> DataFrame:
     """Distinct triples of old that new doesn't have."""
     return old.select("s", "p", "o").subtract(new.select("s", "p", "o"))
+
+
+def course_lookup(questions: DataFrame, courses: DataFrame, most: int = 5) -> DataFrame:
+    """(query_id, keyword, label, code): courses (label, code) whose name or code holds a keyword; the first keyword with hits counts."""
+    from ferrule.operators.retrieve import ranked, small
+
+    k = questions.select("query_id", F.posexplode(T.keywords(F.col("query"))).alias("_i", "keyword"))
+    held = F.contains(F.lower("label"), F.col("keyword")) | F.coalesce(F.contains(F.lower("code"), F.col("keyword")), F.lit(False))
+    words = k.select("keyword").distinct()  # each keyword is looked for once, whoever asks
+    hits = courses.join(small(words), held).select("keyword", "label", "code")
+    first = k.join(hits.select("keyword").distinct(), "keyword").groupBy("query_id").agg(F.min_by("keyword", "_i").alias("keyword"))
+    return ranked(first.join(hits, "keyword"), ["query_id"], [F.asc("label"), F.asc("code")], most).select("query_id", "keyword", "label", "code")
+
+
+def by_type(triples: DataFrame, part: Column, kind: str | None = None) -> DataFrame:
+    """(entity, label, type): nodes whose label or code holds `part`, of one type if given."""
+    named = triples.where(F.col("p").isin("label", "code")).select(F.col("s").alias("entity"), F.col("o").alias("label"))
+    typed = triples.where("p = 'type'").select(F.col("s").alias("entity"), F.col("o").alias("type"))
+    typed = typed.where(F.col("type") == kind) if kind else typed
+    return named.where(F.contains(F.lower("label"), F.lower(part))).join(typed, "entity").select("entity", "label", "type").distinct()
+
+
+def fast_path(query: Column, intent: Column, question_type: Column, has_entities: Column, has_upload: Column) -> Column:
+    """What the fast path does with a question: skipped, skipped_for_explanation or lookup."""
+    from ferrule import params
+
+    wanted = has_entities | (intent == "FACULTY_INFO") | T.any_of(F.lower(query), params.ROLE_TERMS)
+    return F.when(~wanted, "skipped").when((question_type == "explanation") & has_upload, "skipped_for_explanation").otherwise("lookup")
+
+
+def build(root: tuple[str, str, str], groups: DataFrame, members: dict[str, tuple[DataFrame, str, str | None, str | None]]) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a knowledge base: groups (id, label), and kinds of members (id, label, group) by name.
+
+    For each kind: its rows, the relation of the root to it, that of a group to it, and that of it to its group (null: none).
+    Nodes (id, label, type) and edges (id, source, target, type), each once.
+    """
+    node = lambda df, kind: df.select(F.concat(F.lit(f"{kind.lower()}-"), F.col("id").cast("string")).alias("id"), "label", F.lit(kind).alias("type"))
+    spark = groups.sparkSession
+    nodes = [spark.createDataFrame([root], "id string, label string, type string"), node(groups, "Group")]
+    edges = []
+    of = groups.select(F.col("label").alias("group"), F.concat(F.lit("group-"), F.col("id").cast("string")).alias("_g"))
+    for kind, (rows, from_root, from_group, to_group) in members.items():
+        n = F.concat(F.lit(f"{kind.lower()}-"), F.col("id").cast("string"))
+        nodes.append(node(rows, kind))
+        edge = lambda df, s, t, name: df.select(F.concat_ws("|", F.lit(name), s, t).alias("id"), s.alias("source"), t.alias("target"), F.lit(name).alias("type"))
+        if from_root:
+            edges.append(edge(rows, F.lit(root[0]), n, from_root))
+        if from_group or to_group:
+            linked = rows.join(of, "group")
+            edges += [edge(linked, F.col("_g"), n, from_group)] if from_group else []
+            edges += [edge(linked, n, F.col("_g"), to_group)] if to_group else []
+    return reduce(DataFrame.unionByName, nodes).dropDuplicates(["id"]), reduce(DataFrame.unionByName, edges).dropDuplicates(["id"])

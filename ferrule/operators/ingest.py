@@ -46,3 +46,82 @@ def merged(items: DataFrame, key: str, order: str, scalars: list[str], lists: li
 
 def readiness(n_documents: Column, n_chunks: Column, running: Column) -> Column:
     return F.when(running, "running").when(n_documents == 0, "empty").when(n_chunks == 0, "unindexed").otherwise("ready")
+
+
+def lookup(asked: DataFrame, sources: DataFrame, key: str = "url") -> DataFrame:
+    """Sources by key, a row for each that is asked for, known or not."""
+    return asked.select(key).join(sources, key, "left")
+
+
+def healed(state: Column, alive: Column, ready: Column) -> Column:
+    """The state after a restart: a run that says it is running but isn't ended idle, or in error if nothing is ready."""
+    return F.when((state == "running") & ~alive, F.when(ready, "idle").otherwise("error")).otherwise(state)
+
+
+#: The steps of an upload, with the progress that each shows.
+UPLOAD_STEPS = (("uploaded", 15), ("extracting", 35), ("chunking", 55), ("embedding", 75), ("indexed", 100))
+
+
+def step_after(state: Column, failed: Column) -> Column:
+    """The next state of an upload; a failed one fails, and what is indexed or failed stays."""
+    names = [s for s, _ in UPLOAD_STEPS]
+    out = state
+    for a, b in zip(names[:-1], names[1:], strict=True):
+        out = F.when(state == a, F.when(failed, "failed").otherwise(b)).otherwise(out)
+    return out
+
+
+def progress(state: Column) -> Column:
+    out = F.lit(0)
+    for name, value in UPLOAD_STEPS:
+        out = F.when(state == name, value).otherwise(out)
+    return out
+
+
+def decoded(content: Column) -> Column:
+    """Bytes as UTF-8, what isn't valid replaced: the fallback where no reader takes a file."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
+def faqs(documents: DataFrame, rules: list[tuple[str, str, str, str]], id_col: str, title: str, text: str) -> DataFrame:
+    """(id, question, answer): for documents whose title holds a term, the questions whose marker their text holds ('' always does).
+
+    rules: (term in the title, marker in the text, question, answer).
+    """
+    r = documents.sparkSession.createDataFrame(rules, "term string, marker string, question string, answer string")
+    return documents.join(F.broadcast(r), F.contains(F.lower(title), F.col("term")) & F.contains(F.coalesce(text, F.lit("")), F.col("marker"))).select(id_col, "question", "answer")
+
+
+def rebuilt(official: DataFrame, uploads: DataFrame, key: str) -> DataFrame:
+    """All documents that an index is made of: official ones with a text, and uploads; a key that both have is the upload's."""
+    u = uploads.withColumn("source_type", F.lit("upload"))
+    o = official.where("length(trim(coalesce(text, ''))) > 0").withColumn("source_type", F.lit("official")).join(u.select(key), key, "left_anti")
+    return o.unionByName(u)
+
+
+def appended(index: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
+    """An index with the chunks of one more document; chunks that it had before are replaced."""
+    return index.join(chunks.select(key), key, "left_anti").unionByName(chunks)
+
+
+class SingleFlight:
+    """Runs one job at a time in the background; a call while one runs doesn't start another."""
+
+    def __init__(self):
+        import threading
+
+        self._lock, self._thread = threading.Lock(), None
+
+    def run(self, job, force: bool = False) -> bool:
+        import threading
+
+        with self._lock:
+            if self._thread is not None and self._thread.is_alive() and not force:
+                return False
+            self._thread = threading.Thread(target=job, daemon=True)
+            self._thread.start()
+            return True
+
+    def wait(self) -> None:
+        if self._thread is not None:
+            self._thread.join()

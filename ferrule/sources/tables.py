@@ -89,3 +89,25 @@ def last_summary(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     numbered = rows.withColumn("_i", F.monotonically_increasing_id())
     numeric = [f.name for f in rows.schema if f.dataType.typeName() in ("double", "integer", "long")]
     return numbered.orderBy(F.desc("_i")).limit(1).drop("_i"), rows.agg(*[F.avg(c).alias(c) for c in numeric])
+
+
+def knowledge_base(spark: SparkSession, path: str, sections: dict[str, str]) -> dict[str, DataFrame]:
+    """All list sections of a knowledge-base file by name; empty ones where the file isn't there or lacks them."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    return {name: section(spark, path, name, ddl) if there else spark.createDataFrame([], ddl) for name, ddl in sections.items()}
+
+
+def snapshot_key(parts: DataFrame, name: str, mark: str) -> str:
+    """A key for what was computed from several inputs (name, fingerprint): it changes when any of them does."""
+    row = parts.agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", name, mark))), ""), 256), 1, 16)).first()
+    return row[0]
+
+
+def cached_table(spark: SparkSession, folder: str, key: str, make) -> DataFrame:
+    """The table kept under folder/key, made and kept if it isn't there."""
+    path = f"{folder}/{key}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
