@@ -41,10 +41,10 @@ _PRIMES = tuple(np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0
 
 
 def prepare(spark: SparkSession) -> None:
-    """Arrow batches of at most 2,000 rows and 32 MB, so that very long texts don't fill a worker; the package at the workers."""
+    """Arrow batches of at most 2,000 rows and 8 MB (or one text), so that very long texts don't fill a worker; the package at the workers."""
     session.ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def buckets(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
@@ -344,8 +344,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def ordered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Table]:
-    """dealt() documents of a bucket in order of id, ties by bytes: ids, tie numbers, buffer, offsets, and the rows in that order."""
+def ordered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """dealt() documents of a bucket in order of id, ties by bytes: ids, tie numbers, buffer, offsets, and the order of the rows."""
     ids = table.column("_id").combine_chunks().fill_null(NULL_ID).to_numpy(zero_copy_only=False) if table.num_rows else np.zeros(0, np.int64)
     buf, at = words.buffers(table.column("_text"))
     order = np.argsort(ids, kind="stable")
@@ -359,4 +359,4 @@ def ordered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     moved = np.concatenate([buf[at[r] : at[r + 1]] for r in order.tolist()]) if len(order) else buf
     ids = ids[order]
     first = np.searchsorted(ids, ids, side="left")
-    return ids, np.arange(len(ids)) - first, moved, new, table.take(pa.array(order)) if table.num_rows else table
+    return ids, np.arange(len(ids)) - first, moved, new, order

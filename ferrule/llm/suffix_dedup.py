@@ -6,7 +6,7 @@ smaller id, or earlier in the same one. Strings never cross documents and are ju
 How it is spread. Equal strings have the same lowest k-gram hash at the same place. So the windows of a
 text, cut where that k-gram (the anchor) changes, are short segments that need to meet only segments of the
 same anchor. Equal segments are counted once, first within a block of documents, then over all. Where an
-anchor still has several different segments, their text goes to one bucket by anchor, and there
+anchor still has several different segments, their text goes to one bucket by anchor, and there, for each of PARTS parts of the anchors,
 
 1. a suffix array is built over the bucket's text: suffixes smaller than their successors are sorted
    directly, all others induced by scans over the buckets of first bytes (Itoh and Tanaka's two stages);
@@ -41,7 +41,7 @@ DOCS, RUNS, MARKS, NEEDED, SEGMENTS, WINDOWS = range(6)
 assert DOCS == blocks.DOCS
 #: The sample that finds hot anchors: bytes for each bucket, and the documents in it that show an anchor with different segments.
 SAMPLE_BYTES, SAMPLE_LEAST, HOT_SEEN, HOT_EACH = 64 << 10, 16 << 20, 16, 80
-WIDE, LONGEST = 4 << 20, 1 << 15
+WIDE, LONGEST, PARTS = 4 << 20, 1 << 15, 8
 
 
 def segments(buf: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -274,15 +274,21 @@ def _find(docs: DataFrame, n: int, hot: np.ndarray, length: int) -> DataFrame:
                 i = x["i"]
                 rows_ = order[i]
                 lo, hi = ends[i[0]] - size[i[0]], ends[i[-1]]
-                out.append((b, SEGMENTS, {"doc": need["doc"][rows_], "tie": need["tie"][rows_], "a": need["a"][rows_], "m": need["m"][rows_], "text": flat[lo:hi]}))
+                out.append((b, SEGMENTS, {"part": (need["anchor"][rows_] // np.uint64(n) % np.uint64(PARTS)).astype(np.uint8), "doc": need["doc"][rows_], "tie": need["tie"][rows_], "a": need["a"][rows_], "m": need["m"][rows_], "text": flat[lo:hi]}))
         return route.table(out, own)
 
     def sort(table: pa.Table) -> pa.Table:  # the suffix array of a bucket
         kinds = blocks.by_kind(table)
         own = table.column("bucket")[0].as_py()
         out = [(own, MARKS, x) for x in kinds.get(MARKS, [])]
-        if x := blocks.joined(kinds.get(SEGMENTS, [])):
-            size = x["m"].astype(np.int64) - 1 + length
+        every = blocks.joined(kinds.pop(SEGMENTS, []))
+        for part in range(PARTS if every else 0):  # segments of an anchor are in one part; a part's suffix array is small
+            size = every["m"].astype(np.int64) - 1 + length
+            mine = every["part"] == part
+            if not mine.any():
+                continue
+            x = {k: v[mine] for k, v in every.items() if k != "text"} | {"text": every["text"][np.repeat(mine, size)]}
+            size = size[mine]
             start = np.cumsum(size) - size
             order = np.lexsort((x["a"], x["tie"], x["doc"]))
             size, m = size[order], x["m"][order].astype(np.int64)
@@ -326,13 +332,13 @@ def merged(doc: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _removed(table: pa.Table, marks: list[dict]):
-    ids, tie, buf, at, rows_ = blocks.ordered(table)
+    ids, tie, buf, at, order = blocks.ordered(table)
     edge = np.zeros(len(buf) + 1, dtype=np.int32)
     if x := blocks.joined(marks):
         row = np.searchsorted(ids, x["doc"]) + x["tie"]
         np.add.at(edge, at[row] + x["s"], 1)
         np.add.at(edge, at[row] + x["e"], -1)
-    return ids, buf, at, np.cumsum(edge[:-1]) > 0, rows_
+    return ids, buf, at, np.cumsum(edge[:-1]) > 0, order
 
 
 def _kept(buf: np.ndarray, at: np.ndarray, gone: np.ndarray) -> list[bytes]:
@@ -375,8 +381,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     schema, names = docs.schema, docs.columns
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        _, buf, at, gone, other = _removed(left, blocks.by_kind(right).get(MARKS, []))
+        _, buf, at, gone, order = _removed(left, blocks.by_kind(right).get(MARKS, []))
         text = pa.array([x.decode("utf-8", "ignore") for x in _kept(buf, at, gone)], pa.string())
-        return pa.table([text if c == text_col else other.column(f"_rest{rest.index(c)}") for c in names], names=names)
+        return pa.table([text if c == text_col else left.column(f"_rest{rest.index(c)}").take(pa.array(order)) for c in names], names=names)
 
     return base.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(blocks.tidy_two(finish), schema)
