@@ -30,7 +30,7 @@ from ferrule import session
 
 from . import words
 
-BLOCK_BYTES, FAN = 16 << 20, 1024
+BLOCK_BYTES, FAN = 8 << 20, 1024
 #: The kind of a row that holds documents.
 DOCS = 0
 #: Stands for a null document id.

@@ -28,6 +28,7 @@ wholly stays, with empty text.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -341,10 +342,10 @@ def _removed(table: pa.Table, marks: list[dict]):
     return ids, buf, at, np.cumsum(edge[:-1]) > 0, order
 
 
-def _kept(buf: np.ndarray, at: np.ndarray, gone: np.ndarray) -> list[bytes]:
+def _kept(buf: np.ndarray, at: np.ndarray, gone: np.ndarray) -> Iterator[bytes]:
     total = np.concatenate([[0], np.cumsum(~gone)])[at]
-    raw = buf[~gone].tobytes()
-    return [raw[a:b] for a, b in zip(total[:-1].tolist(), total[1:].tolist(), strict=True)]
+    raw = buf[~gone]
+    return (raw[a:b].tobytes() for a, b in zip(total[:-1].tolist(), total[1:].tolist(), strict=True))
 
 
 def _start(docs: DataFrame, id_col: str, text_col: str, rest: list[str], length: int) -> tuple[DataFrame, DataFrame]:
@@ -382,7 +383,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         _, buf, at, gone, order = _removed(left, blocks.by_kind(right).get(MARKS, []))
-        text = pa.array([x.decode("utf-8", "ignore") for x in _kept(buf, at, gone)], pa.string())
+        text = pa.array((x.decode("utf-8", "ignore") for x in _kept(buf, at, gone)), pa.string())
+        del buf, gone
         return pa.table([text if c == text_col else left.column(f"_rest{rest.index(c)}").take(pa.array(order)) for c in names], names=names)
 
     return base.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(blocks.tidy_two(finish), schema)

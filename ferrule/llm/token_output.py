@@ -36,7 +36,7 @@ from . import blocks, words
 MAGIC = b"FRTK0001"
 #: Pieces that are kept, and the characters of the longest of them; longer ones go to the library each time.
 CACHE_PIECES, KEPT_CHARS = 500_000, 64
-SECTION = 1 << 20
+SECTION, SHARD_BYTES = 1 << 20, 16 << 20
 _LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.uint8)
 
 
@@ -289,7 +289,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
     blocks.prepare(spark)
     blocks.whole_ids(docs, id_col)
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    ranged = picked.repartitionByRange(blocks.buckets(picked), "id").sortWithinPartitions("id", "t")
+    ranged = picked.repartitionByRange(blocks.buckets(picked, SHARD_BYTES), "id").sortWithinPartitions("id", "t")
 
     def run(batches):
         encoder, shard = Encoder.of(tokenizer), TaskContext.get().partitionId()
