@@ -30,7 +30,7 @@ from ferrule import session
 
 from . import words
 
-BLOCK_BYTES, FAN = 8 << 20, 1024
+BLOCK_BYTES, FLUSH_BYTES, FAN = 8 << 20, 32 << 20, 1024
 #: The kind of a row that holds documents.
 DOCS = 0
 #: Stands for a null document id.
@@ -210,10 +210,45 @@ def bucket_of(ids: np.ndarray, n: int) -> np.ndarray:
 
 
 def dealt(docs: DataFrame, n: int, id_col: str, text_col: str, rest: list[str] | None = None) -> DataFrame:
-    """docs as plain rows, by bucket of id: bucket, _id, _text and the columns `rest` as _rest0 and so on."""
+    """docs as SCHEMA rows by bucket of id: ids and texts, and the columns `rest` as Arrow streams. A task sends about FLUSH_BYTES at a time."""
+    from pyspark import TaskContext
+
     whole_ids(docs, id_col)
+    route = Route(n)
+
+    def run(batches):
+        own, held, size = TaskContext.get().partitionId(), [], 0
+
+        def flush():
+            table = pa.Table.from_batches(held)
+            ids = table.column(0).combine_chunks().fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+            buf, at = words.buffers(table.column(1))
+            items = []
+            for b, x in split(bucket_of(ids, n), {"row": np.arange(len(ids))}):
+                r = x["row"]
+                part = {"id": ids[r], "len": np.diff(at)[r], "text": np.concatenate([buf[at[i] : at[i + 1]] for i in r.tolist()])}
+                if rest:
+                    sink = pa.BufferOutputStream()
+                    others = table.select(list(range(2, table.num_columns))).take(pa.array(r))
+                    with pa.ipc.new_stream(sink, others.schema) as w:
+                        w.write_table(others)
+                    stream = np.frombuffer(sink.getvalue(), dtype=np.uint8)
+                    part |= {"rest": stream, "rest_n": np.array([len(stream)])}
+                items.append((b, DOCS, part))
+            return route.rows(items, own)
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size >= FLUSH_BYTES:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
+
     picked = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_rest{k}") for k, c in enumerate(rest or [])])
-    return picked.select(F.pmod(F.xxhash64("_id"), F.lit(n)).alias("bucket"), "*").repartition(n, "bucket")
+    return route.spread(picked.mapInArrow(tidy_batches(run), SCHEMA))
 
 
 def packed(docs: DataFrame, n: int, id_col: str, text_col: str, chunk: int) -> DataFrame:
@@ -344,10 +379,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def ordered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """dealt() documents of a bucket in order of id, ties by bytes: ids, tie numbers, buffer, offsets, and the order of the rows."""
-    ids = table.column("_id").combine_chunks().fill_null(NULL_ID).to_numpy(zero_copy_only=False) if table.num_rows else np.zeros(0, np.int64)
-    buf, at = words.buffers(table.column("_text"))
+def ordered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Table | None]:
+    """dealt() documents of a bucket in order of id, ties by bytes: ids, tie numbers, buffer, offsets, other columns."""
+    parts = by_kind(table).get(DOCS, [])
+    ids, buf, at = gather([{k: x[k] for k in ("id", "len", "text")} for x in parts])
     order = np.argsort(ids, kind="stable")
     same = np.flatnonzero(np.diff(ids[order]) == 0)
     if len(same):
@@ -359,4 +394,6 @@ def ordered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     moved = np.concatenate([buf[at[r] : at[r + 1]] for r in order.tolist()]) if len(order) else buf
     ids = ids[order]
     first = np.searchsorted(ids, ids, side="left")
-    return ids, np.arange(len(ids)) - first, moved, new, order
+    streams = [s for x in parts if "rest" in x for s in np.split(x["rest"], np.cumsum(x["rest_n"])[:-1])]
+    rest = pa.concat_tables([pa.ipc.open_stream(pa.py_buffer(s.tobytes())).read_all() for s in streams]).take(pa.array(order)) if streams else None
+    return ids, np.arange(len(ids)) - first, moved, new, rest

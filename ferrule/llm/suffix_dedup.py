@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import blocks, words
 
@@ -333,13 +334,13 @@ def merged(doc: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _removed(table: pa.Table, marks: list[dict]):
-    ids, tie, buf, at, order = blocks.ordered(table)
+    ids, tie, buf, at, other = blocks.ordered(table)
     edge = np.zeros(len(buf) + 1, dtype=np.int32)
     if x := blocks.joined(marks):
         row = np.searchsorted(ids, x["doc"]) + x["tie"]
         np.add.at(edge, at[row] + x["s"], 1)
         np.add.at(edge, at[row] + x["e"], -1)
-    return ids, buf, at, np.cumsum(edge[:-1]) > 0, order
+    return ids, buf, at, np.cumsum(edge[:-1]) > 0, other
 
 
 def _kept(buf: np.ndarray, at: np.ndarray, gone: np.ndarray) -> Iterator[bytes]:
@@ -380,11 +381,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     rest = [c for c in docs.columns if c != text_col]
     base, marks = _start(docs, id_col, text_col, rest, length)
     schema, names = docs.schema, docs.columns
+    empty = to_arrow_schema(schema).empty_table()
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        _, buf, at, gone, order = _removed(left, blocks.by_kind(right).get(MARKS, []))
+        _, buf, at, gone, other = _removed(left, blocks.by_kind(right).get(MARKS, []))
         text = pa.array((x.decode("utf-8", "ignore") for x in _kept(buf, at, gone)), pa.string())
         del buf, gone
-        return pa.table([text if c == text_col else left.column(f"_rest{rest.index(c)}").take(pa.array(order)) for c in names], names=names)
+        return pa.table([text if c == text_col else other.column(rest.index(c)) for c in names], names=names) if len(at) > 1 else empty
 
     return base.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(blocks.tidy_two(finish), schema)
