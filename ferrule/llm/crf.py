@@ -198,11 +198,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     usable = labels.select(F.col(id_col).alias("_id"), label.alias("_label")).where(F.col("_label").isin(0.0, 1.0) & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
     sample = usable.orderBy(F.xxhash64("_id"), "_id", "_label").limit(sample_docs)  # at most sample_docs rows, so it can be broadcast
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")
-    breaks = F.octet_length("_text") - F.octet_length(F.translate("_text", "\n", ""))
-    sized = texts.where(F.coalesce(breaks, F.lit(0)) < SAMPLE_LINES).select("_id", F.col("_label").cast("int").alias("_label"), "_text")
+    sized = texts.select("_id", F.col("_label").cast("int").alias("_label"), "_text")
 
     def run(batches):
         for batch in batches:
+            few = [(t.as_py() or "").count("\n") < SAMPLE_LINES for t in batch.column(2)]
+            batch = batch.filter(pa.array(few, pa.bool_()))
             buf, at = words.buffers(batch.column(2))
             index, size, first = measure(buf, at)
             parts = [pickle.dumps((index[a:b].astype(np.uint16), size[a:b])) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]

@@ -181,12 +181,13 @@ def hot_anchors(docs: DataFrame, id_col: str, text_col: str, length: int, n: int
     def run(batches):
         for batch in batches:
             buf, at = words.buffers(batch.column(0))
-            anchor, segment, doc, _, _ = segments(buf, at, length)
-            pair = np.unique(np.stack([anchor, segment], axis=1), axis=0) if len(anchor) else np.zeros((0, 2), np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].astype(np.int64)), pa.array(pair[:, 1].astype(np.int64))], names=["anchor", "segment"])
+            for lo, hi in words.runs(at):
+                anchor, segment, _, _, _ = segments(buf[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], length)
+                pair = np.unique(np.stack([anchor, segment], axis=1), axis=0) if len(anchor) else np.zeros((0, 2), np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].astype(np.int64)), pa.array(pair[:, 1].astype(np.int64))], names=["anchor", "segment"])
 
     few = blocks.some_rows(docs.select(id_col, text_col), id_col, max(SAMPLE_LEAST, n * SAMPLE_BYTES)).select(text_col)
-    seen = few.mapInArrow(run, "anchor long, segment long").distinct().groupBy("anchor").count().where(F.col("count") >= HOT_SEEN)
+    seen = few.mapInArrow(blocks.tidy_batches(run), "anchor long, segment long").distinct().groupBy("anchor").count().where(F.col("count") >= HOT_SEEN)
     return np.array(sorted(r[0] for r in seen.orderBy(F.desc("count"), "anchor").limit(n * HOT_EACH).collect()), dtype=np.int64).astype(np.uint64)
 
 
