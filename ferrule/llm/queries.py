@@ -1,4 +1,4 @@
-"""The queries op1 to op10, each over its whole table, and the SQL of those that SQL can express."""
+"""The queries op1 to op13, each over its whole table, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, blocks, crf, lm, minhash, sentencepiece_scan, suffix_dedup, token_output, url_filter, warc, wumanber
+from . import ann, blocks, crf, itemsets, lm, minhash, sentencepiece_scan, suffix_dedup, token_output, url_filter, warc, wumanber
 
 #: Rules of op2: host, path, verdict.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -96,10 +96,18 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done
 
 
+def op11_closed_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = itemsets.work_folder(spark)
+    done = blocks.checkpointed(itemsets.report(*itemsets.itemsets(table(spark, sf_dir, "sale_lines"), "sale_id", "item_id", folder)))
+    itemsets.remove(folder)
+    return done
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_warc_revisits, op2_url_filter, op3_lm_score, op4_quality_crf, op5_minhash_dedup, op6_decontaminate, op7_sentencepiece, op8_suffix_dedup, op9_ann_search, op10_token_output,
+        op11_closed_itemsets,
     )
 }
 
@@ -144,4 +152,22 @@ n AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT DISTINCT doc_id, i,
 it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "op11_closed_itemsets": """
+WITH RECURSIVE l AS (SELECT DISTINCT sale_id AS b, item_id AS i FROM sale_lines WHERE sale_id IS NOT NULL AND item_id IS NOT NULL),
+n AS (SELECT count(DISTINCT b) AS baskets, greatest(8, CAST(ceil(count(DISTINCT b) / 5000) AS BIGINT)) AS least FROM l),
+one AS (SELECT i, count(*) AS s FROM l GROUP BY i HAVING count(*) >= (SELECT least FROM n)),
+o AS (SELECT b, i FROM l SEMI JOIN one USING (i)),
+sets AS (
+  SELECT [i] AS items, i AS last, list(b) AS held FROM o GROUP BY i
+  UNION ALL
+  SELECT list_append(items, i), i, list(b) FROM (SELECT items, last, unnest(held) AS b FROM sets) f JOIN o USING (b) WHERE i > last GROUP BY items, i HAVING count(*) >= (SELECT least FROM n)),
+f AS (SELECT items, CAST(len(held) AS BIGINT) AS support FROM sets),
+part AS (SELECT list_filter(items, lambda x: x <> c) AS items, c, support, items AS of_ FROM (SELECT *, unnest(items) AS c FROM f WHERE len(items) > 1)),
+open_ AS (SELECT DISTINCT f.items FROM f JOIN part p ON p.items = f.items AND p.support = f.support),
+closed AS (SELECT * FROM f ANTI JOIN open_ USING (items)),
+rule AS (SELECT p.of_ AS items, p.c, f.support AS a, one.s, row_number() OVER (PARTITION BY p.of_ ORDER BY f.support, p.c) AS k
+  FROM part p JOIN f ON f.items = p.items JOIN one ON one.i = p.c, n WHERE 100 * p.support >= 10 * f.support AND p.support * CAST(n.baskets AS HUGEINT) > f.support * CAST(one.s AS HUGEINT)),
+r AS (SELECT items, count(*) AS n_rules, max(CASE WHEN k = 1 THEN c END) AS best_item, string_agg(c || ':' || a || ':' || s, ';' ORDER BY c) AS told FROM rule GROUP BY items)
+SELECT array_to_string(closed.items, ',') AS items, CAST(len(closed.items) AS BIGINT) AS n_items, support, coalesce(n_rules, 0) AS n_rules, best_item, sha256(coalesce(told, '')) AS rules_sha256
+FROM closed LEFT JOIN r USING (items)""",
 }
