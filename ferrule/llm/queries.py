@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, blocks, crf, itemsets, lm, minhash, sentencepiece_scan, suffix_dedup, token_output, url_filter, warc, wumanber
+from . import ann, blocks, bpe, crf, itemsets, lloyd, lm, minhash, sentencepiece_scan, suffix_dedup, token_output, url_filter, warc, wumanber
 
 #: Rules of op2: host, path, verdict.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -103,11 +103,24 @@ def op11_closed_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_dual_tree_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = lloyd.work_folder(spark)
+    done = blocks.checkpointed(lloyd.report(*lloyd.cluster(table(spark, sf_dir, "embeddings"), folder)))
+    lloyd.remove(folder)
+    return done
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_warc_revisits, op2_url_filter, op3_lm_score, op4_quality_crf, op5_minhash_dedup, op6_decontaminate, op7_sentencepiece, op8_suffix_dedup, op9_ann_search, op10_token_output,
-        op11_closed_itemsets,
+        op11_closed_itemsets, op12_bpe, op13_dual_tree_lloyd,
     )
 }
 
@@ -116,6 +129,19 @@ _KEY = """regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), ':(80|443)
   || CASE WHEN len(list_filter(string_split(regexp_extract(rest, '\\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_'))) > 0
      THEN '?' || array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '\\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_'))), '&') ELSE '' END"""
 
+def _lloyd_sql(rounds: int) -> str:
+    """Rounds one after another, each as an assignment and its means."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""d{r} AS MATERIALIZED (SELECT k, j, list_sum(list_transform(list_zip(e, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v, c{r}),
+a{r} AS MATERIALIZED (SELECT k, j, d FROM d{r} QUALIFY row_number() OVER (PARTITION BY k ORDER BY d, j) = 1)""")
+        if r < rounds:
+            steps.append(f"""s{r} AS (SELECT j, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT j, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v JOIN a{r} USING (k)) GROUP BY j, i),
+m{r} AS (SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM s{r} GROUP BY j),
+c{r + 1} AS MATERIALIZED (SELECT j, coalesce(m, c) AS c FROM c{r} LEFT JOIN m{r} USING (j))""")
+    return ",\n".join(steps)
+
+
 ORACLE_SQL = {
     "op1_warc_revisits": f"""
 WITH p AS (SELECT page_id AS n, url, coalesce(html, '') AS h, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM pages),
@@ -170,4 +196,11 @@ rule AS (SELECT p.of_ AS items, p.c, f.support AS a, one.s, row_number() OVER (P
 r AS (SELECT items, count(*) AS n_rules, max(CASE WHEN k = 1 THEN c END) AS best_item, string_agg(c || ':' || a || ':' || s, ';' ORDER BY c) AS told FROM rule GROUP BY items)
 SELECT array_to_string(closed.items, ',') AS items, CAST(len(closed.items) AS BIGINT) AS n_items, support, coalesce(n_rules, 0) AS n_rules, best_item, sha256(coalesce(told, '')) AS rules_sha256
 FROM closed LEFT JOIN r USING (items)""",
+    "op13_dual_tree_lloyd": f"""
+WITH v AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS k, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), vec_id, e) - 1 AS j, e AS c FROM v WHERE vec_id IS NOT NULL QUALIFY j < 8),
+{_lloyd_sql(10)}
+SELECT vec_id, CAST(j AS INT) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a10 JOIN v USING (k) JOIN c10 USING (j)""",
 }

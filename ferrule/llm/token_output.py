@@ -174,7 +174,7 @@ class Encoder:
             spared[odd] = False
             ids, n = self.encode(pa.array([text[a:b] if s else "" for a, b, s in zip(at[:-1].tolist(), at[1:].tolist(), spared.tolist(), strict=True)], pa.string()))
             cuts = np.concatenate([[0], np.cumsum(n)])
-            whole = [np.array(self.tokenizer.encode(text[at[r] : at[r + 1]], add_special_tokens=False).ids, np.uint32) for r in odd]
+            whole = [self._whole(text[at[r] : at[r + 1]]) for r in odd]
             n[odd] = [len(w) for w in whole]
             parts, last = [], 0
             for r, w in zip(odd, whole, strict=True):
@@ -223,6 +223,9 @@ class Encoder:
         found = np.unique(np.searchsorted(at, np.array(places, dtype=np.int64), side="right") - 1)
         return found[[any(t in text[at[r] : at[r + 1]] for t in self.added) for r in found.tolist()]] if len(found) else found
 
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
     def _library(self, text: str, begin: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
         pieces = [text[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
