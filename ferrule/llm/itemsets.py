@@ -10,7 +10,7 @@ A shard sees only what follows an item in the order, so a set found there may st
 carries, beside its support, two sums (exclusive or of 64-bit hashes) of the baskets that hold it. Sets with one support and
 equal sums are held by the same baskets; the longest of them is closed, and the others are parts of it.
 
-How it is spread. Rows meet their item's count by item and a salt (a hash of the basket), so that a hot item is many tasks'; items
+How it is spread. Repeated rows become one, before they are exchanged too. Rows meet their item's count by item and a salt (a hash of the basket), so that a hot item is many tasks'; items
 that have fewer rows than the least support go. A basket's items then meet in one row, which holds at most rows / least support
 of them. Weighted parts are summed before they are exchanged. A shard of more than MOST_CELLS items is split: each item of its group becomes a
 prefix with shards of its own, in another round of the same Spark steps. Only counts go to the driver, nothing is broadcast.
@@ -185,9 +185,8 @@ def _baskets(rows: DataFrame, least: int) -> DataFrame:
     """(x, y, items): the items of each basket that have at least `least` rows, rarest first."""
     salt = F.pmod(F.xxhash64("b"), F.lit(SALTS))
     often = rows.groupBy("i").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") >= least).withColumn("salt", F.explode(_salts()))
-    kept = rows.withColumn("salt", salt).join(often.hint("shuffle_hash"), ["i", "salt"])
-    once = kept.groupBy("i", "salt", "b").agg(F.first("f").alias("f"))  # dealt by item and salt already
-    held = once.groupBy("b").agg(F.array_sort(F.collect_list(F.struct("f", "i"))).alias("s"))
+    kept = rows.distinct().withColumn("salt", salt).join(often.hint("shuffle_hash"), ["i", "salt"])
+    held = kept.groupBy("b").agg(F.array_sort(F.collect_list(F.struct("f", "i"))).alias("s"))
     return held.select("b", F.col("s.i").alias("items"))
 
 
