@@ -8,10 +8,10 @@ from ferrule import params
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; text tables that come in fewer partitions than there are cores (one row group, say) are dealt out first."""
+    """A table; text tables that come in fewer files than there are cores (one row group, say, of which one task reads all) are dealt out first."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name in ("documents", "pages") and df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if name in ("documents", "pages") and len(df.inputFiles()) < cores else df
 
 
 def listed(words) -> str:

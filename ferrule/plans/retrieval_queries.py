@@ -135,16 +135,35 @@ def lexical_channel(spark, sf):
     return lexical(spark, sf)
 
 
-_CHANNELS = f"{_BM25}, {_LEX}, {_LEXR}, hits AS (SELECT item_id, 'bm25' AS channel, doc_id, rank, score FROM bm WHERE rank <= 20 UNION ALL SELECT item_id, 'lexical', doc_id, rank, keyword_score FROM lx WHERE rank <= 20)"
+_PROFILE = lambda t: f"list_transform([{', '.join(repr(c) for c in params.LETTERS)}], lambda c: CAST(length(lower(coalesce({t}, ''))) - length(replace(lower(coalesce({t}, '')), c, '')) AS DOUBLE))"
+_UNIT = "list_transform(v, lambda x: CASE WHEN list_inner_product(v, v) > 0 THEN x / sqrt(list_inner_product(v, v)) ELSE x END)"
+_DENSE = f"""dv AS MATERIALIZED (SELECT doc_id, {_UNIT} AS v FROM (SELECT doc_id, {_PROFILE('text')} AS v FROM documents)), qv AS MATERIALIZED (SELECT item_id, {_UNIT} AS v FROM (SELECT item_id, {_PROFILE('text')} AS v FROM benchmark)),
+vs AS (SELECT item_id, doc_id, round(greatest(0, least(1, (list_inner_product(dv.v, qv.v) + 1) / 2)), 6) AS score FROM dv, qv), vx AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM vs)"""
+_CHANNELS = f"""{_BM25}, {_LEX}, {_LEXR}, {_DENSE}, hits AS (SELECT item_id, 'bm25' AS channel, doc_id, rank, score, CAST(0 AS DOUBLE) AS title FROM bm WHERE rank <= 20 UNION ALL SELECT item_id, 'lexical', doc_id, rank, keyword_score, title_score FROM lx WHERE rank <= 20
+UNION ALL SELECT item_id, 'vector', doc_id, rank, score, 0 FROM vx WHERE rank <= 20)"""
 _FUSED = f"""{_CHANNELS}, fu AS (SELECT item_id, doc_id, round(sum(CASE channel WHEN 'lexical' THEN CAST(0.8 AS DOUBLE) ELSE 1 END / ({params.RRF_K} + rank)), 6) AS rrf_score, min(rank) AS best_rank, max(score) AS top_score,
 string_agg(channel || ':' || CAST(rank AS VARCHAR), ',' ORDER BY channel || ':' || CAST(rank AS VARCHAR)) AS channel_ranks FROM hits GROUP BY item_id, doc_id),
 fused AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rrf_score DESC, best_rank, doc_id) AS rank FROM fu)"""
 
 
+def dense(spark, sf, k=20):
+    d = T.letter_profile(table(spark, sf, "documents").select("doc_id", "text"), "v", F.col("text"))
+    q = T.letter_profile(table(spark, sf, "benchmark").select("item_id", "text"), "qv", F.col("text"))
+    return R.vector_topk(d, q, "doc_id", "v", "item_id", "qv", k)
+
+
+@query("dense_channel", f"WITH {_DENSE} SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM vx WHERE rank <= 20")
+def dense_channel(spark, sf):
+    return dense(spark, sf).select("item_id", "doc_id", "score", "rank")
+
+
 def channels(spark, sf):
-    b = bm25(spark, sf, 20).select("item_id", F.lit("bm25").alias("channel"), "doc_id", "rank", "score")
-    x = lexical(spark, sf).select("item_id", F.lit("lexical").alias("channel"), "doc_id", "rank", F.col("keyword_score").alias("score"))
-    return b.unionByName(x)
+    """The three channels' hits; title is what the lexical one says of titles."""
+    none = F.lit(0.0).alias("title")
+    b = bm25(spark, sf, 20).select("item_id", F.lit("bm25").alias("channel"), "doc_id", "rank", "score", none)
+    x = lexical(spark, sf).select("item_id", F.lit("lexical").alias("channel"), "doc_id", "rank", F.col("keyword_score").alias("score"), F.col("title_score").alias("title"))
+    v = dense(spark, sf).select("item_id", F.lit("vector").alias("channel"), "doc_id", "rank", "score", none)
+    return b.unionByName(x).unionByName(v)
 
 
 def fused(spark, sf):
@@ -162,11 +181,12 @@ def rrf_contributions(spark, sf):
     return channels(spark, sf).select("item_id", "doc_id", "channel", "rank", F.round(w / (params.RRF_K + F.col("rank")), 6).alias("contribution"))
 
 
-@query("candidate_merge", f"WITH {_CHANNELS} SELECT item_id, doc_id, max(CASE WHEN channel = 'bm25' THEN score ELSE 0 END) AS bm25_score, CAST(max(CASE WHEN channel = 'lexical' THEN score ELSE 0 END) AS DOUBLE) AS keyword_score, string_agg(DISTINCT channel, ',' ORDER BY channel) AS passes FROM hits GROUP BY item_id, doc_id")
+@query("candidate_merge", f"WITH {_CHANNELS} SELECT item_id, doc_id, max(CASE WHEN channel = 'bm25' THEN score ELSE 0 END) AS bm25_score, CAST(max(CASE WHEN channel = 'lexical' THEN score ELSE 0 END) AS DOUBLE) AS keyword_score, CAST(max(CASE WHEN channel = 'vector' THEN score ELSE 0 END) AS DOUBLE) AS vector_score, CAST(max(title) AS DOUBLE) AS title_score, string_agg(DISTINCT channel, ',' ORDER BY channel) AS passes FROM hits GROUP BY item_id, doc_id")
 def candidate_merge(spark, sf):
     c = channels(spark, sf)
     one = lambda n: F.when(F.col("channel") == n, F.col("score")).otherwise(0.0)
-    return R.merged(c.withColumn("bm25_score", one("bm25")).withColumn("keyword_score", one("lexical")), "item_id", "doc_id", ["bm25_score", "keyword_score"], "channel")
+    c = c.select("*", one("bm25").alias("bm25_score"), one("lexical").alias("keyword_score"), one("vector").alias("vector_score"), F.col("title").alias("title_score"))
+    return R.merged(c, "item_id", "doc_id", ["bm25_score", "keyword_score", "vector_score", "title_score"], "channel")
 
 
 @query("channel_summary", f"WITH {_CHANNELS} SELECT item_id, channel, count(*) AS n, max(score) AS top_score, arg_min(doc_id, rank) AS top_doc FROM hits GROUP BY item_id, channel")
@@ -183,31 +203,48 @@ def _pen(x: str) -> str:
 
 
 _W = params.FUSION
-_LIN = f"""{_CHANNELS}, m AS (SELECT item_id, doc_id, max(CASE WHEN channel = 'bm25' THEN score ELSE 0 END) AS b, max(CASE WHEN channel = 'lexical' THEN score ELSE 0 END) AS k FROM hits GROUP BY item_id, doc_id),
-n AS (SELECT *, round(b / max(b) OVER (PARTITION BY item_id), 6) AS bn FROM m), w AS (SELECT n.*, d.text AS dt, {S.squash('substr(d.text, 1, 220)')} AS h FROM n JOIN documents d USING (doc_id)),
-lin AS (SELECT item_id, doc_id, bn, k, round(greatest(0, least(1, bn * {_W['bm25']} + k * {_W['keyword']} - CASE WHEN {S.noise('h')} THEN {params.NOISE_PENALTY} ELSE 0 END - CAST({_pen('dt')} AS DOUBLE))), 6) AS score FROM w)"""
+_LIN = f"""{_CHANNELS}, m AS (SELECT item_id, doc_id, max(CASE WHEN channel = 'bm25' THEN score ELSE 0 END) AS b, max(CASE WHEN channel = 'lexical' THEN score ELSE 0 END) AS k, max(CASE WHEN channel = 'vector' THEN score ELSE 0 END) AS v, max(title) AS t FROM hits GROUP BY item_id, doc_id),
+n AS (SELECT *, coalesce(round(b / nullif(max(b) OVER (PARTITION BY item_id), 0), 6), 0) AS bn FROM m),
+pd AS MATERIALIZED (SELECT doc_id, {S.tokens('text')} AS ts, {S.tokens("concat_ws(' ', text, source)")} AS every, CASE WHEN {S.noise(S.squash('substr(text, 1, 220)'))} THEN {params.NOISE_PENALTY} ELSE 0 END + CAST({_pen('text')} AS DOUBLE) AS pen FROM documents WHERE doc_id IN (SELECT doc_id FROM m)),
+kq AS (SELECT item_id, {S.unique('k0')} AS kw FROM q0),
+sig AS (SELECT n.item_id, n.doc_id, bn, k, v, t, pen, len(list_intersect(kw, every)) / greatest(len(kw), 1) AS cov, 1 / (1 + exp(-(4 * (len(list_intersect(kw, ts[1:60])) / greatest(len(kw), 1)) - 2))) AS rr FROM n JOIN pd USING (doc_id) JOIN kq USING (item_id)),
+lin AS (SELECT *, round(greatest(0, least(1, v * {_W['vector']} + bn * {_W['bm25']} + k * {_W['keyword']} + rr * {_W['rerank']} + cov * {_W['coverage']} + t * {_W['title']} - pen)), 6) AS score FROM sig)"""
 
 
 def linear(spark, sf):
-    m = candidate_merge(spark, sf).withColumn("bn", F.round(F.col("bm25_score") / F.max("bm25_score").over(W.partitionBy("item_id")), 6))
-    x = m.join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    zero = F.lit(0.0)
-    score = R.linear_fusion(zero, F.col("bn"), F.col("keyword_score"), zero, zero, zero, T.is_noise(F.substring("text", 1, 220)), T.section_penalty(F.col("text")))
-    return x.select("item_id", "doc_id", "bn", F.col("keyword_score").alias("k"), F.round(score, 6).alias("score"))
+    """All six signals of each candidate, its penalties (told once a document) and the fused score."""
+    m = candidate_merge(spark, sf).withColumn("bn", F.coalesce(F.round(F.try_divide(F.col("bm25_score"), F.max("bm25_score").over(W.partitionBy("item_id"))), 6), F.lit(0.0)))
+    d = table(spark, sf, "documents").select("doc_id", "text", "source", T.is_noise(F.substring("text", 1, 220)).alias("noise"), T.section_penalty(F.col("text")).alias("section"), T.tokens(F.concat_ws(" ", "text", "source")).alias("every"))
+    q = table(spark, sf, "benchmark").select("item_id", T.keywords(F.col("text")).alias("kw"))
+    x = m.join(d, "doc_id").join(q, "item_id")
+    x = x.withColumn("cov", F.size(F.array_intersect("kw", "every")) / F.greatest(F.size("kw"), F.lit(1))).withColumn("rr", T.sigmoid(4 * T.leading_overlap(F.col("kw"), F.col("text")) - 2))
+    score = R.linear_fusion(F.col("vector_score"), F.col("bn"), F.col("keyword_score"), F.col("rr"), F.col("cov"), F.col("title_score"), F.col("noise"), F.col("section"))
+    return x.select("item_id", "doc_id", "bn", F.col("keyword_score").alias("k"), F.col("vector_score").alias("v"), F.col("title_score").alias("t"), F.col("cov"), F.col("rr"), F.round(score, 6).alias("score"))
 
 
-@query("linear_fusion", f"WITH {_LIN} SELECT item_id, doc_id, score FROM lin")
+@query("linear_fusion", f"WITH {_LIN} SELECT item_id, doc_id, round(bn, 6) AS bm25, k AS keyword, v AS vector, t AS title, round(cov, 6) AS coverage, round(rr, 6) AS rerank, score FROM lin")
 def linear_fusion(spark, sf):
-    return linear(spark, sf).select("item_id", "doc_id", "score")
+    return linear(spark, sf).select("item_id", "doc_id", F.round("bn", 6).alias("bm25"), F.col("k").alias("keyword"), F.col("v").alias("vector"), F.col("t").alias("title"), F.round("cov", 6).alias("coverage"), F.round("rr", 6).alias("rerank"), "score")
 
 
-@query("final_filter", f"WITH {_LIN}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM lin WHERE score >= 0.3 AND (k >= 0.52 OR bn >= 0.18)) SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 8")
+@query("final_filter", f"WITH {_LIN}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM lin WHERE score >= 0.3 AND (k >= 0.52 OR rr >= 0.45 OR v >= 0.42 OR bn >= 0.18 OR t >= 0.5)) SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 8")
 def final_filter(spark, sf):
-    zero = F.lit(0.0)
-    keep = linear(spark, sf).where(R.final_filter(F.col("score"), F.col("k"), zero, zero, F.col("bn"), zero))
+    keep = linear(spark, sf).where(R.final_filter(F.col("score"), F.col("k"), F.col("rr"), F.col("v"), F.col("bn"), F.col("t")))
     return R.ranked(keep, ["item_id"], [F.desc("score"), F.asc("doc_id")], 8).select("item_id", "doc_id", "score", "rank")
 
 
+@query("rerank_scored", f"""WITH {_FUSED}, pool AS (SELECT * FROM fused WHERE rank <= 32), x AS (SELECT item_id, doc_id, rrf_score, 1 / (1 + exp(-(4 * (len(list_intersect({S.unique('q0.k0')}, ts[1:60])) / greatest(len({S.unique('q0.k0')}), 1)) - 2))) AS raw, pen
+  FROM pool JOIN (SELECT doc_id, {S.tokens('text')} AS ts, CASE WHEN {S.noise(S.squash('substr(text, 1, 220)'))} THEN 0.08 ELSE 0 END + least(0.12, 0.55 * CAST({_pen('text')} AS DOUBLE)) AS pen FROM documents) USING (doc_id) JOIN q0 USING (item_id)),
+s AS (SELECT item_id, doc_id, rrf_score, round(raw, 4) AS reranker_score, round(greatest(0, least(1, raw - pen)), 4) AS score FROM x), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, rrf_score DESC, doc_id) AS rank FROM s)
+SELECT item_id, doc_id, reranker_score, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 8""")
+def rerank_scored(spark, sf):
+    """The pool of fused hits reordered by a scorer, less penalties; here the scorer is the leading overlap."""
+    q = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("query"))
+    hits = fused(spark, sf).join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").join(q, "item_id")
+    scorer = lambda query_, text_: 4 * T.leading_overlap(T.keywords(query_), text_) - 2
+    return R.rerank(hits, "item_id", "doc_id", 8, scorer).select("item_id", "doc_id", "reranker_score", "score", "rank")
+
+
 @query("rerank_no_model", f"WITH {_FUSED} SELECT item_id, doc_id, round(rrf_score, 4) AS score, CAST(rank AS INTEGER) AS rank FROM fused WHERE rank <= 8")
 def rerank_no_model(spark, sf):
     return R.rerank(fused(spark, sf), "item_id", "doc_id", 8).select("item_id", "doc_id", "score", "rank")
@@ -215,9 +252,10 @@ def rerank_no_model(spark, sf):
 
 @query("category_filter_before_topk", f"WITH {_BM25}, r AS (SELECT s.*, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, s.doc_id) AS r FROM scored s JOIN documents d ON d.doc_id = s.doc_id AND d.lang = 'en' WHERE score > 0) SELECT item_id, doc_id, score, CAST(r AS INTEGER) AS rank FROM r WHERE r <= 5")
 def category_filter_before_topk(spark, sf):
-    every = bm25(spark, sf, 1 << 30).drop("rank")
-    english = every.join(table(spark, sf, "documents").where("lang = 'en'").select("doc_id"), "doc_id", "left_semi")
-    return R.ranked(english, ["item_id"], [F.desc("score"), F.asc("doc_id")], 5).select("item_id", "doc_id", "score", "rank")
+    """Statistics are those of all documents; only English ones are ranked."""
+    english = table(spark, sf, "documents").where("lang = 'en'").select("doc_id")
+    q = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("q"))
+    return R.bm25(table(spark, sf, "documents"), q, "doc_id", F.col("text"), "item_id", F.col("q"), 5, among=english).select("item_id", "doc_id", "score", "rank")
 
 
 @query("text_encoder_topk", None)
