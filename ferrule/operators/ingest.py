@@ -58,8 +58,9 @@ def healed(state: Column, alive: Column, ready: Column) -> Column:
     return F.when((state == "running") & ~alive, F.when(ready, "idle").otherwise("error")).otherwise(state)
 
 
-#: The steps of an upload, with the progress that each shows.
-UPLOAD_STEPS = (("uploaded", 15), ("extracting", 35), ("chunking", 55), ("embedding", 75), ("indexed", 100))
+#: The steps of an upload, with the progress that each shows; a failed one has ended too.
+UPLOAD_STEPS = (("uploaded", 15), ("chunking", 40), ("embedding", 75), ("kg_sync", 90), ("indexed", 100))
+FAILED_PROGRESS = 100
 
 
 def step_after(state: Column, failed: Column) -> Column:
@@ -72,7 +73,7 @@ def step_after(state: Column, failed: Column) -> Column:
 
 
 def progress(state: Column) -> Column:
-    out = F.lit(0)
+    out = F.when(state == "failed", FAILED_PROGRESS).otherwise(0)
     for name, value in UPLOAD_STEPS:
         out = F.when(state == name, value).otherwise(out)
     return out

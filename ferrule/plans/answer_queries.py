@@ -50,9 +50,27 @@ def evidence(spark, sf):
     return s.join(questions(spark, sf), "query_id").withColumn("title", F.col("role"))
 
 
-@query("boilerplate_removed", "SELECT page_id, md5(" + S.squash("regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)menu\\s+home\\s+about.*?login\\s*', ' ', 'g'), '(?is)important\\s+links\\s.*?all\\s+rights\\s+reserved\\.?', ' ', 'g'), '(?is)(?:read\\s+more\\s*\\.\\s*){2,}', ' ', 'g')") + ") AS text FROM pages")
+_PAGE = "CASE page_id % 4 WHEN 1 THEN 'Menu  Home About Us Login ' || html WHEN 2 THEN html || ' read more . Read more. ' WHEN 3 THEN 'Important links here. All rights reserved.' || html ELSE html END"
+
+
+def part_evidence(spark, sf):
+    """Sentences about each part, as evidence for a question that asks to explain it: what it is, what it does, who is in charge, and layout."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("query_id"), "p_name", F.lower("p_type").alias("kind"), "p_brand", "p_partkey")
+    who = F.element_at(F.array(*[F.lit(n) for n in ("Anna Berg", "Omar Haddad", "Li Wei", "Rosa Diaz", "Jan Novak")]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    told = F.array(
+        F.concat(F.lit("The "), "p_name", F.lit(" is a system that is designed to hold "), "kind", F.lit(" loads on walls and doors.")),
+        F.concat("p_name", F.lit(" provides a joint that users of "), "p_brand", F.lit(" can open again without tools.")),
+        F.concat(F.lit("Dr. "), who, F.lit(" is the Head of the Department of "), "kind", F.lit(" fittings.")), F.concat(F.lit("Abstract The "), "p_name", F.lit(" was tested twice.")), F.concat(F.lit("Figure 3 shows a "), "p_name"),
+    )
+    s = p.select("query_id", F.concat(F.lit("explain "), "p_name").alias("query"), F.lit("explanation").alias("question_type"), F.posexplode(told).alias("i", "sentence"))
+    s = s.withColumn("rank", F.col("i") + 1).withColumn("turn", F.col("i").cast("long"))
+    return s.withColumn("score", F.round(0.9 - F.col("rank") * 0.1, 2)).withColumn("semantic_score", F.round(0.8 - F.col("rank") * 0.1, 2)).withColumn("match_type", F.lit("vector")).withColumn("title", F.lit("parts")).withColumn("role", F.lit("user"))
+
+
+@query("boilerplate_removed", "SELECT page_id, md5(" + S.squash("regexp_replace(regexp_replace(regexp_replace(coalesce(" + _PAGE + ", ''), '(?is)menu\\s+home\\s+about.*?login\\s*', ' ', 'g'), '(?is)important\\s+links\\s.*?all\\s+rights\\s+reserved\\.?', ' ', 'g'), '(?is)(?:read\\s+more\\s*\\.\\s*){2,}', ' ', 'g')") + ") AS text, md5(" + S.squash(f"coalesce({_PAGE}, '')") + ") AS before FROM pages")
 def boilerplate_removed(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.md5(A.without_blocks(F.col("html"))).alias("text"))
+    p = table(spark, sf, "pages").select("page_id", F.expr(_PAGE).alias("html"))
+    return p.select("page_id", F.md5(A.without_blocks(F.col("html"))).alias("text"), F.md5(T.squash(F.col("html"))).alias("before"))
 
 
 @query("sentence_cosine", """WITH p AS (SELECT a.vec_id AS vec_id, CAST(a.embedding AS DOUBLE[]) AS x, CAST(b.embedding AS DOUBLE[]) AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
@@ -85,15 +103,18 @@ def title_quality(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.round(A.title_quality(F.expr(_TITLE)), 2).alias("quality"))
 
 
-@query("document_priority", "SELECT p_partkey, CASE WHEN contains(lower(p_type), 'brass') THEN -2.0 WHEN contains(lower(p_type), 'steel') THEN 4.5 WHEN starts_with(lower(p_type), 'small ') THEN 2.4 ELSE 0.0 END AS priority FROM part")
+@query("document_priority", "SELECT p_partkey, CASE WHEN contains(lower(p_type), 'promo') THEN -2.0 WHEN contains(lower(p_type), 'econ') THEN 4.5 WHEN starts_with(lower(p_type), 'sm') THEN 2.4 ELSE 0.0 END AS priority FROM part")
 def document_priority(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", A.priority(F.col("p_type"), [("brass", -2.0), ("steel", 4.5), ("^small ", 2.4)]).alias("priority"))
+    return table(spark, sf, "part").select("p_partkey", A.priority(F.col("p_type"), [("promo", -2.0), ("econ", 4.5), ("^sm", 2.4)]).alias("priority"))
 
 
-@query("qualifier_aliases", """SELECT p_partkey, array_to_string(list_sort(list_concat(CASE WHEN contains(lower(p_type), 'electrical') THEN ['electrical', 'ee', 'power'] ELSE [] END, CASE WHEN contains(lower(p_type), 'computer') THEN ['computer', 'cs', 'computing'] ELSE [] END,
-  CASE WHEN contains(lower(p_type), 'steel') THEN ['steel', 'metal'] ELSE [] END, CASE WHEN contains(lower(p_type), 'brushed') THEN ['brushed', 'matte'] ELSE [] END)), ',') AS aliases FROM part""")
+#: Qualifiers of part types, with what they are also called.
+_QUALIFIERS = {"standard": ("plain", "std"), "promo": ("offer",), "large": ("big", "xl"), "small": ("mini",)}
+
+
+@query("qualifier_aliases", "SELECT p_partkey, array_to_string(list_sort(list_concat(" + ", ".join(f"CASE WHEN contains(lower(p_type), '{k}') THEN [{S.listed((k, *v))}] ELSE [] END" for k, v in _QUALIFIERS.items()) + ")), ',') AS aliases FROM part")
 def qualifier_aliases(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", F.array_join(A.qualifiers(F.col("p_type")), ",").alias("aliases"))
+    return table(spark, sf, "part").select("p_partkey", F.array_join(A.qualifiers(F.col("p_type"), _QUALIFIERS), ",").alias("aliases"))
 
 
 @query("evidence_strength", """SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' OR l_discount * 10 >= 0.82 OR l_tax * 10 >= 0.8 OR l_quantity / 50 >= 0.9 THEN 'strong'
@@ -110,9 +131,9 @@ def focus_statement(spark, sf):
     return table(spark, sf, "documents").select("doc_id", A.states_focus(F.regexp_extract(t, "^[^ ]+", 0), t).alias("states"))
 
 
-@query("role_match", f"""WITH t AS (SELECT conv_id, turn, lower({S.squash('text')}) AS t FROM conversations) SELECT conv_id, turn, regexp_matches(t, '\\b(?:head of (?:the )?department|hod)\\b') AS head, contains(t, 'teacher') AND regexp_matches(t, '\\bteacher\\b') AS teacher FROM t""")
+@query("role_match", f"""WITH t AS (SELECT conv_id, turn, lower({S.squash('text')}) AS t FROM {S.TURNS}) SELECT conv_id, turn, regexp_matches(t, '\\b(?:head of (?:the )?department|hod)\\b') AS head, contains(t, 'teacher') AND regexp_matches(t, '\\bteacher\\b') AS teacher FROM t""")
 def role_match(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", A.holds_role("Head of Department", F.col("text")).alias("head"), A.holds_role("Teacher", F.col("text")).alias("teacher"))
+    return S.turns(spark, sf).select("conv_id", "turn", A.holds_role("Head of Department", F.col("text")).alias("head"), A.holds_role("Teacher", F.col("text")).alias("teacher"))
 
 
 @query("simple_sentences", f"SELECT doc_id, len(list_filter(string_split(regexp_replace({S.squash('text')}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')) AS n, md5(array_to_string(list_filter(string_split(regexp_replace({S.squash('text')}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: s <> ''), chr(1))) AS sentences FROM documents")
@@ -128,7 +149,7 @@ def extracted_sentences(spark, sf):
 
 @query("name_in_role", None)
 def name_in_role(spark, sf):
-    e = evidence(spark, sf).where("sentence <> ''")
+    e = part_evidence(spark, sf)
     return e.select("query_id", "rank", *[A.name_in_role(r, F.col("sentence")).alias(r.lower().replace(" ", "_")) for r in A.ROLES])
 
 
@@ -145,7 +166,8 @@ def best_fact_sentence(spark, sf):
 
 @query("overview_evidence", None)
 def overview_evidence(spark, sf):
-    return questions(spark, sf).select("query_id").join(A.overview(evidence(spark, sf)), "query_id", "left")
+    e = part_evidence(spark, sf)
+    return e.select("query_id").distinct().join(A.overview(e), "query_id", "left")
 
 
 @query("answer_explanation_evidence", None)
@@ -206,7 +228,8 @@ def profile_sentence(spark, sf):
 @query("role_evidence", None)
 def role_evidence(spark, sf):
     people = table(spark, sf, "supplier").select(F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 3 == 0, "Head of Department").otherwise("Clerk").alias("designation"), F.lit("supply").alias("department"))
-    documents = table(spark, sf, "documents").select("doc_id", F.col("source").alias("title"), "text")
+    told = F.concat(F.lit("Dr. Anna Berg is the Head of the Department of "), F.col("source"), F.lit(". "), F.substring("text", 1, 400))
+    documents = table(spark, sf, "documents").select("doc_id", F.col("source").alias("title"), F.when(F.col("doc_id") % 50 == 0, told).otherwise(F.col("text")).alias("text"))
     return A.role_evidence("Head of Department", people, documents, [("news", -2.0)]).select("title", "evidence.sentence", "evidence.score", "evidence.source_type")
 
 
@@ -219,17 +242,17 @@ def upload_facts(spark, sf):
 
 @query("person_records", None)
 def person_records(spark, sf):
-    people = table(spark, sf, "customer")
-    name = F.lit("Asha Menon")
+    people = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    name = F.concat(F.initcap(F.lower(F.regexp_extract("n_name", "^[A-Za-z]+", 0))), F.lit(" "), F.initcap(F.lower("c_mktsegment")))
     register = F.concat(F.lit("MEK21CS"), F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0"))
     title = F.concat(F.lit('project titled "Health Monitoring System for '), F.col("c_mktsegment"), F.lit('"'))
-    text = F.concat_ws("\n", F.lit("List of students"), name, register, title, F.lit("Department of Computer Science during 2024"))
-    return A.person_records(people.select(F.col("c_custkey").alias("query_id"), F.lit("who is Asha Menon").alias("query"), F.col("c_custkey").alias("chunk_id"), text.alias("text")))
+    text = F.concat_ws("\n", F.lit("List of students"), name, F.when(F.col("c_custkey") % 3 > 0, register), F.when(F.col("c_custkey") % 2 == 0, title), F.lit("Department of Computer Science during 2024"))
+    return A.person_records(people.select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("who is "), name).alias("query"), F.col("c_custkey").alias("chunk_id"), text.alias("text")))
 
 
-@query("regulation_faqs", """SELECT doc_id, q AS question, a AS answer FROM documents, (VALUES ('', 'Where is it?', 'In the archive.'), ('%', 'What share?', 'See the text.')) r(m, q, a) WHERE contains(lower(source), 'e') AND contains(coalesce(text, ''), m)""")
+@query("regulation_faqs", """SELECT doc_id, q AS question, a AS answer FROM documents, (VALUES ('', 'Where is it?', 'In the archive.'), ('the ', 'What language?', 'English, in part.')) r(m, q, a) WHERE contains(lower(source), 'src1') AND contains(coalesce(text, ''), m)""")
 def regulation_faqs(spark, sf):
-    return I.faqs(table(spark, sf, "documents"), [("e", "", "Where is it?", "In the archive."), ("e", "%", "What share?", "See the text.")], "doc_id", "source", "text")
+    return I.faqs(table(spark, sf, "documents"), [("src1", "", "Where is it?", "In the archive."), ("src1", "the ", "What language?", "English, in part.")], "doc_id", "source", "text")
 
 
 @query("source_lookup", "SELECT p.url AS url, min(q.page_id) AS page_id FROM (SELECT DISTINCT url FROM pages WHERE url IS NOT NULL UNION SELECT 'http://unknown.example/') p LEFT JOIN pages q ON q.url = p.url GROUP BY p.url")
@@ -245,13 +268,16 @@ def run_healed(spark, sf):
     return table(spark, sf, "events").select("event_id", I.healed(state, F.col("user_id") % 2 != 0, F.col("event_id") % 3 > 0).alias("state"))
 
 
-@query("upload_steps", """WITH s AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'uploaded' WHEN 1 THEN 'extracting' WHEN 2 THEN 'chunking' WHEN 3 THEN 'embedding' WHEN 4 THEN 'indexed' ELSE 'failed' END AS s FROM events),
-n AS (SELECT event_id, CASE WHEN s IN ('indexed', 'failed') THEN s WHEN event_id % 7 = 0 THEN 'failed' WHEN s = 'uploaded' THEN 'extracting' WHEN s = 'extracting' THEN 'chunking' WHEN s = 'chunking' THEN 'embedding' ELSE 'indexed' END AS state FROM s)
-SELECT event_id, state, CASE state WHEN 'uploaded' THEN 15 WHEN 'extracting' THEN 35 WHEN 'chunking' THEN 55 WHEN 'embedding' THEN 75 WHEN 'indexed' THEN 100 ELSE 0 END AS progress FROM n""")
+#: An upload's state by how far its order has come: the last shipped line's number, and returned ones as failures.
+@query("upload_steps", """WITH s AS (SELECT l_orderkey, max(l_linenumber) AS n, count(*) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY l_orderkey),
+t AS (SELECT l_orderkey, CASE WHEN r > 2 THEN 'failed' WHEN n = 1 THEN 'uploaded' WHEN n = 2 THEN 'chunking' WHEN n = 3 THEN 'embedding' WHEN n = 4 THEN 'kg_sync' ELSE 'indexed' END AS s, r = 1 AS broke FROM s),
+n AS (SELECT l_orderkey, CASE WHEN s IN ('indexed', 'failed') THEN s WHEN broke THEN 'failed' WHEN s = 'uploaded' THEN 'chunking' WHEN s = 'chunking' THEN 'embedding' WHEN s = 'embedding' THEN 'kg_sync' ELSE 'indexed' END AS state FROM t)
+SELECT l_orderkey, state, CASE state WHEN 'uploaded' THEN 15 WHEN 'chunking' THEN 40 WHEN 'embedding' THEN 75 WHEN 'kg_sync' THEN 90 WHEN 'indexed' THEN 100 WHEN 'failed' THEN 100 ELSE 0 END AS progress FROM n""")
 def upload_steps(spark, sf):
-    names = F.array(*[F.lit(s) for s in ("uploaded", "extracting", "chunking", "embedding", "indexed", "failed")])
-    e = table(spark, sf, "events").select("event_id", I.step_after(names[(F.col("event_id") % 6).cast("int")], F.col("event_id") % 7 == 0).alias("state"))
-    return e.withColumn("progress", I.progress(F.col("state")))
+    s = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.max("l_linenumber").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("r"))
+    names = F.array(*[F.lit(s) for s, _ in I.UPLOAD_STEPS])
+    state = F.when(F.col("r") > 2, "failed").otherwise(F.element_at(names, F.least(F.col("n"), F.lit(len(I.UPLOAD_STEPS))).cast("int")))
+    return s.select("l_orderkey", I.step_after(state, F.col("r") == 1).alias("state")).withColumn("progress", I.progress(F.col("state")))
 
 
 @query("upload_order", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS position FROM orders WHERE o_orderstatus = 'P'")
@@ -277,9 +303,12 @@ def index_appended(spark, sf):
     return whole.groupBy("term").agg(F.count("*").alias("df"))
 
 
-@query("topic_boost", "SELECT doc_id, CASE WHEN contains(lower(source), 'web') THEN 0.85 ELSE 0.65 END AS title_score, CASE WHEN contains(lower(text), 'web') THEN 0.65 ELSE 0.45 END AS keyword_score FROM documents WHERE contains(lower(source), 'web') OR contains(lower(text), 'web') OR contains(lower(source), 'report') ORDER BY title_score DESC, keyword_score DESC, doc_id LIMIT 4")
+_NAMED = "(SELECT doc_id, text, concat_ws(' ', source, lang) AS title FROM documents)"
+
+
+@query("topic_boost", f"SELECT doc_id, CASE WHEN contains(lower(title), 'en') THEN 0.85 ELSE 0.65 END AS title_score, CASE WHEN contains(lower(text), 'en') THEN 0.65 ELSE 0.45 END AS keyword_score FROM {_NAMED} WHERE contains(lower(title), 'en') OR contains(lower(text), 'en') OR contains(lower(title), 'src1')")
 def topic_boost(spark, sf):
-    return R.topic_boost(table(spark, sf, "documents"), "web", "doc_id", F.col("text"), F.col("source"))
+    return R.topic_boost(table(spark, sf, "documents"), "en", "doc_id", F.col("text"), F.concat_ws(" ", "source", "lang"), also="src1", most=None)
 
 
 @query("course_lookup", None)
@@ -327,7 +356,7 @@ def generation_context(spark, sf):
 @query("answer_grounded", None)
 def answer_grounded(spark, sf):
     t = talk(spark, sf)
-    return t.select("conv_id", "turn", A.answer_is_grounded(F.col("text"), F.lit(0.8), T.question_type(F.col("query")), F.array("query", F.col("text")), F.lit(False)).alias("grounded"))
+    return t.select("conv_id", "turn", A.answer_is_grounded(F.col("text"), F.lit(0.8), T.question_type(F.col("query")), F.when(F.col("conv_id") % 2 == 0, F.array("query", F.col("text"))).otherwise(F.array("query")), F.lit(False)).alias("grounded"))
 
 
 @query("answer_finalised", None)

