@@ -13,6 +13,7 @@ from ferrule import params
 from ferrule.functions import rules as L
 from ferrule.functions import text as T
 from ferrule.operators import answers as A
+from ferrule.operators import cascade as C
 from ferrule.operators import docs as D
 from ferrule.operators import evidence as E
 from ferrule.operators import graph as G
@@ -21,25 +22,26 @@ from ferrule.operators import retrieve as R
 
 
 class Retriever(Protocol):
-    """A channel: (chunks, queries) to (query_id, channel, chunk_id, rank, score)."""
+    """A channel: (chunks, queries) to (query_id, channel, chunk_id, rank, score). among: the ids (one column) that may be given, of all if None."""
 
-    def __call__(self, chunks: DataFrame, queries: DataFrame) -> DataFrame: ...
+    def __call__(self, chunks: DataFrame, queries: DataFrame, among: DataFrame | None = None) -> DataFrame: ...
 
 
-def bm25_channel(chunks: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    hits = R.bm25(chunks, queries, "chunk_id", F.col("text"), "query_id", F.col("query"), k)
+def bm25_channel(chunks: DataFrame, queries: DataFrame, k: int = 20, among: DataFrame | None = None) -> DataFrame:
+    hits = R.bm25(chunks, queries, "chunk_id", F.col("text"), "query_id", F.col("query"), k, among)
     return hits.select("query_id", F.lit("bm25").alias("channel"), "chunk_id", "rank", "score")
 
 
-def lexical_channel(chunks: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    hits = R.lexical_top(chunks, queries, "chunk_id", F.col("text"), F.coalesce("title", F.lit("")), "query_id", F.col("query"), k)
+def lexical_channel(chunks: DataFrame, queries: DataFrame, k: int = 20, among: DataFrame | None = None) -> DataFrame:
+    hits = R.lexical_top(chunks, queries, "chunk_id", F.col("text"), F.coalesce("title", F.lit("")), "query_id", F.col("query"), k, among)
     return hits.select("query_id", F.lit("lexical").alias("channel"), "chunk_id", "rank", F.col("keyword_score").alias("score"))
 
 
 def vector_channel(encoder: Callable, k: int = 20) -> Retriever:
     """A dense channel with an encoder UDF for questions; chunks carry `embedding`."""
 
-    def run(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    def run(chunks: DataFrame, queries: DataFrame, among: DataFrame | None = None) -> DataFrame:
+        chunks = chunks if among is None else chunks.join(among, "chunk_id", "left_semi")
         q = queries.select("query_id", encoder("query").alias("qv"))
         hits = R.vector_topk(chunks, q, "chunk_id", "embedding", "query_id", "qv", k)
         return hits.select("query_id", F.lit("vector").alias("channel"), "chunk_id", "rank", "score")
@@ -59,6 +61,7 @@ class Engine:
         self.chunks, self.triples, self.scorer, self.kg_query, self.generator, self.on_stage = chunks, triples, scorer, kg_query, generator, on_stage
         self.channels = channels or [bm25_channel, lexical_channel]
         self.timings: dict[str, float] = {}
+        self.branches: dict[str, tuple[int, int]] = {}  # of the last respond(): questions that each branch read, and answered
 
     def _stage(self, name: str, make: Callable):
         start = time.monotonic()
@@ -90,34 +93,56 @@ class Engine:
         c = c.select(T.chunk_id(F.col("source"), F.col("doc_id"), F.concat_ws(" ", F.col("chunk_index").cast("string"), "text")).alias("chunk_id"), "doc_id", "text", F.col("source").alias("title"), F.col("lang").alias("category"))
         return cls(c, **options)
 
-    def plan(self, queries: DataFrame) -> DataFrame:
-        """query_id, query as retrieved with, intent, question type, category filter by intent."""
-        q = F.col("query")
+    def plan(self, queries: DataFrame, history: DataFrame | None = None) -> DataFrame:
+        """query_id, question, query as retrieved with, follow-up note, intent, question type, category filter by intent.
+
+        history: (query_id, turn, role, text) of what was said before; a question that follows up on the last one of the user is retrieved with both.
+        """
+        asked = queries.select("query_id", F.col("query").alias("question"), T.without_intent(F.col("query")).alias("query"))
+        if history is not None:
+            said = history.where("role = 'user'").select("query_id", "turn", T.squash(F.col("text")).alias("_t")).where("_t <> ''")
+            asked = asked.join(said.groupBy("query_id").agg(F.max_by("_t", "turn").alias("_before")), "query_id", "left")
+            follows = F.col("_before").isNotNull() & T.is_follow_up(F.col("question")) & (F.lower("_before") != F.lower(T.squash(F.col("question"))))
+            asked = asked.withColumn("note", F.when(follows, F.concat(F.lit("Follow-up to: "), "_before"))).withColumn("query", F.when(follows, F.concat_ws("\n", "_before", "query")).otherwise(F.col("query"))).drop("_before")
+        else:
+            asked = asked.withColumn("note", F.lit(None).cast("string"))
+        q = F.col("question")
         kind = T.intent(q)
         category = F.lit(None).cast("string")
         for name, value in params.CATEGORY_BY_INTENT.items():
-            category = F.when(kind == name, value).otherwise(category)
-        return queries.select("query_id", T.without_intent(q).alias("query"), kind.alias("intent"), T.question_type(q).alias("question_type"), category.alias("category_filter"))
+            category = F.when(F.col("intent") == name, value).otherwise(category)
+        return T.once(asked, "intent", kind).withColumn("question_type", T.question_type(q)).withColumn("category_filter", category)
+
+    def retrieve(self, queries: DataFrame, top_n: int = 8, history: DataFrame | None = None) -> DataFrame:
+        """The channels' hits fused and reranked, with texts joined late.
 
-    def retrieve(self, queries: DataFrame, top_n: int = 8) -> DataFrame:
-        """The channels' hits fused and reranked, with texts joined late."""
-        q = self.plan(queries)
+        A question with a category is answered from chunks of that category, before the best are taken; if the chunks have none of it, from all.
+        """
+        q = self.plan(queries, history)
+        known = [c for c in sorted(set(params.CATEGORY_BY_INTENT.values())) if not self.chunks.where(F.col("category") == c).isEmpty()]
         hits = None
-        for channel in self.channels:
-            h = channel(self.chunks, q)
-            hits = h if hits is None else hits.unionByName(h)
+        for category in [None, *known]:
+            mine = q.where(F.col("category_filter") == category) if category else q.where(F.col("category_filter").isNull() | ~F.col("category_filter").isin(*known)) if known else q
+            among = self.chunks.where(F.col("category") == category).select("chunk_id") if category else None
+            for channel in self.channels:
+                h = channel(self.chunks, mine, among=among) if category else channel(self.chunks, mine)
+                hits = h if hits is None else hits.unionByName(h)
         fused = R.rrf(hits, "query_id", "chunk_id").join(self.chunks.select("chunk_id", "text", "title"), "chunk_id").join(q, "query_id")
         return R.rerank(fused, "query_id", "chunk_id", top_n, self.scorer)
 
-    def evidence(self, queries: DataFrame, most: int = 5) -> DataFrame:
-        """The best sentences of the best chunks: those that share a word with the question, two a source, distinct."""
-        s = self.retrieve(queries).select("query_id", "query", "question_type", "chunk_id", "title", F.col("top_score").alias("chunk_score"), F.explode(D.sentences(F.col("text"))).alias("sentence"))
-        terms = L.grounding_terms(F.col("query"))
-        hits = T.whole_word_hits(terms, T.padded(T.searchable(F.col("sentence"))))
-        s = s.withColumn("hits", hits).where((F.col("hits") > 0) & ~L.is_low_value(F.col("sentence")))
+    def evidence(self, queries: DataFrame, most: int = 5, history: DataFrame | None = None, facts: DataFrame | None = None) -> DataFrame:
+        """The best sentences of the best chunks, which are ordered as sources of answers before: those that a question's words or focus stand in, two a source, distinct."""
+        hits = self.retrieve(queries, history=history)
+        named = facts.groupBy("query_id").agg(F.collect_set(F.trim(T.searchable(F.col("entity")))).alias("_entities")) if facts is not None else None
+        hits = hits.join(named, "query_id", "left") if named is not None else hits.withColumn("_entities", F.array().cast("array<string>"))
+        entities = F.coalesce("_entities", F.array().cast("array<string>"))
+        hits = R.answer_order(hits, A.answer_bonus(F.col("question"), F.col("question_type"), entities, F.col("title"), F.col("text")))
+        s = hits.select("query_id", F.col("query").alias("_with"), F.col("question").alias("query"), "question_type", "chunk_id", "title", F.col("top_score").alias("chunk_score"), "reranker_score", F.explode(D.sentences(F.col("text"))).alias("sentence"))
+        terms = L.grounding_terms(F.col("_with"))
+        s = T.once(s, "hits", T.whole_word_hits(terms, T.padded(T.searchable(F.col("sentence"))))).where((F.col("hits") > 0) & ~L.is_low_value(F.col("sentence")))
         score = F.round(T.clamp(0.14 * F.col("hits") + 0.08 * L.definition_score(F.col("query"), F.col("sentence")) - F.when(L.is_incomplete(F.col("sentence")), 0.2).otherwise(0.0)), 6)
         s = s.withColumn("score", score).withColumn("key", T.sentence_key(F.col("sentence")))
-        one = R.ranked(s, ["query_id", "key"], [F.desc("score"), F.asc("chunk_id")], 1).drop("rank")
+        one = R.ranked(s, ["query_id", "key"], [F.desc("score"), F.asc("chunk_id")], 1).drop("rank", "_with")
         capped = E.capped(one, ["query_id"], ["title"], [F.desc("score"), F.asc("key")], F.lit(2))
         return R.ranked(capped, ["query_id"], [F.desc("score"), F.asc("key")], most)
 
@@ -132,30 +157,35 @@ class Engine:
         c = E.confidence(F.col("ev"), F.col("ch"), F.lit(None).cast("double"))
         return q.select("query_id", E.status(c, F.coalesce("n", F.lit(0)), F.lit(False)).alias("status"), c.alias("confidence"), L.cleaned_answer(F.col("answer")).alias("answer"), F.coalesce("sources", F.lit("")).alias("sources"))
 
-    def respond(self, queries: DataFrame, most: int = 5) -> DataFrame:
-        """query_id, status, confidence, answer, sources, facts: retrieval, facts, a budgeted context, generation, and the grounding check.
+    def respond(self, queries: DataFrame, most: int = 5, history: DataFrame | None = None, people: DataFrame | None = None, uploads: DataFrame | None = None) -> DataFrame:
+        """query_id, status, confidence, answer, branch, sources, facts: retrieval with history, facts, direct answers by a cascade, a budgeted context, generation, and the grounding check.
 
-        What isn't grounded, and what a generator refuses or fails to give, is answered by the best evidence sentence.
+        What isn't grounded, and what a generator refuses or fails to give, is answered directly, or by the best evidence sentence. people: (name, designation, department);
+        uploads: (query_id, chunk_id, text). Facts are asked for with the query as retrieved with.
         """
-        plan = self._stage("plan", lambda: queries.select("query_id", "query").withColumn("question_type", T.question_type(F.col("query"))))
-        e = self._stage("evidence", lambda: self.evidence(queries, most).select("query_id", "rank", "title", F.lit(None).cast("int").alias("page"), "sentence", "score", "chunk_score").withColumn("match_type", F.lit("vector")))
+        plan = self._stage("plan", lambda: self.plan(queries, history))
         none = queries.sparkSession.createDataFrame([], plan.select("query_id").schema.add("entity", "string").add("fact", "string").add("score", "double"))
-        facts = self._stage("facts", lambda: self.kg_query(queries) if self.kg_query else none)
+        facts = self._stage("facts", lambda: self.kg_query(plan.select("query_id", "query")) if self.kg_query else none)
+        e = self._stage("evidence", lambda: self.evidence(queries, most, history, facts if self.kg_query else None).select("query_id", "rank", "title", F.lit(None).cast("int").alias("page"), "sentence", "score", "chunk_score").withColumn("match_type", F.lit("vector")))
         ranked_facts = R.ranked(facts, ["query_id"], [F.desc("score"), F.asc("entity"), F.asc("fact")], 12)
         context = A.budgeted(ranked_facts.select("query_id", "rank", "entity", "fact"), e)
-        best = A.best_fact(e.join(plan.select("query_id", "query"), "query_id")).withColumnRenamed("sentence", "direct")
+        asked = plan.select("query_id", F.col("question").alias("query"), "question_type", "note")
+        direct = self._stage("direct", lambda: C.direct_answers(asked.drop("note"), e, facts if self.kg_query else None, people, uploads, self._branch)).withColumnRenamed("answer", "direct")
         scores = e.groupBy("query_id").agg(F.max("score").alias("ev"), F.least(F.lit(1.0), F.max("chunk_score")).alias("ch"), F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("title")), ",").alias("sources"), F.min_by("sentence", "rank").alias("first"))
         kg = facts.groupBy("query_id").agg(F.max("score").alias("kg"))
-        x = plan.join(context, "query_id", "left").join(best, "query_id", "left").join(scores, "query_id", "left").join(kg, "query_id", "left")
+        x = asked.join(context, "query_id", "left").join(direct, "query_id", "left").join(scores, "query_id", "left").join(kg, "query_id", "left")
         empty = F.array().cast("array<string>")
         x = x.withColumn("facts", F.coalesce("facts", empty)).withColumn("texts", F.concat(F.coalesce("evidence", empty), F.coalesce("facts", empty), F.filter(F.array("direct"), lambda d: d.isNotNull())))
         x = x.withColumn("confidence", E.confidence(F.col("ev"), F.col("ch"), F.col("kg"))).withColumn("fallback", F.coalesce("direct", "first", F.try_element_at("facts", F.lit(1)), F.lit(params.REFUSAL)))
-        shown = A.prompt(A.generation_context(F.col("facts"), F.coalesce("evidence", empty), F.col("direct"), F.lit("")), F.col("question_type"))
+        shown = A.prompt(A.generation_context(F.col("facts"), F.coalesce("evidence", empty), F.col("direct"), F.coalesce("note", F.lit(""))), F.col("question_type"))
         x = x.withColumn("generated", self.generator(shown) if self.generator else F.col("fallback"))
         grounded = A.answer_is_grounded(F.col("generated"), F.col("confidence"), F.col("question_type"), F.col("texts"), F.lit(False))
         answer = F.when(F.size("texts") == 0, params.REFUSAL).otherwise(A.finalised(F.col("generated"), F.col("fallback"), F.col("question_type"), grounded))
         status = E.status(F.col("confidence"), F.size("texts"), F.lit(False))
-        return self._stage("answer", lambda: x.select("query_id", status.alias("status"), F.col("confidence"), answer.alias("answer"), F.coalesce("sources", F.lit("")).alias("sources"), "facts"))
+        return self._stage("answer", lambda: x.select("query_id", status.alias("status"), F.col("confidence"), answer.alias("answer"), "branch", F.coalesce("sources", F.lit("")).alias("sources"), "facts"))
+
+    def _branch(self, name: str, read: int, answered: int) -> None:
+        self.branches[name] = (read, answered)
 
     def graph_query(self, seeds: DataFrame, depth: int = 2, most: int = 12) -> DataFrame:
         """seed, fact, score, rank: facts of the nodes within `depth` of each seed."""

@@ -240,7 +240,7 @@ class Ladder:
                 padded = [f" {t} ".translate(_SPACES) for t in block.targets(every)]
                 score[every[[f" {phrase} " in t for t in padded]]] = 1.0
             title_score = np.where(title > 0, np.minimum(1.0, 0.35 + title / (n + (form is not None)) * 0.45), 0.0)
-            found = np.flatnonzero((score > 0) | (title_score > 0))
+            found = np.flatnonzero(((score > 0) | (title_score > 0)) & block.open)
             if self.k is not None:
                 found = found[first((found, -title_score[found], -score[found]), self.k)]
             if len(found):

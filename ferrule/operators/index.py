@@ -225,7 +225,7 @@ class KeywordIndex:
         scored = hits.select("q", "id", F.round("score", 6).alias("score")).where("score > 0")
         return _ranked(scored, [F.desc("score"), F.asc("id")], k, query_id)
 
-    def lexical(self, queries: DataFrame, query_id: str, query_text: Column, k: int | None) -> DataFrame:
+    def lexical(self, queries: DataFrame, query_id: str, query_text: Column, k: int | None, among: DataFrame | None = None) -> DataFrame:
         """(query, id, keyword_score, title_score, rank): the k best by the keyword ladder, or (without rank) all that a question's words touch.
 
         Phrases within words and parts of words, which rank below the rest, are looked for only for questions that have fewer than k documents without them.
@@ -238,7 +238,7 @@ class KeywordIndex:
                 ladder = S.Ladder(_asked(chunk) | {"form": chunk.field("form").to_pylist(), "phrase": chunk.field("phrase").to_pylist()}, k, parts)
                 return lambda block: [(i, p, (a, b)) for i, p, a, b in ladder.of(block)]
 
-            hits = self._search(some, queries.select(query_text.alias("t")), answer, ["keyword_score", "title_score"], ["postings", "texts", "ladder", *(["grams"] if parts else [])])
+            hits = self._search(some, queries.select(query_text.alias("t")), answer, ["keyword_score", "title_score"], ["postings", "texts", "ladder", *(["grams"] if parts else [])], among)
             return hits.select("q", "id", *[F.round(c, 6).alias(c) for c in ("keyword_score", "title_score")])
 
         order = [F.desc("keyword_score"), F.desc("title_score"), F.asc("id")]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ferrule import params
 from ferrule.functions import text as T
 from ferrule.operators import answers as A
+from ferrule.operators import cascade as C
 from ferrule.operators import docs as D
 from ferrule.operators import graph as G
 from ferrule.operators import ingest as I
@@ -369,3 +370,28 @@ def response_cache(spark, sf):
     c = table(spark, sf, "conversations")
     kept = c.where("conv_id % 2 = 0").groupBy(A.cache_key(F.col("text"), "v1", "r1").alias("key")).agg(F.min("conv_id").alias("response"))
     return A.cached(c.select("conv_id", "turn", F.col("text").alias("query")), kept, "v1", "r1").select("conv_id", "turn", F.md5("key").alias("key"), "hit")
+
+
+@query("direct_answers", None)
+def direct_answers(spark, sf):
+    """Questions about parts, of every kind, through the cascade: definitions, the person in charge, facts, and what the graph says."""
+    q = table(spark, sf, "part").selectExpr("p_partkey AS query_id", f"{S.QUESTION} AS query").withColumn("question_type", T.question_type(F.col("query")))
+    e = part_evidence(spark, sf).where("query_id % 5 > 0").select("query_id", "rank", "sentence", "score", "match_type")
+    facts = table(spark, sf, "part").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("entity"), F.concat(F.lit("is made by "), "p_brand").alias("fact"), F.lit(0.8).alias("score")).where("query_id % 7 > 0")
+    return C.direct_answers(q, e, facts)
+
+
+_BRANCH = "CASE WHEN regexp_matches(lower(text), '\\b(hod|head of (the )?department)\\b') THEN 'role' WHEN starts_with(lower(text), 'what is ') THEN 'definition' WHEN contains(lower(text), ' located') THEN 'place' END"
+
+
+@query("cascade_branches", f"SELECT conv_id, turn, CASE {_BRANCH} WHEN 'role' THEN 'ask the head' WHEN 'definition' THEN upper(text) WHEN 'place' THEN 'in the store' END AS answer, {_BRANCH} AS branch FROM {S.TURNS}")
+def cascade_branches(spark, sf):
+    turns = S.turns(spark, sf).withColumn("key", F.struct("conv_id", "turn"))
+    low = F.lower("text")
+    branches = [
+        ("role", lambda q: q.where(low.rlike(r"\b(hod|head of (the )?department)\b")).withColumn("answer", F.lit("ask the head"))),
+        ("definition", lambda q: q.where(low.startswith("what is ")).withColumn("answer", F.upper("text"))),
+        ("place", lambda q: q.where(F.contains(low, F.lit(" located"))).withColumn("answer", F.lit("in the store"))),
+        ("none", lambda q: q.where("false").withColumn("answer", F.lit(""))),
+    ]
+    return C.cascade(turns, branches, "key").select("key.conv_id", "key.turn", "answer", "branch")
