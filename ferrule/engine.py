@@ -9,7 +9,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule import params
+from ferrule import params, session
 from ferrule.functions import rules as L
 from ferrule.functions import text as T
 from ferrule.operators import answers as A
@@ -54,7 +54,7 @@ class Engine:
 
     scorer: a UDF of (query, text) for reranking. kg_query: from (query_id, query) to facts (query_id, entity, fact, score).
     generator: a UDF from a prompt to an answer; without one answers are extractive. on_stage(name, seconds) is told when
-    the plan of a stage is ready.
+    a stage of respond() is done: its rows are written then, only the last stage is a plan yet.
     """
 
     def __init__(self, chunks: DataFrame, triples: DataFrame | None = None, channels: list[Retriever] | None = None, scorer: Callable | None = None, kg_query: Callable | None = None, generator: Callable | None = None, on_stage: Callable | None = None):
@@ -163,10 +163,11 @@ class Engine:
         What isn't grounded, and what a generator refuses or fails to give, is answered directly, or by the best evidence sentence. people: (name, designation, department);
         uploads: (query_id, chunk_id, text). Facts are asked for with the query as retrieved with.
         """
-        plan = self._stage("plan", lambda: self.plan(queries, history))
+        # what several later steps read is written once: else each would search again
+        plan = self._stage("plan", lambda: session.kept(self.plan(queries, history), "plan"))
         none = queries.sparkSession.createDataFrame([], plan.select("query_id").schema.add("entity", "string").add("fact", "string").add("score", "double"))
-        facts = self._stage("facts", lambda: self.kg_query(plan.select("query_id", "query")) if self.kg_query else none)
-        e = self._stage("evidence", lambda: self.evidence(queries, most, history, facts if self.kg_query else None).select("query_id", "rank", "title", F.lit(None).cast("int").alias("page"), "sentence", "score", "chunk_score").withColumn("match_type", F.lit("vector")))
+        facts = self._stage("facts", lambda: session.kept(self.kg_query(plan.select("query_id", "query")), "facts") if self.kg_query else none)
+        e = self._stage("evidence", lambda: session.kept(self.evidence(queries, most, history, facts if self.kg_query else None).select("query_id", "rank", "title", F.lit(None).cast("int").alias("page"), "sentence", "score", "chunk_score").withColumn("match_type", F.lit("vector")), "evidence"))
         ranked_facts = R.ranked(facts, ["query_id"], [F.desc("score"), F.asc("entity"), F.asc("fact")], 12)
         context = A.budgeted(ranked_facts.select("query_id", "rank", "entity", "fact"), e)
         asked = plan.select("query_id", F.col("question").alias("query"), "question_type", "note")

@@ -14,7 +14,6 @@ from ferrule.functions import rules as L
 from ferrule.functions import text as T
 
 from . import answers as A
-from .index import _forget
 from .retrieve import ranked
 
 #: From open questions to (key, answer); null answers count as none.
@@ -29,9 +28,8 @@ def cascade(questions: DataFrame, branches: list[tuple[str, Branch]], key: str =
     """
     spark = questions.sparkSession
     folder = f"{session.shared_folder(spark)}/cascade-{uuid.uuid4().hex}"
-    atexit.register(_forget, folder)
-    questions.write.parquet(f"{folder}/questions")
-    every = left = spark.read.parquet(f"{folder}/questions")
+    atexit.register(session.forget, folder)
+    every = left = session.kept(questions, "questions")
     n, done = left.count(), None
     for k, (name, branch) in enumerate(branches):
         if not n:

@@ -124,11 +124,13 @@ def html_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
     x = F.regexp_replace(x, r"(?s)<!--.*?-->", " ")
     picked = pages.select(id_col, F.explode(F.array(x)).alias("x")).select(id_col, F.explode(F.array(F.struct(main_of(F.col("x")).alias("m"), "x"))).alias("p"))
     x = F.when(F.col("p.m") != "", F.col("p.m")).otherwise(F.col("p.x"))
+    x = F.regexp_replace(x, r"(?i)<h[1-4]\b[^>]*>", "\n\u0001")  # headings stay, however short
     x = F.regexp_replace(x, r"(?i)</?(p|div|h[1-6]|li|br|tr|td|section)\b[^>]*>", "\n")
     x = F.regexp_replace(x, r"<[^>]*>", "")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
         x = F.replace(x, F.lit(entity), F.lit(char))
-    kept = _numbered(picked.select(id_col, x.alias("t")), id_col, "t").where(_words(F.col("s")) >= 3)
+    kept = _numbered(picked.select(id_col, x.alias("t")), id_col, "t").where((_words(F.col("s")) >= 3) | F.col("s").rlike("^\u0001."))
+    kept = kept.withColumn("s", F.replace("s", F.lit("\u0001"), F.lit("")))
     k = F.row_number().over(W.partitionBy(id_col, F.lower("s")).orderBy("i"))
     return _rejoined(kept.withColumn("k", k).where("k = 1"), id_col)
 

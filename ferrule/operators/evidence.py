@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ferrule import params, session
+from ferrule import params
 from ferrule.functions import text as T
 
 
@@ -69,20 +67,15 @@ def status(confidence_: Column, n_evidence: Column, forced: Column) -> Column:
 
 
 def diverse(df: DataFrame, group: str, text: str, score: str, most: int = 4, overlap: int = 5) -> DataFrame:
-    """Greedy choice by score, without sentences that share `overlap` content words or more with one chosen before."""
-    session.ship(df.sparkSession)
-
-    def pick(p: pd.DataFrame) -> pd.DataFrame:
-        chosen, sets = [], []
-        for i in p.sort_values([score, text], ascending=[False, True]).index:
-            words = {w for w in str(p.at[i, text]).lower().split() if len(w) > 2 and w not in params.GROUNDING_STOPWORDS}
-            if all(len(words & s) < overlap for s in sets):
-                chosen.append(i)
-                sets.append(words)
-            if len(chosen) == most:
-                break
-        return p.loc[chosen]
-
-    return df.groupBy(group).applyInPandas(pick, df.schema)
-
+    """Greedy choice by score, without sentences that share `overlap` content words or more with one chosen before.
 
+    What is chosen depends on what was chosen before, so it is a fold over each group's sorted rows that carries the chosen ones' words.
+    """
+    words = F.array_distinct(F.filter(F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+", " ")), " "), lambda w: (F.length(w) > 2) & ~w.isin(*params.GROUNDING_STOPWORDS)))
+    row = F.struct(*df.columns)
+    x = df.select(F.col(group).alias("_g"), F.struct((-F.coalesce(F.col(score).cast("double"), F.lit(float("-inf")))).alias("n"), F.coalesce(text, F.lit("")).alias("t"), words.alias("w"), row.alias("r")).alias("x"))
+    sorted_ = x.groupBy("_g").agg(F.array_sort(F.collect_list("x"), lambda a, b: F.when(a["n"] != b["n"], F.when(a["n"] < b["n"], -1).otherwise(1)).when(a["t"] < b["t"], -1).when(a["t"] > b["t"], 1).otherwise(0)).alias("xs"))
+    kind = x.schema["x"].dataType.simpleString()
+    fold = F.expr(f"""aggregate(xs, cast(array() as array<{kind}>),
+      (kept, x) -> if(size(kept) < {most} and not exists(kept, k -> size(array_intersect(k.w, x.w)) >= {overlap}), array_append(kept, x), kept))""")
+    return sorted_.select(F.explode(fold).alias("x")).select("x.r.*")

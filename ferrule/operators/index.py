@@ -12,12 +12,10 @@ is exchanged is k rows for each question and block. Ids must be unique and sorta
 from __future__ import annotations
 
 import atexit
-import contextlib
 import hashlib
 import json
 import math
 import re
-import shutil
 import uuid
 from collections.abc import Iterator
 
@@ -125,7 +123,7 @@ class KeywordIndex:
         mark = fingerprint(picked)
         folder = f"{session.shared_folder(docs.sparkSession)}/keyword-index-{mark or uuid.uuid4().hex}"
         if mark is None:
-            atexit.register(_forget, folder)
+            atexit.register(session.forget, folder)
         return (cls.open(docs.sparkSession, folder) if mark else None) or cls.build(picked, folder, "id", F.col("text"), F.col("title"))
 
     def add(self, docs: DataFrame, id_col: str, text: Column, title: Column | None = None) -> KeywordIndex:
@@ -245,10 +243,7 @@ class KeywordIndex:
         if k is None:
             return _renamed(search(asked, True), query_id)
         strong = _ranked(search(asked, False), order, k, "q")
-        folder = f"{session.shared_folder(self.spark)}/strong-{uuid.uuid4().hex}"
-        atexit.register(_forget, folder)
-        strong.write.parquet(folder)  # it is asked twice: for its rows and for the questions that have enough of them
-        strong = self.spark.read.parquet(folder)
+        strong = session.kept(strong, "strong")  # it is asked twice: for its rows and for the questions that have enough of them
         enough = strong.groupBy("q").count().where(F.col("count") >= k).select("q")
         rest = asked.join(enough, "q", "left_anti")
         if rest.isEmpty():
@@ -358,10 +353,3 @@ def fingerprint(df: DataFrame) -> str | None:
         s = path.getFileSystem(conf).getFileStatus(path)
         told.append(f"{name} {s.getLen()} {s.getModificationTime()}")
     return hashlib.sha256("\n".join(told).encode()).hexdigest()[:32]
-
-
-def _forget(folder: str) -> None:
-    """Delete a folder when the driver ends; only local ones, as Spark may have gone."""
-    with contextlib.suppress(OSError):
-        if folder.startswith("file:"):
-            shutil.rmtree(re.sub("^file:/*", "/", folder), ignore_errors=True)

@@ -51,7 +51,7 @@ def evidence(spark, sf):
     return s.join(questions(spark, sf), "query_id").withColumn("title", F.col("role"))
 
 
-_PAGE = "CASE page_id % 4 WHEN 1 THEN 'Menu  Home About Us Login ' || html WHEN 2 THEN html || ' read more . Read more. ' WHEN 3 THEN 'Important links here. All rights reserved.' || html ELSE html END"
+_PAGE = "CASE page_id % 4 WHEN 1 THEN 'Skip  to content News Sign in ' || html WHEN 2 THEN html || ' show all . Show all> ' WHEN 3 THEN 'This site uses cookies. Accept all' || html ELSE html END"
 
 
 def part_evidence(spark, sf):
@@ -68,7 +68,13 @@ def part_evidence(spark, sf):
     return s.withColumn("score", F.round(0.9 - F.col("rank") * 0.1, 2)).withColumn("semantic_score", F.round(0.8 - F.col("rank") * 0.1, 2)).withColumn("match_type", F.lit("vector")).withColumn("title", F.lit("parts")).withColumn("role", F.lit("user"))
 
 
-@query("boilerplate_removed", "SELECT page_id, md5(" + S.squash("regexp_replace(regexp_replace(regexp_replace(coalesce(" + _PAGE + ", ''), '(?is)menu\\s+home\\s+about.*?login\\s*', ' ', 'g'), '(?is)important\\s+links\\s.*?all\\s+rights\\s+reserved\\.?', ' ', 'g'), '(?is)(?:read\\s+more\\s*\\.\\s*){2,}', ' ', 'g')") + ") AS text, md5(" + S.squash(f"coalesce({_PAGE}, '')") + ") AS before FROM pages")
+def _without(x: str) -> str:
+    for p in params.BOILERPLATE:
+        x = f"regexp_replace({x}, '(?is){p}', ' ', 'g')"
+    return x
+
+
+@query("boilerplate_removed", "SELECT page_id, md5(" + S.squash(_without(f"coalesce({_PAGE}, '')")) + ") AS text, md5(" + S.squash(f"coalesce({_PAGE}, '')") + ") AS before FROM pages")
 def boilerplate_removed(spark, sf):
     p = table(spark, sf, "pages").select("page_id", F.expr(_PAGE).alias("html"))
     return p.select("page_id", F.md5(A.without_blocks(F.col("html"))).alias("text"), F.md5(T.squash(F.col("html"))).alias("before"))
@@ -97,9 +103,9 @@ _TITLE = "p_name || CASE WHEN p_partkey % 3 = 0 THEN ': ' || p_type WHEN p_partk
 
 
 @query("title_quality", f"""WITH t AS (SELECT p_partkey, {_TITLE} AS t FROM part), n AS (SELECT *, len(regexp_extract_all(lower(t), '[a-z0-9]+')) AS n FROM t)
-SELECT p_partkey, round(CASE WHEN {S.any_of('lower(t)', ('declare that this', 'hereby declare', 'report entitled', 'submitted by'))} THEN -1 ELSE CASE WHEN contains(t, ':') THEN 0.7 ELSE 0 END + CASE WHEN upper(t) = t AND lower(t) <> t THEN 0.2 ELSE 0 END
+SELECT p_partkey, round(CASE WHEN {S.any_of('lower(t)', params.TITLE_BOILERPLATE)} THEN -1 ELSE CASE WHEN contains(t, ':') THEN 0.7 ELSE 0 END + CASE WHEN upper(t) = t AND lower(t) <> t THEN 0.2 ELSE 0 END
   + CASE WHEN n BETWEEN 4 AND 12 THEN 0.6 WHEN n BETWEEN 2 AND 3 THEN 0.1 ELSE 0 END + CASE WHEN length(t) >= 28 THEN 0.4 ELSE 0 END
-  + CASE WHEN regexp_matches(lower(t), '\\b(system|platform|monitoring|assistant|health|project|analysis|framework)\\b') THEN 0.5 ELSE 0 END END, 2) AS quality FROM n""")
+  + CASE WHEN regexp_matches(lower(t), '\\b({'|'.join(params.TITLE_WORDS)})\\b') THEN 0.5 ELSE 0 END END, 2) AS quality FROM n""")
 def title_quality(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.round(A.title_quality(F.expr(_TITLE)), 2).alias("quality"))
 

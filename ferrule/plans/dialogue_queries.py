@@ -47,9 +47,7 @@ def category_by_intent(spark, sf):
     return S.turns(spark, sf).select("conv_id", "turn", T.intent(F.col("text")).alias("i")).select("conv_id", "turn", c.alias("category"))
 
 
-_TYPE = f"""CASE WHEN {S.starts('q', ("how many", "how much", "how long"))} THEN 'fact' WHEN {S.starts('q', ("what is ", "what are ", "define ", "definition of ", "meaning of "))} THEN 'definition'
-WHEN {S.any_of('q', ("explain", "describe", "summarize", "summary", "overview", "tell me about", "walk me through"))} OR {S.starts('q', ("how ", "why "))} THEN 'explanation'
-WHEN {S.starts('q', ("who ", "what ", "when ", "where ", "which ", "list ", "name "))} OR {S.any_of('q', ("minimum", "maximum", "email", "phone", "contact"))} THEN 'fact' ELSE 'definition' END"""
+_TYPE = "CASE " + " ".join(f"WHEN {(S.starts if where == 'starts' else S.any_of)('q', phrases)} THEN '{kind}'" for kind, where, phrases in params.QUESTION_TYPES) + " ELSE 'definition' END"
 
 
 @query("question_type", f"SELECT conv_id, turn, {_TYPE} AS question_type, CASE WHEN {_TYPE} = 'explanation' THEN 8 ELSE 5 END AS chunk_limit FROM (SELECT conv_id, turn, lower({S.squash('text')}) AS q FROM {S.TURNS})")

@@ -36,13 +36,14 @@ def _lines(spark, sf):
     return d.withColumn("i", (F.col("i") + 1).cast("long"))
 
 
-_HEAD = f"({_LOW} = '' OR {_LOW} IN ({S.listed(L.HEADINGS)}) OR (len(list_filter([{S.listed(L.HEADINGS)}], lambda h: contains({_LOW}, h))) >= 2 AND NOT regexp_matches({_LOW}, '\\b(is|are|was|were|has|have|had|located|established|started|working|serving)\\b') AND NOT regexp_matches({_LOW}, '[@%+0-9]')))"
+_HEAD = f"({_LOW} = '' OR {_LOW} IN ({S.listed(L.HEADINGS)}) OR (len(list_filter([{S.listed(L.HEADINGS)}], lambda h: contains({_LOW}, h))) >= 2 AND NOT regexp_matches({_LOW}, '\\b({'|'.join(params.SIGNAL_VERBS)})\\b') AND NOT regexp_matches({_LOW}, '[@%+0-9]') AND NOT regexp_matches(coalesce(s, ''), '{L.NAME}')))"
 _LAST = f"regexp_extract_all({_LOW}, '[a-z]+')[-1]"
-_INC = f"({S.squash('s')} = '' OR {S.starts(_LOW, L.LOW_VALUE_STARTS)} OR length(regexp_replace(s, '[^(]', '', 'g')) > length(regexp_replace(s, '[^)]', '', 'g')) OR (NOT regexp_matches({S.squash('s')}, '[.!?]$') AND ({_LAST} IS NULL OR {_LAST} IN ({S.listed(L.OPEN_ENDINGS)}))))"
-_LV = f"({S.starts(_LOW, L.LOW_VALUE_STARTS)} OR {S.any_of(_LOW, L.LOW_VALUE)} OR {S.any_of(S.compact('s'), params.COMPACT_MARKERS)} OR (regexp_matches(s, '[A-Za-z]{{24,}}') AND NOT {S.any_of(_LOW, ('is', 'are'))}))"
+_ADDS = f"(starts_with({_LOW}, '{params.ADDITION}') AND regexp_matches({_LOW}, '\\b({'|'.join(params.ADDITION_VERBS)})\\b'))"
+_INC = f"({S.squash('s')} = '' OR NOT {_ADDS} AND ({S.starts(_LOW, L.LOW_VALUE_STARTS)} OR regexp_matches({_LOW}, '^r\\s*[0-9]+(\\.[0-9]+)+\\s+[a-z]') OR length(regexp_replace(s, '[^(]', '', 'g')) > length(regexp_replace(s, '[^)]', '', 'g')) OR (NOT regexp_matches({S.squash('s')}, '[.!?]$') AND ({_LAST} IS NULL OR {_LAST} IN ({S.listed(L.OPEN_ENDINGS)}) OR starts_with({_LOW}, '{params.ADDITION}')))))"
+_LV = f"(NOT {_ADDS} AND ({S.starts(_LOW, L.LOW_VALUE_STARTS)} OR {S.any_of(_LOW, L.LOW_VALUE)} OR {S.any_of(S.compact('s'), params.COMPACT_MARKERS)} OR (regexp_matches(s, '[A-Za-z]{{24,}}') AND NOT {S.any_of(_LOW, ('is', 'are'))})))"
 
 
-_SHOWN = "CASE i % 13 WHEN 3 THEN 'Summary' WHEN 4 THEN 'Objectives, contents' WHEN 5 THEN 'abcdefghijklmnopqrstuvwxyzab' WHEN 6 THEN 'It ends with the' ELSE s END"
+_SHOWN = "CASE i % 13 WHEN 3 THEN 'Summary' WHEN 4 THEN 'Objectives, contents' WHEN 5 THEN 'abcdefghijklmnopqrstuvwxyzab' WHEN 6 THEN 'It ends with the' WHEN 7 THEN 'In addition to this it offers a' WHEN 8 THEN 'R 12.3 students must' ELSE s END"
 
 
 @query("sentence_rules", f"WITH {_SENT.replace('se AS', 'se0 AS')}, se AS (SELECT doc_id, i, {_SHOWN} AS s FROM se0) SELECT doc_id, i, {_HEAD} AS heading, {_INC} AS incomplete, {_LV} AS low_value, regexp_matches(s, '[A-Za-z]{{24,}}') AS spacing FROM se")
@@ -71,7 +72,7 @@ _DEF = f"""f0 AS (SELECT item_id, lower({S.squash('text')}) AS focus FROM benchm
 f3 AS (SELECT *, {_GT} AS terms, CASE WHEN len(k) >= 2 AND length(array_to_string(k, '')) >= {params.COMPACT_LENGTH} THEN array_to_string(k, '') END AS form FROM f2),
 d0 AS (SELECT item_id AS other, text AS s FROM benchmark), x AS (SELECT f3.*, other, s, ' ' || {_KEY('s')} || ' ' AS pad, lower({S.squash('s')}) AS low FROM f3, d0), h AS (SELECT *, len(list_filter(terms, lambda t: contains(pad, ' ' || t || ' '))) AS hits, f <> '' AND contains(pad, ' ' || f || ' ') AS phrase FROM x)
 SELECT item_id, other, CAST(round(CASE WHEN f = '' THEN 0 ELSE CASE WHEN phrase THEN 2.0 + CASE WHEN regexp_matches(split_part(pad, ' ' || f || ' ', 2), '^\\s*({L.DEFINES})\\b') THEN 2.0 ELSE 0 END WHEN form IS NOT NULL AND contains({S.compact('s')}, form) THEN 2.8 ELSE 0 END
-+ least(hits, 4) * 0.45 + CASE WHEN len(terms) > 0 AND hits >= greatest(1, len(terms) - 1) THEN 0.6 ELSE 0 END + CASE WHEN regexp_matches(low, '\\b(is|are|was|were|refers to|means|stands for|designed to|combines|provides)\\b') THEN 0.35 ELSE 0 END + CASE WHEN f <> '' AND starts_with(low, f) THEN 1.0 ELSE 0 END END, 2) AS DOUBLE) AS score FROM h"""
++ least(hits, 4) * 0.45 + CASE WHEN len(terms) > 0 AND hits >= greatest(1, len(terms) - 1) THEN 0.6 ELSE 0 END + CASE WHEN regexp_matches(low, '\\b({'|'.join(params.STATING_VERBS)})\\b') THEN 0.35 ELSE 0 END + CASE WHEN f <> '' AND starts_with(low, f) THEN 1.0 ELSE 0 END END, 2) AS DOUBLE) AS score FROM h"""
 
 
 def _focus_pairs(spark, sf):

@@ -8,6 +8,7 @@ from ferrule import params
 from ferrule.functions import python_udfs
 from ferrule.functions import text as T
 from ferrule.operators import docs as D
+from ferrule.operators import html as H
 
 from . import common as S
 from .common import table
@@ -55,8 +56,8 @@ def chunk_id_sha1(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.chunk_id(F.col("source"), page, F.col("text")).alias("chunk_id"))
 
 
-_BARE = f"""regexp_replace(regexp_replace(trim(regexp_replace({S.squash('text')}, '(?i)^((can|could|would)\\s+you\\s+|please\\s+)+', '')),
-  '(?i)^(what\\s+is|what[''’]s|define|definition\\s+of|meaning\\s+of|explain|describe|tell\\s+me\\s+about|overview\\s+of|summary\\s+of|summarize)\\s+', ''), '^[ :;,.?-]+|[ :;,.?-]+$', '', 'g')"""
+_POLITE, _OPENING = (params.words_pattern(x).replace("'", "''") for x in (params.POLITE_OPENINGS, params.INTENT_OPENINGS))
+_BARE = f"""regexp_replace(regexp_replace(trim(regexp_replace({S.squash('text')}, '(?i)^({_POLITE}\\s+)+', '')), '(?i)^{_OPENING}\\s+', ''), '^[ :;,.?-]+|[ :;,.?-]+$', '', 'g')"""
 
 
 @query("query_strip_intent", f"SELECT conv_id, turn, CASE WHEN b = '' THEN {S.squash('text')} ELSE b END AS bare FROM (SELECT *, {_BARE} AS b FROM conversations)")
@@ -161,20 +162,45 @@ def _html_sql() -> str:
 
 
 def _plain_sql() -> str:
-    x = "regexp_replace(regexp_replace(CASE WHEN m <> '' THEN m ELSE x END, '(?i)</?(p|div|h[1-6]|li|br|tr|td|section)\\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+    x = "regexp_replace(regexp_replace(regexp_replace(CASE WHEN m <> '' THEN m ELSE x END, '(?i)<h[1-4]\\b[^>]*>', chr(10) || chr(1), 'g'), '(?i)</?(p|div|h[1-6]|li|br|tr|td|section)\\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g')"
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
         x = f"replace({x}, '{entity}', '{char}')"
     return x
 
 
 @query("html_text", f"""WITH a AS (SELECT page_id, {_html_sql()} AS x FROM pages), b AS (SELECT *, regexp_extract(x, '(?is)<(?:main|article)\\b[^>]*>(.*?)</(?:main|article)>', 1) AS m FROM a),
-c AS (SELECT page_id, {_plain_sql()} AS t FROM b), l AS (SELECT page_id, {S.lines('t')} AS ls FROM c), e AS (SELECT page_id, unnest(ls) AS s, generate_subscripts(ls, 1) AS i FROM l),
-f AS (SELECT *, row_number() OVER (PARTITION BY page_id, lower(s) ORDER BY i) AS k FROM e WHERE len(string_split(s, ' ')) >= 3)
+c AS (SELECT page_id, {_plain_sql()} AS t FROM b), l AS (SELECT page_id, {S.lines('t')} AS ls FROM c), e AS (SELECT page_id, unnest(ls) AS s0, generate_subscripts(ls, 1) AS i FROM l), g AS (SELECT page_id, i, replace(s0, chr(1), '') AS s FROM e WHERE len(string_split(s0, ' ')) >= 3 OR starts_with(s0, chr(1)) AND length(s0) > 1),
+f AS (SELECT *, row_number() OVER (PARTITION BY page_id, lower(s) ORDER BY i) AS k FROM g)
 SELECT page_id, count(*) AS n_lines, md5(string_agg(s, chr(10) ORDER BY i)) AS text FROM f WHERE k = 1 GROUP BY page_id""")
 def html_text(spark, sf):
     return D.html_text(table(spark, sf, "pages")).select("page_id", "n_lines", F.md5("cleaned").alias("text"))
 
 
+_HTML = "CASE page_id % 3 WHEN 1 THEN replace(html, '<article>', '<article><h2>Short news</h2><div><h4>Dr. Anna Berg</h4> Head of store</div>') WHEN 2 THEN replace(html, '</article>', '<ul><li>Posted on : 1 May</li></ul><h2>Open day</h2><h2>Second day</h2></article>') ELSE html END"
+_HEAD_TEXT = S.squash("replace(replace(replace(replace(replace(replace(regexp_replace(h, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&copy;', '©'), '&amp;', '&')")
+
+
+@query("html_headings", f"""WITH p AS (SELECT page_id, {_HTML} AS html FROM pages), a AS (SELECT page_id, {_html_sql()} AS x FROM p), h AS (SELECT page_id, unnest(regexp_extract_all(x, '(?is)<h[1-4]\\b[^>]*>.*?</h[1-4]>')) AS h, generate_subscripts(regexp_extract_all(x, '(?is)<h[1-4]\\b[^>]*>.*?</h[1-4]>'), 1) AS i FROM a),
+t AS (SELECT page_id, i, lower(substr(h, 2, 2)) AS tag, {_HEAD_TEXT} AS text FROM h) SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) AS INTEGER) AS k, tag, text FROM t WHERE text <> ''""")
+def html_headings(spark, sf):
+    return H.headings(_tree(spark, sf))
+
+
+def _tree(spark, sf):
+    """Elements of the pages, some of which say more in their structure."""
+    return H.nodes(table(spark, sf, "pages").select("page_id", F.expr(_HTML).alias("html")))
+
+
+@query("html_people", "SELECT page_id, 'Dr. Anna Berg' AS name, 'Head of store' AS designation FROM pages WHERE page_id % 3 = 1 AND contains(html, '<article>')")
+def html_people(spark, sf):
+    return H.people(_tree(spark, sf)).where("name = 'Dr. Anna Berg'").select("page_id", "name", "designation")
+
+
+@query("html_news", "SELECT page_id, unnest(['Open day', 'Second day']) AS title, '1 May' AS posted_on FROM pages WHERE page_id % 3 = 2 AND contains(html, '</article>')")
+def html_news(spark, sf):
+    return H.dated_items(_tree(spark, sf)).where("posted_on is not null").select("page_id", "title", "posted_on")
+
+
 @query("html_links", f"""WITH a AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS base, regexp_extract_all(coalesce(html, ''), '(?is)<a\\s+href="([^"]*)"[^>]*>(.*?)</a>') AS ls FROM pages),
 e AS (SELECT page_id, base, unnest(ls) AS a, generate_subscripts(ls, 1) AS i FROM a),
 h AS (SELECT page_id, base, i, regexp_extract(a, '(?is)href="([^"]*)"', 1) AS h, {S.squash("regexp_replace(regexp_extract(a, '(?is)>(.*)</a>', 1), '<[^>]*>', '', 'g')")} AS label FROM e)

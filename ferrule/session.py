@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -35,6 +39,20 @@ def shared_folder(spark: SparkSession) -> str:
     return path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder and read again, for what is used several times; the files go with the driver."""
+    folder = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(forget, folder)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def forget(folder: str) -> None:
+    """Delete a folder when the driver ends; only local ones, as Spark may have gone."""
+    if folder.startswith("file:"):
+        shutil.rmtree(re.sub("^file:/*", "/", folder), ignore_errors=True)
+
+
 class Files:
     """A few whole small files (manifests) in a folder of any file system that Spark reads."""
 
