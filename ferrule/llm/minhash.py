@@ -257,6 +257,22 @@ def linked(cells: np.ndarray, cut: np.ndarray, label: np.ndarray, side: np.ndarr
     return out
 
 
+def met(h: np.ndarray, doc: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (leader, member) of each group h that are compared: all of groups of up to 2 x LEADERS, else those with the best by score and by a fixed order."""
+    a, b = [], []
+    for most, keys in ((2 * LEADERS, (doc, -score)), (LEADERS, (doc, words.mix(doc.astype(np.uint64))))):
+        order = np.lexsort((*keys, h))
+        d = doc[order]
+        first, size = _groups(h[order])
+        for k in range(most):
+            some = (size > k) & ((k < LEADERS) | (size <= 2 * LEADERS))
+            leader = np.repeat(d[first[some] + k], size[some])
+            member = d[np.repeat(first[some] - (np.cumsum(size[some]) - size[some]), size[some]) + np.arange(size[some].sum())]
+            a.append(leader)
+            b.append(member)
+    return np.concatenate(a), np.concatenate(b)
+
+
 def _clump_links(docs: DataFrame, id_col: str, text_col: str, sized: DataFrame, of: DataFrame, n: int, shingle: int, threshold: float) -> DataFrame | None:
     """(u, v): links between the classes `of` of documents that share a large group, from all pairs in it; None if each such group is one class."""
 
@@ -358,19 +374,7 @@ def _links(base: DataFrame, n: int, shingle: int, threshold: float) -> tuple[Dat
         kinds, own = group(table)
         items = forward(kinds, own)
         if x := blocks.joined(kinds.get(SCORED, [])):
-            a, b = [], []
-            noise = words.mix(x["doc"].astype(np.uint64))
-            for keys in ((x["doc"], -x["score"]), (x["doc"], noise)):
-                order = np.lexsort((*keys, x["h"]))
-                doc = x["doc"][order]
-                first, size = _groups(x["h"][order])
-                for k in range(LEADERS):
-                    some = size > k
-                    leader = np.repeat(doc[first[some] + k], size[some])
-                    member = doc[np.repeat(first[some] - (np.cumsum(size[some]) - size[some]), size[some]) + np.arange(size[some].sum())]
-                    a.append(leader)
-                    b.append(member)
-            a, b = np.concatenate(a), np.concatenate(b)
+            a, b = met(x["h"], x["doc"], x["score"])
             pair = one_way(np.unique(np.stack([a[a != b], b[a != b]], axis=1), axis=0), x["doc"], x["score"])
             to = blocks.bucket_of(pair[:, 1], n)
             items += blocks.send(PAIR, to, {"a": pair[:, 0], "b": pair[:, 1]})  # to the member's documents; the leader's are asked to go there

@@ -112,3 +112,13 @@ def test_long_texts_and_ids_of_other_types(spark):
     assert {r.doc_id: r.class_id for r in M.classes(docs).collect()} == {1: 1, 2: 1, 3: 3}
     with pytest.raises(TypeError, match="integer"):
         M.classes(docs.selectExpr("cast(doc_id as string) as doc_id", "text"))
+
+
+def test_every_pair_of_a_group_of_up_to_sixteen_meets():
+    rng = np.random.default_rng(5)
+    for size in (2, 8, 9, 12, 16, 17, 40):
+        doc = rng.choice(10**6, size, replace=False)
+        a, b = M.met(np.zeros(size, np.uint64), doc, rng.integers(1, 50, size))
+        pairs = {frozenset(p) for p in zip(a.tolist(), b.tolist(), strict=True) if p[0] != p[1]}
+        every = size * (size - 1) // 2
+        assert len(pairs) == every if size <= 16 else len(pairs) < every
