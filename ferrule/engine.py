@@ -18,6 +18,7 @@ from ferrule.operators import docs as D
 from ferrule.operators import evidence as E
 from ferrule.operators import graph as G
 from ferrule.operators import ingest as I
+from ferrule.operators import measure as M
 from ferrule.operators import retrieve as R
 
 
@@ -61,6 +62,7 @@ class Engine:
         self.chunks, self.triples, self.scorer, self.kg_query, self.generator, self.on_stage = chunks, triples, scorer, kg_query, generator, on_stage
         self.channels = channels or [bm25_channel, lexical_channel]
         self.timings: dict[str, float] = {}
+        self.rows: dict[str, int] = {}  # that the stages of the last respond() wrote
         self.branches: dict[str, tuple[int, int]] = {}  # of the last respond(): questions that each branch read, and answered
 
     def _stage(self, name: str, make: Callable):
@@ -164,10 +166,10 @@ class Engine:
         uploads: (query_id, chunk_id, text). Facts are asked for with the query as retrieved with.
         """
         # what several later steps read is written once: else each would search again
-        plan = self._stage("plan", lambda: session.kept(self.plan(queries, history), "plan"))
+        plan = self._stage("plan", lambda: session.kept(self.plan(queries, history), "plan", self.rows))
         none = queries.sparkSession.createDataFrame([], plan.select("query_id").schema.add("entity", "string").add("fact", "string").add("score", "double"))
-        facts = self._stage("facts", lambda: session.kept(self.kg_query(plan.select("query_id", "query")), "facts") if self.kg_query else none)
-        e = self._stage("evidence", lambda: session.kept(self.evidence(queries, most, history, facts if self.kg_query else None).select("query_id", "rank", "title", F.lit(None).cast("int").alias("page"), "sentence", "score", "chunk_score").withColumn("match_type", F.lit("vector")), "evidence"))
+        facts = self._stage("facts", lambda: session.kept(self.kg_query(plan.select("query_id", "query")), "facts", self.rows) if self.kg_query else none)
+        e = self._stage("evidence", lambda: session.kept(self.evidence(queries, most, history, facts if self.kg_query else None).select("query_id", "rank", "title", F.lit(None).cast("int").alias("page"), "sentence", "score", "chunk_score").withColumn("match_type", F.lit("vector")), "evidence", self.rows))
         ranked_facts = R.ranked(facts, ["query_id"], [F.desc("score"), F.asc("entity"), F.asc("fact")], 12)
         context = A.budgeted(ranked_facts.select("query_id", "rank", "entity", "fact"), e)
         asked = plan.select("query_id", F.col("question").alias("query"), "question_type", "note")
@@ -206,3 +208,10 @@ class Engine:
     def readiness(self) -> DataFrame:
         c = self.chunks.agg(F.count("*").alias("chunks"))
         return c.withColumn("state", F.when(F.col("chunks") == 0, "empty").otherwise("ready"))
+
+    def judged(self, queries: DataFrame, truth: DataFrame, history: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """Details of each question and one row of metrics, for truth (query_id, ground_truth, context: texts that a hit should match): recall, reciprocal rank, correctness, share of answers that evidence doesn't support."""
+        hits = session.kept(self.retrieve(queries, 10, history).select("query_id", "rank", "text"), "hits", self.rows)
+        answers = self.respond(queries, history=history).select("query_id", "status", "answer")
+        details = session.kept(M.details(hits, answers, truth), "details", self.rows)
+        return details, M.summary(details)

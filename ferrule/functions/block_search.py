@@ -248,6 +248,31 @@ class Ladder:
         return out
 
 
+class Titles:
+    """The k titles of each question that share most with it: whole words, and its compact form as one more."""
+
+    def __init__(self, questions: dict, k: int):
+        self.q, self.k = questions, k
+
+    def of(self, block: Block) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(question, places, scores)."""
+        q, known, out = self.q, block.codes(self.q["words"]), []
+        forms = sorted({f for f in q["form"] if f is not None})
+        holding = dict(zip(forms, block.holding(forms), strict=True))
+        for i in range(len(q["id"])):
+            word = q["word"][q["first"][i] : q["first"][i + 1]]
+            code = known[word]
+            hits = np.bincount(block.title_place[block.spans(block.title_at, code[code >= 0])[0]], minlength=block.n)
+            if (form := q["form"][i]) is not None:
+                hits[holding[form]] += 1
+            found = np.flatnonzero((hits > 0) & block.open)
+            score = np.minimum(1.0, 0.35 + hits[found] / max(1, len(word) + (form is not None)) * 0.45)
+            best = first((found, -score), self.k)
+            if len(best):
+                out.append((i, found[best], score[best]))
+        return out
+
+
 _SPACES = {ord(c): " " for c in "\t\n\x0b\f\r"}
 
 

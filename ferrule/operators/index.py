@@ -250,6 +250,18 @@ class KeywordIndex:
             return _renamed(strong, query_id)
         return _renamed(strong.join(enough, "q", "left_semi").unionByName(_ranked(search(rest, True), order, k, "q")), query_id)
 
+    def titles(self, queries: DataFrame, query_id: str, query_text: Column, k: int) -> DataFrame:
+        """(query, id, score, rank): the k titles that share most with each question; for an index of titles without texts."""
+        q = T.once(queries.select(F.col(query_id).alias("q"), query_text.alias("_q")), "kw", T.keywords(F.col("_q")))
+        asked = q.select("q", F.struct(F.col("kw").alias("words"), T.compact_form(F.col("_q")).alias("form")).alias("a"))
+
+        def answer(chunk: pa.StructArray):
+            search = S.Titles(_asked(chunk) | {"form": chunk.field("form").to_pylist()}, k)
+            return lambda block: [(i, p, (s,)) for i, p, s in search.of(block)]
+
+        hits = self._search(asked, queries.select(query_text.alias("t")), answer, ["score"], ["postings", "texts", "ladder"])
+        return _ranked(hits.select("q", "id", F.round("score", 6).alias("score")), [F.desc("score"), F.asc("id")], k, query_id)
+
     def _search(self, asked: DataFrame, texts: DataFrame, answer, scores: list[str], columns: list[str], among: DataFrame | None = None) -> DataFrame:
         """(q, id, scores) of all blocks for all questions (q, a), a slice of questions after another."""
         size = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum(16 * F.octet_length("t") + 64), F.lit(0)).alias("bytes")).first()  # a word of two characters becomes some 30 bytes

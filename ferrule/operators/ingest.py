@@ -48,6 +48,16 @@ def readiness(n_documents: Column, n_chunks: Column, running: Column) -> Column:
     return F.when(running, "running").when(n_documents == 0, "empty").when(n_chunks == 0, "unindexed").otherwise("ready")
 
 
+def readiness_checks(chunks: Column, vectors: Column, documents: Column, facts: Column, version: Column, model: Column) -> Column:
+    """The six checks of a snapshot as rows (name, ok, detail): the engine itself, the model, the vectors, the graph, the documents, the index version."""
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    row = lambda name, ok, detail: F.struct(F.lit(name).alias("name"), F.coalesce(ok, F.lit(False)).alias("ok"), detail.alias("detail"))
+    return F.array(
+        row("backend", F.lit(True), F.lit("API reachable")), row("llm", model != "", text(model)), row("vector", (vectors > 0) & (chunks > 0), F.concat(text(chunks), F.lit(" chunks"))),
+        row("kg", facts > 0, F.when(facts > 0, "Connected").otherwise("Unavailable")), row("documents", documents > 0, text(documents)), row("index_version", F.coalesce(version, F.lit("uninitialized")) != "uninitialized", F.coalesce(version, F.lit("uninitialized"))),
+    )
+
+
 def lookup(asked: DataFrame, sources: DataFrame, key: str = "url") -> DataFrame:
     """Sources by key, a row for each that is asked for, known or not."""
     return asked.select(key).join(sources, key, "left")

@@ -108,18 +108,13 @@ def keyword_match_ladder(spark, sf):
 @query("title_match", f"""WITH q AS (SELECT c_custkey, {S.keywords("c_mktsegment || ' ' || c_name")} AS k0 FROM customer), k AS (SELECT c_custkey, {S.unique('k0')} AS kw FROM q),
 f AS (SELECT *, CASE WHEN len(kw) >= 2 AND length(array_to_string(kw, '')) >= {params.COMPACT_LENGTH} THEN array_to_string(kw, '') END AS cf FROM k),
 t AS (SELECT s_suppkey, ' ' || regexp_replace({S.searchable("s_name || ' customer'")}, '\\s', ' ', 'g') || ' ' AS tpad, {S.compact("s_name || ' customer'")} AS ttight FROM supplier),
-h AS (SELECT c_custkey, s_suppkey, {_HITS('kw', 'tpad')} + CASE WHEN cf IS NOT NULL AND contains(ttight, cf) THEN 1 ELSE 0 END AS h, len(kw) + CASE WHEN cf IS NOT NULL THEN 1 ELSE 0 END AS n FROM f, t)
-SELECT c_custkey, s_suppkey, round(least(1, 0.35 + h / greatest(n, 1) * CAST(0.45 AS DOUBLE)), 6) AS score FROM h WHERE h > 0""")
+h AS (SELECT c_custkey, s_suppkey, {_HITS('kw', 'tpad')} + CASE WHEN cf IS NOT NULL AND contains(ttight, cf) THEN 1 ELSE 0 END AS h, len(kw) + CASE WHEN cf IS NOT NULL THEN 1 ELSE 0 END AS n FROM f, t),
+s AS (SELECT c_custkey, s_suppkey, round(least(1, 0.35 + h / greatest(n, 1) * CAST(0.45 AS DOUBLE)), 6) AS score FROM h WHERE h > 0), r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY score DESC, s_suppkey) AS rank FROM s)
+SELECT c_custkey, s_suppkey, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 6""")
 def title_match(spark, sf):
-    return _titles(spark, sf, table(spark, sf, "customer"))
-
-
-def _titles(spark, sf, asked):
-    q = asked.select("c_custkey", F.concat_ws(" ", "c_mktsegment", "c_name").alias("q"))
-    q = q.select("c_custkey", T.keywords(F.col("q")).alias("kw"), T.compact_form(F.col("q")).alias("cf"))
-    title = F.concat(F.col("s_name"), F.lit(" customer"))
-    t = table(spark, sf, "supplier").select("s_suppkey", T.padded(T.searchable(title)).alias("tpad"), T.compact(title).alias("tight"))
-    return t.join(R.small(q)).select("c_custkey", "s_suppkey", F.round(R.title_score(F.col("kw"), F.col("cf"), F.col("tpad"), F.col("tight")), 6).alias("score")).where("score > 0")
+    """The six best titles for each customer; the word that all titles have matches every one of them."""
+    q = table(spark, sf, "customer").select("c_custkey", F.concat_ws(" ", "c_mktsegment", "c_name").alias("q"))
+    return R.title_topk(table(spark, sf, "supplier"), q, "s_suppkey", F.concat(F.col("s_name"), F.lit(" customer")), "c_custkey", F.col("q"), 6)
 
 
 _LEXR = "lx AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY keyword_score DESC, title_score DESC, doc_id) AS rank FROM lex WHERE keyword_score > 0 OR title_score > 0)"

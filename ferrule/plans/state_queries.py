@@ -97,6 +97,16 @@ def readiness_snapshot(spark, sf):
     return x.withColumn("state", I.readiness(F.col("documents"), F.col("vectors"), F.lit(False)))
 
 
+@query("readiness_checks", """WITH c AS (SELECT (SELECT count(*) FROM documents) AS d, (SELECT count(*) FROM embeddings) AS v, (SELECT count(*) FROM nation) AS f)
+SELECT 'backend' AS name, true AS ok, 'API reachable' AS detail FROM c UNION ALL SELECT 'llm', false, '' FROM c UNION ALL SELECT 'vector', v > 0 AND d > 0, d || ' chunks' FROM c UNION ALL SELECT 'kg', f > 0, CASE WHEN f > 0 THEN 'Connected' ELSE 'Unavailable' END FROM c
+UNION ALL SELECT 'documents', d > 0, CAST(d AS VARCHAR) FROM c UNION ALL SELECT 'index_version', false, 'uninitialized' FROM c""")
+def readiness_checks(spark, sf):
+    n = lambda t: table(spark, sf, t).agg(F.count("*").alias(t))
+    x = n("documents").join(n("embeddings")).join(n("nation"))  # three rows of one
+    checks = I.readiness_checks(F.col("documents"), F.col("embeddings"), F.col("documents"), F.col("nation"), F.lit(None).cast("string"), F.lit(""))
+    return x.select(F.explode(checks).alias("c")).select("c.name", "c.ok", "c.detail")
+
+
 @query("carry_forward", "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_purchase FROM events")
 def carry_forward(spark, sf):
     v = F.when(F.col("event_type") == "purchase", F.col("value"))

@@ -10,7 +10,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def ship(spark: SparkSession) -> None:
@@ -39,11 +40,14 @@ def shared_folder(spark: SparkSession) -> str:
     return path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read again, for what is used several times; the files go with the driver."""
+def kept(df: DataFrame, name: str, rows: dict[str, int] | None = None) -> DataFrame:
+    """df written once to the shared folder and read again, for what is used several times; the files go with the driver. rows[name]: how many were written, as observed while they were."""
     folder = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     atexit.register(forget, folder)
-    df.write.parquet(folder)
+    seen = Observation(name)
+    (df if rows is None else df.observe(seen, F.count(F.lit(1)).alias("rows"))).write.parquet(folder)
+    if rows is not None:
+        rows[name] = seen.get["rows"]
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
