@@ -31,6 +31,8 @@ from ferrule.functions import text as T
 
 #: Documents and bytes of text of a block, questions in a chunk, bytes of questions that are broadcast at once.
 BLOCK_DOCS, BLOCK_BYTES, CHUNK, QUESTION_BYTES = 512, 2 << 20, 256, 32 << 20
+#: What a stored block looks like, by name: an index of another format is not taken for one of this. Files that a fingerprint looks at.
+FORMAT, MOST_FILES = "blocks 1", 10_000
 #: What a block's columns of bytes hold, by column: Arrow streams of lists, so that a search reads what it needs, and as it lies.
 PARTS = {
     "postings": ("terms", "dl", "at", "place", "tf", "most", "least"),
@@ -353,14 +355,16 @@ def _picked(docs: DataFrame, id_col: str, text: Column, title: Column | None) ->
 
 
 def fingerprint(df: DataFrame) -> str | None:
-    """A hash of df's plan and of the names, sizes and times of the files it reads; None if it reads anything else, or calls UDFs."""
+    """A hash of df's plan and of the names, sizes and times of the files it reads; None if it reads anything else, over MOST_FILES of them, or calls UDFs. For such tables build an index once and open it."""
     plan = df._jdf.queryExecution().optimizedPlan()
     leaves = plan.collectLeaves()
     if any(leaves.apply(k).getClass().getSimpleName() != "LogicalRelation" for k in range(leaves.size())) or re.search("udf", plan.toString(), re.IGNORECASE):
         return None
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    told = [re.sub(r"#\d+", "", plan.toString())]
-    for name in sorted(df.inputFiles()):
+    told, names = [FORMAT, re.sub(r"#\d+", "", plan.toString())], sorted(df.inputFiles())
+    if len(names) > MOST_FILES:
+        return None
+    for name in names:
         path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
         s = path.getFileSystem(conf).getFileStatus(path)
         told.append(f"{name} {s.getLen()} {s.getModificationTime()}")
