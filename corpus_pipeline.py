@@ -56,10 +56,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; what each but the last keeps is written to the shared folder and read again, so that none is computed twice."""
+    """All stages; what each but the last keeps is written to the shared folder and read again, so that none is computed twice, and what the one before had kept is deleted then.
+
+    The result reads what the last but one has written, so that stays as long as the result is wanted.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{blocks.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{blocks.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            where, path = blocks.file_system(before)
+            where.delete_dir(path)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
