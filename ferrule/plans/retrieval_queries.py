@@ -84,10 +84,18 @@ def vector_multi_variant_max(spark, sf):
     return hits.groupBy(F.floor(F.col("query_id") / 200).alias("grp"), "vec_id").agg(F.max("score").alias("score"))
 
 
+#: A document's title: its source and its first words.
+_TITLE = "concat_ws(' ', source, array_to_string(string_split(coalesce(text, ''), ' ')[1:6], ' '))"
+
+
+def _title():
+    return F.concat_ws(" ", "source", F.array_join(F.slice(F.split(F.coalesce("text", F.lit("")), " "), 1, 6), " "))
+
+
 _HITS = lambda kw, t: f"len(list_filter({kw}, lambda w: contains({t}, ' ' || w || ' ')))"
 _LEX = f"""q0 AS (SELECT item_id, {S.keywords('text')} AS k0, trim({S.searchable('text')}) AS ph FROM benchmark), q1 AS (SELECT item_id, ph, {S.unique('k0')} AS kw FROM q0),
 q AS (SELECT *, CASE WHEN len(kw) >= 2 AND length(array_to_string(kw, '')) >= {params.COMPACT_LENGTH} THEN array_to_string(kw, '') END AS cf FROM q1),
-c AS (SELECT doc_id, {S.searchable("concat_ws(' ', text, source)")} AS target, {S.compact("concat_ws(' ', text, source)")} AS tight, {S.searchable('source')} AS tt, {S.compact('source')} AS ttight FROM documents),
+c AS (SELECT doc_id, {S.searchable(f"concat_ws(' ', text, {_TITLE})")} AS target, {S.compact(f"concat_ws(' ', text, {_TITLE})")} AS tight, {S.searchable(_TITLE)} AS tt, {S.compact(_TITLE)} AS ttight FROM documents),
 p AS (SELECT *, ' ' || regexp_replace(target, '\\s', ' ', 'g') || ' ' AS pad, ' ' || regexp_replace(tt, '\\s', ' ', 'g') || ' ' AS tpad FROM c),
 lex AS (SELECT item_id, doc_id, round(CASE WHEN len(kw) = 0 THEN 0 WHEN ph <> '' AND contains(pad, ' ' || ph || ' ') THEN 1 WHEN cf IS NOT NULL AND contains(tight, cf) THEN 0.84
   WHEN {_HITS('kw', 'pad')} > 0 THEN least(1, 0.75 + {_HITS('kw', 'pad')} / greatest(len(kw), 1) * CAST(0.2 AS DOUBLE)) WHEN ph <> '' AND contains(target, ph) THEN 0.72
@@ -97,7 +105,7 @@ lex AS (SELECT item_id, doc_id, round(CASE WHEN len(kw) = 0 THEN 0 WHEN ph <> ''
 
 
 def _lexical(spark, sf):
-    return R.lexical(table(spark, sf, "documents"), table(spark, sf, "benchmark").select("item_id", F.col("text").alias("q")), "doc_id", F.col("text"), F.col("source"), "item_id", F.col("q"))
+    return R.lexical(table(spark, sf, "documents"), table(spark, sf, "benchmark").select("item_id", F.col("text").alias("q")), "doc_id", F.col("text"), _title(), "item_id", F.col("q"))
 
 
 @query("keyword_match_ladder", f"WITH {_LEX} SELECT item_id, doc_id, CAST(keyword_score AS DOUBLE) AS keyword_score FROM lex WHERE keyword_score > 0")
@@ -122,7 +130,7 @@ _LEXR = "lx AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY keywo
 
 def lexical(spark, sf, k=20):
     q = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("q"))
-    return R.lexical_top(table(spark, sf, "documents"), q, "doc_id", F.col("text"), F.col("source"), "item_id", F.col("q"), k)
+    return R.lexical_top(table(spark, sf, "documents"), q, "doc_id", F.col("text"), _title(), "item_id", F.col("q"), k)
 
 
 @query("lexical_channel", f"WITH {_LEX}, {_LEXR} SELECT item_id, doc_id, CAST(keyword_score AS DOUBLE) AS keyword_score, CAST(title_score AS DOUBLE) AS title_score, CAST(rank AS INTEGER) AS rank FROM lx WHERE rank <= 20")
