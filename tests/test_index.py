@@ -168,3 +168,24 @@ def test_blocked_vectors(spark, monkeypatch):
         assert [j for _, j, _ in sorted(got[i])] == want and np.allclose([v for _, _, v in sorted(got[i])], s[want], atol=1e-9)
     assert got[902] == [(1, 902, 1.0)] and 901 not in got
     assert "Cartesian" not in R.vector_topk(d, q, "id", "v", "q", "qv", 4)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_row_groups_of_blocks_are_small(spark, tmp_path, monkeypatch):
+    """A reader holds whole row groups, so they don't grow with the index."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(X, "ROW_GROUP", 1 << 17)
+    docs = spark.range(0, 960, numPartitions=1).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 300), k -> concat('w', hash(id, k)))) AS text")
+    X.KeywordIndex.build(docs, f"file://{tmp_path}/x", "doc_id", F.col("text"))
+    groups = [m.row_group(g) for f in tmp_path.glob("x/segment-*/*.parquet") for m in [pq.ParquetFile(f).metadata] for g in range(m.num_row_groups)]
+    assert len(groups) > 1
+    assert all(g.num_rows == 1 for g in groups)  # each block is larger than a row group's bytes
+
+
+def test_searchable_bytes_are_sparks(spark):
+    from ferrule.functions import text as T
+
+    texts = ["AKBİC", "café \U0001f600xßΣ", "tab\tline\nfeed\x0bform\x0c\r\x00\x7f  end", "", None, "Plain ASCII-text, 42!", "ǅẞÅ"]
+    got = S.searchable(pa.array(texts, pa.string())).to_pylist()
+    want = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(F.when(F.col("t").isNotNull(), T.searchable(F.col("t")))).collect()
+    assert got == [r[0] for r in want]
