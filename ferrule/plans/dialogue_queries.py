@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ferrule import params
+from ferrule import params, session
 from ferrule.functions import python_udfs
 from ferrule.functions import text as T
 from ferrule.operators import docs as D
 from ferrule.operators import evidence as E
-from ferrule.operators.retrieve import ranked
+from ferrule.operators.retrieve import ranked, small
 
 from . import common as S
 from . import retrieval_queries as R
@@ -200,7 +200,9 @@ def _answers(spark, sf):
     best = R.linear(spark, sf).where("k > 0 or bn > 0")
     top = ranked(best, ["item_id"], [F.desc("score"), F.asc("doc_id")], 4)
     asked = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("q"))
-    lines = top.join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").join(asked, "item_id")
+    top = session.kept(top, "top")
+    texts = table(spark, sf, "documents").select("doc_id", "text").join(small(top.select("doc_id").distinct()), "doc_id", "left_semi")
+    lines = top.join(texts, "doc_id").join(asked, "item_id")
     s = lines.select("item_id", "doc_id", "score", "k", "q", F.explode(D.sentences(F.col("text"))).alias("sentence"))
     hits = F.size(F.array_intersect(T.token_set(F.col("q")), T.token_set(F.col("sentence"))))
     return s.withColumn("hits", hits).where("hits > 0")
