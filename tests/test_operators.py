@@ -110,3 +110,24 @@ def test_streaming_windows(spark, tmp_path, sf):
     q = stream.windowed_counts(source).writeStream.format("memory").queryName("hours").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("hours").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_title_pairs_name_every_link(spark):
+    """All titles of a question, not its best six; copies are told by their texts."""
+    titles = spark.createDataFrame([(k, f"shop {k % 20}") for k in range(40)], "t long, name string")
+    asked = spark.createDataFrame([(1, "the shop"), (2, "the shop"), (3, "none")], "q long, text string")
+    got = R.title_pairs(titles, asked, "t", F.col("name"), "q", F.col("text")).collect()
+    pair = {(r.a, r.b) for r in got if r.kind == "pair"}
+    of = lambda kind: {r.b: r.a for r in got if r.kind == kind}
+    query, title = of("query"), of("title")
+    assert pair == {(1, k) for k in range(20)}
+    assert {(q, t) for q in query for t in title if (query[q], title[t]) in pair} == {(q, t) for q in (1, 2) for t in range(40)}
+
+
+def test_every_answer_is_held_against_the_turn_before(spark, sf):
+    """Not, as half of them were, against itself alone."""
+    from ferrule.plans import catalog
+
+    got = catalog.QUERIES["grounding_check"](spark, sf)
+    n = got.select("conv_id", "turn").distinct().count()
+    assert got.where("evidence = 'before'").count() == n == got.where("evidence = 'both'").count()
