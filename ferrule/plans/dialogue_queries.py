@@ -178,12 +178,17 @@ def unsupported_tokens(spark, sf):
     return c.select("conv_id", "turn", F.size("u").cast("long").alias("n"), F.md5(F.array_join(F.array_sort("u"), " ")).alias("tokens"))
 
 
-@query("grounding_check", f"""WITH {_TALK}, k AS (SELECT conv_id, turn, list_filter(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{{3,}}')), lambda t: t NOT IN ({_GS})) AS a, list_distinct(regexp_extract_all(lower(CASE WHEN conv_id % 2 = 0 THEN coalesce(before, '') || ' ' || coalesce(text, '') ELSE coalesce(before, '') END), '[a-z0-9]{{3,}}')) AS c FROM talk WHERE role = 'assistant')
-SELECT conv_id, turn, len(a) = 0 OR len(list_intersect(a, c)) >= greatest(2, ceil(len(a) * 0.4)) AS grounded FROM k""")
+@query("grounding_check", f"""WITH {_TALK}, e AS (SELECT conv_id, turn, text, 'before' AS evidence, coalesce(before, '') AS told FROM talk WHERE role = 'assistant' UNION ALL SELECT conv_id, turn, text, 'both', coalesce(before, '') || ' ' || coalesce(text, '') FROM talk WHERE role = 'assistant'),
+k AS (SELECT conv_id, turn, evidence, list_filter(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{{3,}}')), lambda t: t NOT IN ({_GS})) AS a, list_distinct(regexp_extract_all(lower(told), '[a-z0-9]{{3,}}')) AS c FROM e)
+SELECT conv_id, turn, evidence, len(a) = 0 OR len(list_intersect(a, c)) >= greatest(2, ceil(len(a) * 0.4)) AS grounded FROM k""")
 def grounding_check(spark, sf):
+    """Each answer against the turn before it, and against both turns, as one that repeats its evidence is grounded."""
     c = table(spark, sf, "conversations").withColumn("before", F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))).where("role = 'assistant'")
+    before, text = F.coalesce("before", F.lit("")), F.coalesce("text", F.lit(""))
+    told = F.array(F.struct(F.lit("before").alias("evidence"), before.alias("told")), F.struct(F.lit("both").alias("evidence"), F.concat(before, F.lit(" "), text).alias("told")))
+    c = c.select("conv_id", "turn", "text", F.inline(told))
     a = F.filter(T.token_set(F.col("text")), lambda t: ~t.isin(*params.GROUNDING_STOPWORDS))
-    return c.select("conv_id", "turn", E.grounded(a, T.token_set(F.expr("CASE WHEN conv_id % 2 = 0 THEN coalesce(before, '') || ' ' || coalesce(text, '') ELSE coalesce(before, '') END")), F.lit("explanation")).alias("grounded"))
+    return c.select("conv_id", "turn", "evidence", E.grounded(a, T.token_set(F.col("told")), F.lit("explanation")).alias("grounded"))
 
 
 @query("context_line", "SELECT doc_id, '- [' || coalesce(nullif(source, ''), 'Official Source') || CASE WHEN doc_id % 4 > 0 THEN ' | page ' || CAST(doc_id % 4 AS VARCHAR) ELSE '' END || '] ' || coalesce(text, '') AS line FROM documents")
