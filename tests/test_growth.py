@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ferrule.functions import rules as L
 from ferrule.functions import text as T
 from ferrule.operators import answers as A
+from ferrule.operators import retrieve as R
 
 
 def plan(df) -> str:
@@ -19,3 +20,12 @@ def plan(df) -> str:
 def test_an_expression_tells_its_parts_once(spark, f, pattern, most):
     told = plan(spark.createDataFrame([("a", "b")], "a string, b string").select(f(F.col("a"), F.col("b")).alias("v")))
     assert 0 < told.count(pattern) <= most
+
+
+def test_texts_that_hold_a_question_are_found_without_holding_all_against_all(spark):
+    docs = spark.createDataFrame([(1, "Xthe red fox RANy home"), (2, "red fox the ran"), (3, None), (4, "the red   fox ran"), (5, "fo"), (6, "Foxes, the Red.Fox ran")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "The red fox ran"), (2, "fo"), (3, ""), (4, None), (5, "the Red.Fox ran"), (6, "unknown red fox ran")], "item_id long, q string")
+    of = lambda q: R.containing(docs, q, "doc_id", F.col("text"), "item_id", F.col("q"))
+    assert sorted(map(tuple, of(asked).collect())) == [(1, 1), (2, 1), (2, 2), (2, 4), (2, 5), (2, 6), (5, 6)]
+    physical = of(asked.where("item_id <> 2"))._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in physical and "Cartesian" not in physical
