@@ -7,6 +7,7 @@ from ferrule.functions import rules as L
 from ferrule.functions import text as T
 from ferrule.operators import answers as A
 from ferrule.operators import retrieve as R
+from ferrule.plans import graph_queries
 
 
 def plan(df) -> str:
@@ -29,3 +30,8 @@ def test_texts_that_hold_a_question_are_found_without_holding_all_against_all(sp
     assert sorted(map(tuple, of(asked).collect())) == [(1, 1), (2, 1), (2, 2), (2, 4), (2, 5), (2, 6), (5, 6)]
     physical = of(asked.where("item_id <> 2"))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in physical and "Cartesian" not in physical
+
+
+def test_a_misspelt_word_is_looked_at_once_for_all_who_have_it(spark):
+    df = graph_queries.fuzzy_term_fix(spark, "/root/testdata/sf0.001")
+    assert "Window" not in plan(df) and df.count() == 150
