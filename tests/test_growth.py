@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ferrule.functions import rules as L
 from ferrule.functions import text as T
 from ferrule.operators import answers as A
+from ferrule.operators import graph as G
 from ferrule.operators import retrieve as R
 from ferrule.plans import graph_queries
 
@@ -32,6 +33,14 @@ def test_texts_that_hold_a_question_are_found_without_holding_all_against_all(sp
     assert "NestedLoop" not in physical and "Cartesian" not in physical
 
 
+def test_nodes_that_many_seeds_reach_are_gone_on_from_once(spark):
+    t = spark.createDataFrame([*[(f"s{k}", "to", "hub", True) for k in range(20)], *[("hub", "to", f"x{k}", True) for k in range(20)], ("x1", "to", "s1", True), ("x2", "is", "value", False)], "s string, p string, o string, o_is_uri boolean")
+    seeds = spark.createDataFrame([(f"s{k}",) for k in range(20)], "seed string")
+    got = dict(map(tuple, G.reach(t, seeds, 3).collect()))
+    assert got == {f"s{k}": 0 for k in range(20)} | {"hub": 1} | {f"x{k}": 2 for k in range(20)}
+    assert G.reach(t, seeds, 3).count() == 41 and G.reach(t, seeds, 0).count() == 20
+
+
 def test_a_misspelt_word_is_looked_at_once_for_all_who_have_it(spark):
     df = graph_queries.fuzzy_term_fix(spark, "/root/testdata/sf0.001")
     assert "Window" not in plan(df) and df.count() == 150
