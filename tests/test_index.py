@@ -189,3 +189,20 @@ def test_searchable_bytes_are_sparks(spark):
     got = S.searchable(pa.array(texts, pa.string())).to_pylist()
     want = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(F.when(F.col("t").isNotNull(), T.searchable(F.col("t")))).collect()
     assert got == [r[0] for r in want]
+
+
+def test_blocks_hold_only_what_cant_be_told_from_the_rest(spark, tmp_path):
+    """What is written follows the texts and stays below them, with titles and postings."""
+    docs = spark.range(0, 600, numPartitions=2).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 300), k -> concat('w', abs(hash(id, k)) % 5000))) AS text", "concat('t', id % 7) AS title")
+    X.KeywordIndex.build(docs, f"file://{tmp_path}/x", "doc_id", F.col("text"), F.col("title"))
+    files = list(tmp_path.glob("x/segment-*/*.parquet"))
+    assert sum(f.stat().st_size for f in files) < 0.85 * docs.agg(F.sum(F.length("text"))).first()[0]
+
+
+def test_what_a_block_tells_from_its_postings():
+    b = block([(1, "red fox"), (2, "fox fox den"), (3, None)], ["fox hill", None, "red"])
+    at, place = b.anywhere
+    assert {t: place[at[k] : at[k + 1]].tolist() for k, t in enumerate(b.terms.to_pylist())} == {"red": [0, 2], "fox": [0, 1], "den": [1], "hill": [0]}
+    assert [b.terms[t].as_py() for t in b.containing("hil")] == ["hill"]
+    none = block([])
+    assert [x.tolist() for x in none.anywhere] == [[0], []]
