@@ -44,3 +44,8 @@ def test_nodes_that_many_seeds_reach_are_gone_on_from_once(spark):
 def test_a_misspelt_word_is_looked_at_once_for_all_who_have_it(spark):
     df = graph_queries.fuzzy_term_fix(spark, "/root/testdata/sf0.001")
     assert "Window" not in plan(df) and df.count() == 150
+
+
+def test_labels_of_all_nodes_are_not_broadcast(spark, sf):
+    told = graph_queries.kg_entity_facts(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in told and "Broadcast" not in told
