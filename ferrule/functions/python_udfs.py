@@ -23,24 +23,6 @@ def nfkc(x: pa.Array) -> pa.Array:
     return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
-@F.arrow_udf(T.ArrayType(T.LongType()))
-def letter_counts(x: pa.Array) -> pa.Array:
-    """How often each letter from a to z occurs in a text in lower case."""
-    import numpy as np
-
-    from ferrule.functions import block_search as S
-
-    parts = []
-    for at in range(0, len(x), 1024):
-        buf, ends = S._bytes(S.searchable(x.slice(at, 1024)))
-        n = len(ends) - 1
-        text, letter = np.repeat(np.arange(n), np.diff(ends)), buf.astype(np.int64) - 97
-        is_letter = (letter >= 0) & (letter < 26)
-        parts.append(np.bincount(text[is_letter] * 26 + letter[is_letter], minlength=26 * n))
-    flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * 26, pa.int32()), pa.array(flat, pa.int64()))
-
-
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """The matching-blocks ratio of two texts."""

@@ -1,14 +1,17 @@
 """Work that must not grow faster than its input: expressions tell their parts once, and no join holds every row against every other."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from ferrule.functions import block_search as S
 from ferrule.functions import rules as L
 from ferrule.functions import text as T
 from ferrule.operators import answers as A
 from ferrule.operators import graph as G
+from ferrule.operators import index as X
 from ferrule.operators import retrieve as R
-from ferrule.plans import graph_queries
+from ferrule.plans import graph_queries, retrieval_queries
 
 
 def plan(df) -> str:
@@ -49,3 +52,25 @@ def test_a_misspelt_word_is_looked_at_once_for_all_who_have_it(spark):
 def test_labels_of_all_nodes_are_not_broadcast(spark, sf):
     told = graph_queries.kg_entity_facts(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in told and "Broadcast" not in told
+
+
+def test_both_keyword_channels_search_one_index(spark, sf, monkeypatch):
+    built, write = [], X.KeywordIndex._write
+    monkeypatch.setattr(X, "FORMAT", "as none is stored")
+    monkeypatch.setattr(X.KeywordIndex, "_write", staticmethod(lambda picked, folder, *more: built.append(folder) or write(picked, folder, *more)))
+    retrieval_queries.channels(spark, sf)
+    assert len(built) == 1
+
+
+def test_the_dense_channel_is_one_python_pass_over_the_documents(spark, sf):
+    told = plan(retrieval_queries.dense_channel(spark, sf))
+    assert told.count("MapInArrow") == 1 and "EvalPython" not in told
+
+
+def test_letters_are_counted_in_pieces(monkeypatch):
+    texts = ["Abba", None, "", "12 z" * 9, "\u212aelvin \u0130", "xyz", "\xe9"]
+    monkeypatch.setattr(S, "LETTER_BYTES", 5)
+    for got, t in zip(S.letter_profile(pa.array(texts, pa.string())).to_pylist(), texts, strict=True):
+        n = [(t or "").lower().count(chr(97 + k)) for k in range(26)]
+        norm = sum(x * x for x in n) ** 0.5
+        assert got == [x / norm if norm else 0.0 for x in n]
