@@ -206,3 +206,14 @@ def test_what_a_block_tells_from_its_postings():
     assert [b.terms[t].as_py() for t in b.containing("hil")] == ["hill"]
     none = block([])
     assert [x.tolist() for x in none.anywhere] == [[0], []]
+
+
+def test_an_index_for_bm25_alone_holds_no_texts(spark, tmp_path, monkeypatch):
+    built, write = [], X.KeywordIndex._write
+    monkeypatch.setattr(X.KeywordIndex, "_write", staticmethod(lambda picked, folder, *more: built.append(write(picked, folder, *more)) or built[-1]))
+    docs = spark.range(0, 600, numPartitions=2).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 300), k -> concat('w', abs(hash(id, k)) % 5000))) AS text")
+    q = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("q"), F.substring("text", 1, 60).alias("t"))
+    rows = lambda **more: sorted(map(tuple, R.bm25(docs, q, "doc_id", F.col("text"), "q", F.col("t"), 5, **more).collect()))
+    assert rows() == rows(title=F.lit("w1 title"))
+    alone, both = (spark.read.format("binaryFile").load(b["folder"]).agg(F.sum("length")).first()[0] for b in built)
+    assert alone < 0.55 * both
