@@ -110,9 +110,10 @@ def rebuilt(official: DataFrame, uploads: DataFrame, key: str) -> DataFrame:
     return o.unionByName(u)
 
 
-def appended(index: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
-    """An index with the chunks of one more document; chunks that it had before are replaced."""
-    return index.join(chunks.select(key), key, "left_anti").unionByName(chunks)
+def appended(index: DataFrame, chunks: DataFrame, key: str, keys: DataFrame | None = None) -> DataFrame:
+    """An index with the chunks of one more document; chunks that it had before are replaced. keys: those of the chunks, where telling them from the chunks costs more."""
+    gone = (chunks if keys is None else keys).select(key)
+    return index.join(gone.hint("shuffle_hash"), key, "left_anti").unionByName(chunks)
 
 
 class SingleFlight:

@@ -208,6 +208,14 @@ def test_what_a_block_tells_from_its_postings():
     assert [x.tolist() for x in none.anywhere] == [[0], []]
 
 
+def test_words_of_a_chunk_are_counted_where_it_is_read(spark, monkeypatch):
+    monkeypatch.setattr(S, "WORD_BYTES", 9)
+    d = spark.createDataFrame([(1, "Red fox, red"), (2, None), (3, "  "), (4, "den"), (4, "fox den 42"), (5, "a\tb A")], "id long, t string").repartition(2)
+    got = sorted(map(tuple, R.postings(d, "id", F.col("t")).collect()))
+    assert got == [(1, "fox", 1, 3), (1, "red", 2, 3), (4, "42", 1, 4), (4, "den", 2, 4), (4, "fox", 1, 4), (5, "a", 2, 3), (5, "b", 1, 3)]
+    assert "Exchange hashpartitioning" not in R.postings(d.where("id <> 4"), "id", F.col("t"))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_an_index_for_bm25_alone_holds_no_texts(spark, tmp_path, monkeypatch):
     built, write = [], X.KeywordIndex._write
     monkeypatch.setattr(X.KeywordIndex, "_write", staticmethod(lambda picked, folder, *more: built.append(write(picked, folder, *more)) or built[-1]))
