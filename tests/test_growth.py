@@ -74,3 +74,8 @@ def test_letters_are_counted_in_pieces(monkeypatch):
         n = [(t or "").lower().count(chr(97 + k)) for k in range(26)]
         norm = sum(x * x for x in n) ** 0.5
         assert got == [x / norm if norm else 0.0 for x in n]
+
+
+def test_vectors_are_searched_by_one_python_worker_a_task(spark, sf):
+    told = plan(retrieval_queries.vector_topk(spark, sf))
+    assert told.count("MapInArrow") == 1 and "EvalPython" not in told
