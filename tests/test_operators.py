@@ -1,5 +1,8 @@
+import random
+
 from pyspark.sql import functions as F
 
+from ferrule import params
 from ferrule.operators import evidence as E
 from ferrule.operators import graph as G
 from ferrule.operators import ingest as I
@@ -131,3 +134,33 @@ def test_every_answer_is_held_against_the_turn_before(spark, sf):
     got = catalog.QUERIES["grounding_check"](spark, sf)
     n = got.select("conv_id", "turn").distinct().count()
     assert got.where("evidence = 'before'").count() == n == got.where("evidence = 'both'").count()
+
+
+def test_title_pairs_of_words_of_every_frequency(spark, monkeypatch):
+    """Words that all or many pairs have, rare ones and compact forms, each alone and together; none of the pairs passes through Python."""
+    rng = random.Random(3)
+    words = [f"w{k:03d}" for k in range(120)]
+    some = lambda most, n: " ".join(rng.choice(words[: rng.choice((2, 70, 120))]) for _ in range(rng.randrange(n))) + rng.choice(("", " every", " rare" + str(rng.randrange(9)), " the", " W-001"))
+    asked = [some(120, 4) for _ in range(150)] + ["rain map tool", "rainmaptool", "", "the", None, "one lone word"]
+    titles = [some(120, 6) for _ in range(200)] + ["the RainMapTool shows", "rain", "rain map-tool", "", None, "every"]
+    q = spark.createDataFrame(list(enumerate(asked)), "q long, text string")
+    t = spark.createDataFrame(list(enumerate(titles)), "t long, name string")
+
+    split = lambda x: "".join(c if c.isascii() and c.isalnum() else " " for c in (x or "").lower()).split()
+    first = lambda texts: {x or "": i for i, x in reversed(list(enumerate(texts)))}
+    expected = {}
+    for x, a in first(asked).items():
+        k = [w for w in dict.fromkeys(split(x)) if len(w) >= 3 and w not in params.STOPWORDS]
+        form = "".join(k) if len(k) > 1 and len("".join(k)) >= params.COMPACT_LENGTH else None
+        for y, b in first(titles).items():
+            h = len({*k} & {*split(y)}) + (form is not None and form in "".join(split(y)))
+            if h:
+                expected[a, b] = round(min(1, 0.35 + h / (len(k) + (form is not None)) * 0.45), 6)
+    assert len(expected) > 3000
+    for share, most, at_once, passed in ((R.COMMON_SHARE, R.COMMON_WORDS, R.TITLES_AT_ONCE, R.PASSED), (0.001, 62, 50, 2), (0.1, 1, 1000, 0), (2, 62, 1000, 32)):
+        for name, value in (("COMMON_SHARE", share), ("COMMON_WORDS", most), ("TITLES_AT_ONCE", at_once), ("PASSED", passed), ("TASK_PAIRS", 5000)):
+            monkeypatch.setattr(R, name, value)
+        df = R.title_pairs(t, q, "t", F.col("name"), "q", F.col("text"))
+        rows = [r for r in df.collect() if r.kind == "pair"]
+        assert {(r.a, r.b): r.score for r in rows} == expected and len(rows) == len(expected)
+        assert "InArrow" not in df._jdf.queryExecution().toString()
