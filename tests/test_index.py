@@ -225,3 +225,59 @@ def test_an_index_for_bm25_alone_holds_no_texts(spark, tmp_path, monkeypatch):
     assert rows() == rows(title=F.lit("w1 title"))
     alone, both = (spark.read.format("binaryFile").load(b["folder"]).agg(F.sum("length")).first()[0] for b in built)
     assert alone < 0.55 * both
+
+
+def test_the_whole_ladder_is_one_pass_over_the_documents(spark, monkeypatch):
+    """Every pair, as the rules have it, in chunks and slices of any size, with nothing stored and no word looked for by itself."""
+    rng = random.Random(5)
+    word = lambda: rng.choice(("rain", "map", "rainmap", "brain", "maps", "the", "it", "training", "mapped", "xx", "9th", "sun"))
+    line = lambda n: rng.choice((" ", "  ", "-", "\n")).join(word() for _ in range(rng.randrange(n))) or None
+    docs = [(i, line(7), line(3)) for i in range(120)] + [(200, "so-rain map", None), (201, "strain maps", "x"), (202, None, "rainmaps it"), (203, "", "")]
+    asked = [(i, line(5)) for i in range(40)] + [(50, "rain maps"), (51, "rain"), (52, "the it"), (53, ""), (54, None), (55, "rain map sun")]
+    d, q = spark.createDataFrame(docs, "id long, text string, title string"), spark.createDataFrame(asked, "qid long, q string")
+
+    low = lambda x: "".join(c if c.isascii() and (c.isalnum() or c.isspace()) else " " for c in (x or "").lower())
+    padded = lambda x: " " + "".join(" " if c.isspace() else c for c in x) + " "
+    expected = {}
+    for i, x in asked:
+        k = [w for w in dict.fromkeys(low(x).split()) if len(w) >= 3 and w not in params.STOPWORDS]
+        form, phrase = "".join(k) if len(k) > 1 and len("".join(k)) >= params.COMPACT_LENGTH else None, low(x).strip(" ")
+        for j, text, title in docs:
+            whole = low(" ".join(t for t in (text, title) if t is not None))
+            n, part = sum(f" {w} " in padded(whole) for w in k), sum(w in whole for w in k)
+            score = 0
+            if k and phrase and f" {phrase} " in padded(whole):
+                score = 1
+            elif form and form in "".join(whole.split()):
+                score = 0.84
+            elif n:
+                score = min(1, 0.75 + n / len(k) * 0.2)
+            elif k and phrase and phrase in whole:
+                score = 0.72
+            elif part:
+                score = min(1, 0.52 + part / len(k) * 0.16)
+            named = sum(f" {w} " in padded(low(title)) for w in k) + (form is not None and form in "".join(low(title).split()))
+            titled = min(1, 0.35 + named / (len(k) + (form is not None)) * 0.45) if named else 0
+            if score or titled:
+                expected[i, j] = (round(score, 6), round(titled, 6))
+    assert {0.84, 0.72, 1} < {s for s, _ in expected.values()}
+
+    def fail(*a, **k):
+        raise AssertionError
+
+    monkeypatch.setattr(X.KeywordIndex, "of", fail)
+    for chunk, size, near, rows in ((256, 32 << 20, 8 << 20, 512), (7, 2000, 300, 16)):
+        for where, name, value in ((X, "CHUNK", chunk), (X, "QUESTION_BYTES", size), (S, "NEAR", near), (X, "BLOCK_DOCS", rows)):
+            monkeypatch.setattr(where, name, value)
+        got = R.lexical(d, q, "id", F.col("text"), F.col("title"), "qid", F.col("q")).collect()
+        assert {(r.qid, r.id): (r.keyword_score, r.title_score) for r in got} == expected and len(got) == len(expected)
+
+
+def test_the_ladder_meets_all_words_in_one_pass(monkeypatch):
+    block = S.Block(S.make(pa.array([1, 2, 3]), pa.array(["rainmaps it", "training", "sun"]), pa.array(["", None, "brain"])))
+    monkeypatch.setattr(S.Block, "containing", None)
+    for near in (1, 8 << 20):
+        monkeypatch.setattr(S, "NEAR", near)
+        words = {"id": range(2), "words": pa.array(["rain", "map", "sun"]), "word": np.array([0, 1, 2, 0]), "first": np.array([0, 2, 4]), "form": [None, None], "phrase": ["rain map", "sun rain"]}
+        got = {(i, p): round(s, 6) for i, places, scores, _ in S.Ladder(words, None, True).of(block) for p, s in zip(places.tolist(), scores.tolist(), strict=True)}
+        assert got == {(0, 0): 0.68, (0, 1): 0.6, (0, 2): 0.6, (1, 0): 0.6, (1, 1): 0.6, (1, 2): 0.85}
